@@ -29,11 +29,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
 
 
+#: Spark removes a query's shuffle files when it has ended, if this is set while the query is planned.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends in files that survive a lost executor."""
+    """Write to the shared folder and read back: lineage ends in files that survive a lost executor.
+
+    The shuffle files of the write go at once; nothing reads them again.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

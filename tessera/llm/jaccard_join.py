@@ -5,7 +5,8 @@
 2. Size-derived bounds: two sets of sizes a and b reach similarity t only with an overlap of at least
    t / (1 + t) * (a + b). Under a total order of n-grams (common ones last) a qualifying pair shares one of
    the first ``|x| - ceil(t |x|) + 1`` n-grams of each set; only those columns of the incidence are kept, and
-   a pair is discarded where size and column positions leave too little room for the overlap.
+   a pair is discarded where size and column positions leave too little room for the overlap, or where the
+   product over n-grams folded into BUCKETS buckets, an upper bound of the overlap, stays below it.
 3. Overlap counts of the pairs that survive are accumulated exactly, a block of pairs at a time.
 4. Linear rounds first: in each column the vertex with most columns in common (smallest position) is multiplied
    with the others. Columns whose vertices are joined by then are done; the pairs still between different
@@ -27,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -36,6 +37,8 @@ from .textscan import U, Slice, mix, ngrams, slices
 
 #: Counters of the sketch of n-gram frequencies, and how many of the most frequent are ordered last.
 SKETCH_SLOTS, HEAVY_SLOTS = 1 << 23, 1 << 16
+#: Buckets of the folded incidence of a vertex, one byte each; 255 stands for 255 or more.
+BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -81,24 +84,33 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64), pa.int64())
 
 
+def _folded(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Counts of each set's n-grams by bucket."""
+    n = len(bounds) - 1
+    of = np.repeat(np.arange(n), np.diff(bounds))
+    counts = np.bincount(of * BUCKETS + (h & U(BUCKETS - 1)).astype(np.int64), minlength=n * BUCKETS)
+    flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return pa.array([flat[i * BUCKETS : (i + 1) * BUCKETS] for i in range(n)], pa.binary())
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
     """Rows of kind 0: a document with its set's size and name. Kind 1: a sketch counter and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH_SLOTS, np.uint32)
-        names = ["kind", "a", "n", "v"]
+        names = ["kind", "a", "n", "v", "f"]
         for batch in batches:
             for i, j, s in slices(batch.column(1), fold_case=True):
                 h, bounds = shingle_sets(s, n)
                 slot, c = np.unique((h >> U(41)).astype(np.int64), return_counts=True)
                 counters[slot] += c.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i).cast(pa.int64()), _long(np.diff(bounds)), _long(_vertex(h, bounds))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i).cast(pa.int64()), _long(np.diff(bounds)), _long(_vertex(h, bounds)), _folded(h, bounds)], names)
         slot = np.flatnonzero(counters >= 4)
         for i in range(0, len(slot), 1 << 16):
             part = slot[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), _long(counters[part]), _long(np.zeros(len(part), np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), _long(counters[part]), _long(np.zeros(len(part), np.int64)), pa.nulls(len(part), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind byte, a long, n long, v long")
+    return docs.mapInArrow(run, "kind byte, a long, n long, v long, f binary")
 
 
 def _heavy(scan: DataFrame) -> np.ndarray:
@@ -109,29 +121,35 @@ def _heavy(scan: DataFrame) -> np.ndarray:
 
 
 def _columns(docs: DataFrame, cfg: Join, heavy: DataFrame) -> DataFrame:
-    """The kept columns of the incidence: (n-gram, vertex, position << 32 | size, least id)."""
+    """The kept columns of the incidence: (n-gram, vertex, position << 32 | size)."""
     t = Fraction(cfg.percent, 100)
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SKETCH_SLOTS, np.int64)
         table[known.value[:, 0]] = known.value[:, 1]
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            for i, j, s in slices(batch.column(1), fold_case=True):
+            for _, _, s in slices(batch.column(0), fold_case=True):
                 h, bounds = shingle_sets(s, cfg.words)
                 v, size = _vertex(h, bounds), np.diff(bounds)
+                # a task sends each vertex once
+                fresh = np.zeros(s.n, bool)
+                for k, name in enumerate(v.tolist()):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh[k] = True
                 of = np.repeat(np.arange(s.n), size)
                 order = np.lexsort((h, table[(h >> U(41)).astype(np.int64)], of))
                 at = np.arange(len(h)) - bounds[of]
                 least = -((-t.numerator * size) // t.denominator)
-                keep = at < (size - least + 1)[of]
+                keep = (at < (size - least + 1)[of]) & fresh[of]
                 of, at, h = of[keep], at[keep], h[order][keep]
                 for k in range(0, len(h), 1 << 18):
                     o = of[k : k + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([_long(h[k : k + (1 << 18)]), _long(v[o]), _long((at[k : k + (1 << 18)] << 32) | size[o]), ids.slice(i, j - i).take(pa.array(o))], ["g", "v", "ps", "id"])
+                    yield pa.RecordBatch.from_arrays([_long(h[k : k + (1 << 18)]), _long(v[o]), _long((at[k : k + (1 << 18)] << 32) | size[o])], ["g", "v", "ps"])
 
-    return docs.mapInArrow(run, "g long, v long, ps long, id long")
+    return docs.mapInArrow(run, "g long, v long, ps long")
 
 
 def _room(p: str, q: str, percent: int) -> F.Column:
@@ -140,6 +158,24 @@ def _room(p: str, q: str, percent: int) -> F.Column:
     return F.expr(f"(100 + {percent}) * (1 + least({sa} - {pa_} - 1, {sb} - {pb} - 1)) >= {percent} * ({sa} + {sb}) AND 100 * least({sa}, {sb}) >= {percent} * greatest({sa}, {sb})")
 
 
+def _plausible(pairs: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose folded product, an upper bound of the overlap, reaches the limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                n = part.column(2).to_numpy() + part.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
+                low = np.minimum(x, y)
+                most = low.sum(1, dtype=np.int64)
+                most[(low == 255).any(1)] = 1 << 40
+                yield part.filter(pa.array((100 + percent) * most >= percent * n)).select(["a", "b"])
+
+    left, right = (folded.select(F.col("v").alias(k), F.col("n").alias(f"n{k}"), F.col("f").alias(f"f{k}")) for k in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose exact similarity reaches the limit; overlap counts are accumulated a block at a time."""
 
@@ -207,37 +243,40 @@ def cluster(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", text_co
     """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = materialise(_scan(base, cfg.words), "sets")
-    members = scan.where("kind = 0").select(F.col("a").alias("id"), "n", "v")
-    vertices = members.where("n > 0").groupBy("v").agg(F.min("id").alias("least"))
-    # columns with two vertices or more, and no more than one row for a column and vertex
-    raw = _columns(base, cfg, _heavy(scan)).groupBy("g", "v").agg(F.min("ps").alias("ps"), F.min("id").alias("id"))
+    members = scan.where("kind = 0").select(F.col("a").alias("id"), "n", "v", "f")
+    vertices = materialise(members.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("f").alias("f")), "vertices")
+    # one row for a column and vertex, of columns with two vertices or more; all by one deal of the columns
+    raw = _columns(base.select("text"), cfg, _heavy(scan)).repartition("g").groupBy("g", "v").agg(F.min("ps").alias("ps"))
     per = W.partitionBy("g")
     wide = raw.withColumn("k", F.min("v").over(per)).withColumn("k2", F.max("v").over(per)).where("k <> k2").drop("k", "k2")
     columns = materialise(wide, "columns")
-    # the sets of vertices that have a column in common with another vertex
-    named = columns.groupBy("v").agg(F.min("id").alias("id"))
-    sets = materialise(_sets(base, named, cfg), "vertex_sets")
     links, tried, comp = [], None, None
-    for _ in range(cfg.rounds):
+    for last in [False] * cfg.rounds + [True]:
         tagged = _tagged(columns, comp)
-        per_g = W.partitionBy("g")
-        lead = F.min(F.struct(F.expr("shiftright(ps, 32)").alias("p"), "v", "ps", "c")).over(per_g)
-        # a column in one component has nothing left to find; else its leader meets all others
-        star = tagged.withColumn("l", lead).where("c <> l.c").where(_room("ps", "l.ps", cfg.percent))
-        star = star.select(F.least("v", "l.v").alias("a"), F.greatest("v", "l.v").alias("b")).distinct()
+        if last:
+            pairs = _between(tagged, cfg)
+        else:
+            # a column in one component has nothing left to find; else its leader meets all others
+            lead = F.min(F.struct(F.expr("shiftright(ps, 32)").alias("p"), "v", "ps", "c")).over(per)
+            star = tagged.withColumn("l", lead).where("c <> l.c").where(_room("ps", "l.ps", cfg.percent))
+            pairs = star.select(F.least("v", "l.v").alias("a"), F.greatest("v", "l.v").alias("b")).distinct()
         if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
-        star = materialise(star, "pairs")
-        if star.isEmpty():
-            break
-        links.append(materialise(_overlaps(star, sets, cfg.percent), "links"))
-        tried = star if tried is None else tried.union(star)
-        comp = components(_sum_links(*links))
-    rest = _between(_tagged(columns, comp), cfg)
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    links.append(materialise(_overlaps(rest, sets, cfg.percent), "links"))
-    comp = components(_sum_links(*links))
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        likely = materialise(_plausible(pairs, vertices, cfg.percent), "likely")
+        if likely.isEmpty():
+            continue
+        ends = likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct()
+        sets = materialise(_sets(base, vertices.join(ends, "v", "left_semi").select(F.col("least").alias("id")), cfg), "vertex_sets")
+        found = materialise(_overlaps(likely, sets, cfg.percent), "links")
+        discard(sets, likely)
+        if not found.isEmpty():
+            links.append(found)
+            comp = components(_sum_links(*links))
+    discard(columns)
+    if comp is None:
+        comp = vertices.select("v", F.col("v").alias("c")).where("false")
     low = comp.join(vertices, "v").groupBy("c").agg(F.min("least").alias("m"))
     roots = comp.select("c").distinct().join(vertices.withColumnRenamed("v", "c"), "c").select("c", F.col("least").alias("r"))
     top = low.join(roots, "c").select("c", F.least("m", "r").alias("least"))
@@ -245,12 +284,12 @@ def cluster(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", text_co
     least = vertices.alias("x").join(named.alias("y"), "v", "left").select("v", F.coalesce("y.least", "x.least").alias("least"))
     out = members.join(least, "v", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
     out = materialise(out, "clusters")
-    discard(columns, sets, scan, *links)
+    discard(scan, vertices, *links)
     return out
 
 
-def _sets(base: DataFrame, named: DataFrame, cfg: Join) -> DataFrame:
-    """(v, s) for the vertices asked for, from the text of one document of each."""
+def _sets(base: DataFrame, wanted: DataFrame, cfg: Join) -> DataFrame:
+    """(v, s) of the documents with the wanted ids, their sets read from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +298,7 @@ def _sets(base: DataFrame, named: DataFrame, cfg: Join) -> DataFrame:
                 s_col = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), _long(h)).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([_long(_vertex(h, bounds)), s_col], ["v", "s"])
 
-    wanted = named.select("id").distinct()
-    texts = base.join(wanted, "id", "left_semi").select("text")
-    return texts.mapInArrow(run, "v long, s array<long>").dropDuplicates(["v"])
+    return base.join(wanted.distinct(), "id", "left_semi").select("text").mapInArrow(run, "v long, s array<long>")
 
 
 def _between(tagged: DataFrame, cfg: Join) -> DataFrame:

@@ -131,7 +131,7 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.failed: set[str] = set()
-        self.memo = UnitMemo(self._units)
+        self.memo = UnitMemo(self._units, most=300_000)
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
 
     def normalise(self, text: str) -> str:

@@ -33,6 +33,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """Have Arrow hand texts to Python in batches of at most ``rows`` from here on, so that a worker holds few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends in files that survive a lost executor.
 

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, materialise
+from .common import discard, materialise, small_batches
 from .textscan import U, Slice, mix, ngrams, slices
 
 #: Counters of the sketch of n-gram frequencies, and how many of the most frequent are ordered last.
-SKETCH_SLOTS, HEAVY_SLOTS = 1 << 23, 1 << 16
+SKETCH_SLOTS, HEAVY_SLOTS = 1 << 22, 1 << 16
 #: Buckets of the folded incidence of a vertex, one byte each; 255 stands for 255 or more.
 BUCKETS = 256
 
@@ -102,15 +102,16 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for i, j, s in slices(batch.column(1), fold_case=True):
                 h, bounds = shingle_sets(s, n)
-                slot, c = np.unique((h >> U(41)).astype(np.int64), return_counts=True)
+                slot, c = np.unique((h >> U(42)).astype(np.int64), return_counts=True)
                 counters[slot] += c.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i).cast(pa.int64()), _long(np.diff(bounds)), _long(_vertex(h, bounds)), _folded(h, bounds)], names)
-        slot = np.flatnonzero(counters >= 4)
+        # counters that stand out from the mean of the task
+        slot = np.flatnonzero(counters >= max(4, 2 + int(6 * counters.mean())))
         for i in range(0, len(slot), 1 << 16):
             part = slot[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), _long(counters[part]), _long(np.zeros(len(part), np.int64)), pa.nulls(len(part), pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind byte, a long, n long, v long, f binary")
+    return small_batches(docs).mapInArrow(run, "kind byte, a long, n long, v long, f binary")
 
 
 def _heavy(scan: DataFrame) -> np.ndarray:
@@ -126,7 +127,7 @@ def _columns(docs: DataFrame, cfg: Join, heavy: DataFrame) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SKETCH_SLOTS, np.int64)
+        table = np.zeros(SKETCH_SLOTS, np.int32)
         table[known.value[:, 0]] = known.value[:, 1]
         seen: set[int] = set()
         for batch in batches:
@@ -140,7 +141,7 @@ def _columns(docs: DataFrame, cfg: Join, heavy: DataFrame) -> DataFrame:
                         seen.add(name)
                         fresh[k] = True
                 of = np.repeat(np.arange(s.n), size)
-                order = np.lexsort((h, table[(h >> U(41)).astype(np.int64)], of))
+                order = np.lexsort((h, table[(h >> U(42)).astype(np.int64)], of))
                 at = np.arange(len(h)) - bounds[of]
                 least = -((-t.numerator * size) // t.denominator)
                 keep = (at < (size - least + 1)[of]) & fresh[of]

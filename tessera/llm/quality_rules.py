@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .textscan import U, Slice, mix, ngrams, slices
 
 #: Limits on the share of a text's word characters inside repeated word n-grams, by n (fixed values).
@@ -122,7 +123,7 @@ def profile(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
                 cols = [pa.array(m[c], pa.int64()) for c in COUNTS] + [pa.array(m[c], pa.float64()) for c in shares] + [pa.array(m[c]) for c in ("base_failed", "kept")]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *cols], [id_col, *COUNTS, *shares, "base_failed", "kept"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
@@ -134,4 +135,4 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "t
             for i, j, s in slices(batch.column(where)):
                 yield batch.slice(i, j - i).filter(pa.array(measure(s, rules)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .unitmemo import UnitMemo
 
 MARK = "▁"
@@ -131,7 +132,7 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.failed: set[str] = set()
-        self.memo = UnitMemo(self._units, most=300_000)
+        self.memo = UnitMemo(self._units, most=150_000)
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
 
     def normalise(self, text: str) -> str:
@@ -188,7 +189,7 @@ def tokenise(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 ids, parity = codec.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(parity, pa.bool_())], [id_col, "ids", "parity"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, parity boolean")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, parity boolean")
 
 
 def detokenise(tokens: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -225,4 +226,4 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean")
+    return small_batches(docs).select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fresh_path, materialise
+from .common import fresh_path, materialise, small_batches
 from .unitmemo import UnitMemo
 
 MAGIC, RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"TSST0001", 16, 1 << 16, 10, 7
@@ -246,7 +246,7 @@ def byte_bpe_encoder(tokenizer_path: str):
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under ``path`` and return their manifest (shard, path, first_key, n_docs, n_ids)."""
-    base = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(text_col, F.lit("")).alias("t"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("k"), F.coalesce(text_col, F.lit("")).alias("t"))
     total = base.agg(F.sum(F.octet_length("t")).alias("b")).collect()[0].b or 0
     n = max(8, -(-total // shard_bytes))
     dealt = base.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")

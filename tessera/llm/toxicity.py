@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textscan import U, Slice, slices
 
 
@@ -154,4 +155,4 @@ def score(docs: DataFrame, model: Model, cfg: Settings = Settings(), threshold:
                 p = m.score(r[f >= 0], f[f >= 0], s.n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")

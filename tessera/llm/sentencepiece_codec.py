@@ -12,6 +12,7 @@ encoded whole. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import struct
 import zlib
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .textscan import give_back
 from .unitmemo import UnitMemo
 
 MARK = "▁"
@@ -170,11 +172,16 @@ class Codec:
         return text[1:] if self.model.add_dummy_prefix and text.startswith(" ") else text
 
 
-def codec_for(path: str) -> Codec:
-    """The worker's codec: it keeps the units it knows for all its tasks."""
+@contextlib.contextmanager
+def codec_for(path: str) -> Iterator[Codec]:
+    """The worker's codec; the units that it learns are forgotten after the task, since workers outlive stages."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    try:
+        yield _CODECS[path]
+    finally:
+        _CODECS[path].memo.known.clear()
+        give_back()
 
 
 def tokenise(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,12 +189,12 @@ def tokenise(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(model_path)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids, parity = codec.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(parity, pa.bool_())], [id_col, "ids", "parity"])
+        with codec_for(model_path) as codec:
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.slice(at, 256)
+                    ids, parity = codec.encode([t or "" for t in part.column(1).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(parity, pa.bool_())], [id_col, "ids", "parity"])
 
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, parity boolean")
 
@@ -197,10 +204,10 @@ def detokenise(tokens: DataFrame, model_path: str, id_col: str = "doc_id") -> Da
     kind = dict(tokens.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(model_path)
-        for batch in batches:
-            texts = [codec.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
+        with codec_for(model_path) as codec:
+            for batch in batches:
+                texts = [codec.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     return tokens.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, text string")
 
@@ -209,21 +216,21 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """A digest of ``tokenise`` and ``detokenise`` a document, without moving ids or texts between tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(model_path)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, parity = codec.encode(texts)
-                back = [codec.decode(x) for x in ids]
-                cols = {
-                    "doc_id": part.column(0).cast(pa.int64()),
-                    "n_ids": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    "decoded_crc32": pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()),
-                    "round_trip": pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
-                    "parity": pa.array(parity, pa.bool_()),
-                }
-                yield pa.RecordBatch.from_pydict(cols)
+        with codec_for(model_path) as codec:
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.slice(at, 256)
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    ids, parity = codec.encode(texts)
+                    back = [codec.decode(x) for x in ids]
+                    cols = {
+                        "doc_id": part.column(0).cast(pa.int64()),
+                        "n_ids": pa.array([len(x) for x in ids], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                        "decoded_crc32": pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()),
+                        "round_trip": pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+                        "parity": pa.array(parity, pa.bool_()),
+                    }
+                    yield pa.RecordBatch.from_pydict(cols)
 
     return small_batches(docs).select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean")

@@ -6,12 +6,14 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which is `[^\\x20
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _RNG = np.random.RandomState(20240611)
 BYTE_CODE = _RNG.randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U) | U(1)
@@ -24,6 +26,13 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POW = {"n": 0}
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system; Spark keeps workers between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))
@@ -114,3 +123,4 @@ def slices(column: pa.Array | pa.ChunkedArray, fold_case: bool = False) -> Itera
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
         yield i, j, Slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], fold_case)
         i = j
+    give_back()

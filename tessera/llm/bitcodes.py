@@ -31,10 +31,11 @@ class Settings:
     k: int = 10
     #: Bound on the sample that the centroids are fitted on, and on their number.
     sample: int = 32_768
-    per_cell: int = 512
+    per_cell: int = 4_096
     max_cells: int = 4_096
-    probes: int = 24
-    block: int = 4_096
+    #: Cells a query visits; by default all: with 24 of 100 cells recall on 51,282 vectors was 0.72.
+    probes: int = 4_096
+    block: int = 8_192
     #: Width of the error bounds in standard deviations.
     width: float = 3.0
     rounds: int = 8

@@ -39,6 +39,8 @@ from .textscan import U, Slice, mix, ngrams, slices
 SKETCH_SLOTS, HEAVY_SLOTS = 1 << 22, 1 << 16
 #: Buckets of the folded incidence of a vertex, one byte each; 255 stands for 255 or more.
 BUCKETS = 256
+#: Earlier columns of a vertex that the exact round knows in each column, so that a pair is made few times.
+BEFORE = 6
 
 
 @dataclass(frozen=True)
@@ -306,13 +308,18 @@ def _between(tagged: DataFrame, cfg: Join) -> DataFrame:
     """Candidate pairs of different components, multiplied block by block within each column.
 
     A column's vertices are dealt to blocks by size, so that only blocks whose sizes are near enough to link
-    meet; a column in one component is left out.
+    meet; a column in one component is left out. A pair that shares many columns is needed only once: it is
+    left out of a column if one of the last BEFORE columns of both is the same, for there, at smaller positions,
+    the same bounds hold as well. The first column of a pair has no such column before it, so no pair is lost.
     """
     per = W.partitionBy("g")
     mixed = tagged.withColumn("c1", F.min("c").over(per)).withColumn("c2", F.max("c").over(per)).where("c1 <> c2").drop("c1", "c2")
     # a pair's smaller set is at least percent / 100 of the larger: on a scale of log(size) in such steps it is in the same or the next step
     step = math.log(100 / cfg.percent)
     mixed = mixed.withColumn("z", F.floor(F.log((F.col("ps").bitwiseAND(F.lit(4294967295))).cast("double")) / step + 1e-9).cast("int"))
-    x = mixed.select("g", F.col("v").alias("a"), F.col("ps").alias("p"), F.col("c").alias("ca"), F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"))
-    y = mixed.select("g", F.col("v").alias("b"), F.col("ps").alias("q"), F.col("c").alias("cb"), "z")
-    return x.join(y, ["g", "z"]).where("a < b AND ca <> cb").where(_room("p", "q", cfg.percent)).select("a", "b").distinct()
+    # n-grams of a vertex are in one total order, which its positions follow
+    before = W.partitionBy("v").orderBy("ps").rowsBetween(-BEFORE, -1)
+    mixed = mixed.withColumn("h", F.collect_list("g").over(before))
+    x = mixed.select("g", F.col("v").alias("a"), F.col("ps").alias("p"), F.col("c").alias("ca"), F.col("h").alias("ha"), F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"))
+    y = mixed.select("g", F.col("v").alias("b"), F.col("ps").alias("q"), F.col("c").alias("cb"), F.col("h").alias("hb"), "z")
+    return x.join(y, ["g", "z"]).where("a < b AND ca <> cb").where("NOT arrays_overlap(ha, hb)").where(_room("p", "q", cfg.percent)).select("a", "b").distinct()

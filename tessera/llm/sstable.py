@@ -27,18 +27,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import fresh_path, materialise, small_batches
-from .unitmemo import UnitMemo
+from .textscan import slices
+from .unitmemo import TokenTable
 
 MAGIC, RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"TSST0001", 16, 1 << 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")
-#: Boundaries of byte-level BPE's pre-tokens: a single space between visible ASCII or Latin-1 letters starts one,
-#: and so does ASCII punctuation other than an apostrophe after a letter.
-UNIT_EDGE = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?= [!-~À-ÖØ-öø-ÿ])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\\[-`{-~])")
+#: Bytes of visible ASCII, of ASCII letters, and of ASCII punctuation other than an apostrophe.
+VISIBLE, LETTER, MARK = (np.array([bool(re.match(p, chr(b))) and b < 128 for b in range(256)]) for p in ("[!-~]", "[A-Za-z]", "[!-&(-/:-@\\[-`{-~]"))
+#: Second bytes of Latin-1 letters, which follow byte 0xC3 in UTF-8; 0x97 and 0xB7 are the signs of multiplication and division.
+LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 #: A unit that is one pre-token, with the only space at its start.
 PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ENCODERS: dict = {}
 
 
+def unit_edges(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Boundaries of byte-level BPE's pre-tokens that two bytes on either side decide.
+
+    A single space between visible ASCII or Latin-1 letters starts one, and so does ASCII punctuation other than
+    an apostrophe after a letter. ``starts``: where a text begins, for what follows a text decides nothing in it.
+    """
+    n = len(data)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    pair = np.zeros(n + 1, bool)  # whether a Latin-1 letter ends before this offset
+    pair[2:] = (data[:-1] == 0xC3) & LATIN[data[1:]]
+    opens = VISIBLE[data].copy()  # whether such a character begins at this offset
+    opens[:-1] |= pair[2:]
+    opens[starts[starts < n]] = False
+    seen = VISIBLE[data[:-1]] | pair[1:n]  # for offsets 1 to n - 1, the character before
+    edge = (LETTER[data[:-1]] | pair[1:n]) & MARK[data[1:]]
+    edge[:-1] |= seen[:-1] & (data[1:-1] == 32) & opens[2:]
+    return np.flatnonzero(edge) + 1
+
+
 def key_bytes(key: int | None) -> bytes:
     return b"" if key is None else struct.pack(">Q", (key + (1 << 63)) & (2**64 - 1))
 
@@ -202,7 +224,7 @@ class Reader:
 
 
 def byte_bpe_encoder(tokenizer_path: str):
-    """(encode, width): ids of texts as little-endian bytes, by the tokenizers library; special strings are plain text.
+    """(encode, width): ids of a column's texts as little-endian bytes, by the tokenizers library; special strings are plain text.
 
     A worker keeps its encoder, and with it the units it knows, for all its tasks.
     """
@@ -239,8 +261,15 @@ def byte_bpe_encoder(tokenizer_path: str):
             out[i] = np.array(e.ids, kind).tobytes()
         return out
 
-    memo = UnitMemo(encode)
-    _ENCODERS[tokenizer_path] = (lambda texts: memo([UNIT_EDGE.split(x) if splits else [x] for x in texts])), width
+    known = TokenTable(encode, kind)
+
+    def encode_column(column: pa.Array) -> list[bytes]:
+        out = []
+        for _, _, s in slices(column):
+            out += known(s, unit_edges(s.data, s.offsets) if splits else s.offsets[:-1])
+        return out
+
+    _ENCODERS[tokenizer_path] = encode_column, width
     return _ENCODERS[tokenizer_path]
 
 
@@ -259,7 +288,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_by
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     if writer is None:
                         first = key
                         name = f"{'null' if key is None else f'{key + (1 << 63):020d}'}.sst"

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
+
+from .textscan import Slice, U
+
 
 class UnitMemo:
     """``encode``: list of units to list of id sequences. At most ``most`` units are remembered, long ones never."""
@@ -26,3 +31,91 @@ class UnitMemo:
             return [b"".join([known[u] if u in known else brief[u] for u in units]) for units in texts]
         get = known.__getitem__
         return [b"".join(map(get, units)) for units in texts]
+
+
+class TokenTable:
+    """Like ``UnitMemo``, over the bytes of a slice: units are named by 64-bit hashes and ids are gathered in numpy.
+
+    Names stand in a table of ``slots`` places, found by linear probing of whole arrays. When more than half of it
+    is taken, or about ``most_ids`` ids are remembered, all is forgotten.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], kind: np.dtype, slots: int = 1 << 22, most_ids: int = 1 << 23):
+        self.encode, self.kind, self.slots, self.most_ids = encode, kind, slots, most_ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.name, self.place = np.zeros(self.slots, U), np.zeros(self.slots, np.int32)
+        self.n = self.used = 0
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, self.kind)
+
+    def _room(self, units: int, ids: int) -> None:
+        while self.n + units > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """The unit of each name, or -1."""
+        out, left = np.full(len(names), -1, np.int64), np.arange(len(names))
+        slot = (names & U(self.slots - 1)).astype(np.int64)
+        while len(left):
+            there = self.name[slot]
+            hit = there == names[left]
+            out[left[hit]] = self.place[slot[hit]]
+            more = ~hit & (there != 0)
+            left, slot = left[more], (slot[more] + 1) & (self.slots - 1)
+        return out
+
+    def _enter(self, names: np.ndarray, units: np.ndarray) -> None:
+        """Place distinct new names."""
+        slot = (names & U(self.slots - 1)).astype(np.int64)
+        while len(names):
+            free = self.name[slot] == 0
+            self.name[slot[free]] = names[free]
+            won = self.name[slot] == names
+            self.place[slot[won]] = units[won]
+            names, units, slot = names[~won], units[~won], (slot[~won] + 1) & (self.slots - 1)
+
+    def _learn(self, units: list[str], names: np.ndarray) -> None:
+        for at in range(0, len(units), 4096):
+            raw = list(self.encode(units[at : at + 4096]))
+            flat = np.frombuffer(b"".join(raw), self.kind)
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+            self._room(len(raw), len(flat))
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.start[self.n : self.n + len(raw)] = self.used + np.cumsum(sizes) - sizes
+            self.length[self.n : self.n + len(raw)] = sizes
+            self._enter(names[at : at + 4096], np.arange(self.n, self.n + len(raw), dtype=np.int32))
+            self.n, self.used = self.n + len(raw), self.used + len(flat)
+
+    def __call__(self, s: Slice, cuts: np.ndarray) -> list[bytes]:
+        """The joined encodings of each text of a slice; units begin at the offsets ``cuts`` and at each text's start."""
+        first = np.zeros(len(s.data) + 1, bool)
+        first[cuts] = first[s.offsets] = True
+        begin = np.flatnonzero(first[:-1])
+        end = np.append(begin[1:], len(s.data))[: len(begin)]
+        code, names = pd.factorize(np.maximum(s.span_hash(begin, end), U(1)))
+        # a slice may bring more units than the table should take
+        if self.n + len(names) > self.slots // 2 or self.used > self.most_ids:
+            self._clear()
+            while len(names) > self.slots // 2:
+                self.slots *= 2
+                self._clear()
+        where = self._find(names)
+        fresh = np.flatnonzero(where < 0)
+        if len(fresh):
+            first = np.zeros(len(names), np.int64)
+            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            raw, spans = s.data.tobytes(), zip(begin[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)
+            base = self.n
+            self._learn([raw[i:j].decode("utf-8", "replace") for i, j in spans], names[fresh])
+            where[fresh] = np.arange(base, self.n)
+        where = where[code]
+        size = self.length[where]
+        upto = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        out = self.ids[np.repeat(self.start[where] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        edges = (upto[np.searchsorted(begin, s.offsets)] * self.kind.itemsize).tolist()
+        return [out[edges[i] : edges[i + 1]] for i in range(s.n)]

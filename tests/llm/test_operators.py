@@ -2,15 +2,17 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bitcodes, chat, jaccard_join, mixing, perplexity, quality_rules, queries, sentencepiece_codec, sharding, sstable, toxicity
+from tessera.llm import bitcodes, chat, jaccard_join, mixing, perplexity, quality_rules, queries, sentencepiece_codec, sharding, sstable, textscan, toxicity, unitmemo
 
 DIR = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -329,3 +331,17 @@ def test_pipeline(spark):
     assert max(collections.Counter(r.doc_id for r in fourth.collect()).values()) <= 3
     assert third.columns == fourth.columns == docs.columns
     assert corpus_pipeline.run(spark, DIR).count() == fourth.count()
+
+
+def test_token_table_forgets_and_grows():
+    edge = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?= [!-~À-ÖØ-öø-ÿ])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\\[-`{-~])")
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "Z", "9", " ", ".", "'", "é", "×", "÷", "日", "\n", "-"]) for _ in range(rng.randrange(40))) for _ in range(800)] + ["", "x" * 70]
+    table = unitmemo.TokenTable(lambda units: [f"<{u}>".encode("utf-16-le") for u in units], np.dtype("<u2"), slots=64, most_ids=500)
+    want = ["".join(f"<{u}>" for u in edge.split(x) if x).encode("utf-16-le") for x in texts]
+    for step in (7, 802):
+        got = []
+        for at in range(0, len(texts), step):
+            for _, _, s in textscan.slices(pa.array(texts[at : at + step])):
+                got += table(s, sstable.unit_edges(s.data, s.offsets))
+        assert got == want

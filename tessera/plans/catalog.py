@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats, text
-from ..operators import corpus, evaluation, retrieval
+from ..operators import corpus, evaluation, retrieval, rules
+from ..streaming import budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -491,6 +493,95 @@ def audit_delivery(spark: SparkSession, d: str) -> DataFrame:
     return corpus.delivery(spark.sql(_ISSUES.format("__lineitem")), docs)
 
 
+
+# documents of the test tables under paths and with openings that the rules know; the text is both Spark SQL and DuckDB SQL
+_NAMED = """doc_id, CASE doc_id % 9 WHEN 0 THEN 'tds/PC_LEXAN 943 TDS' WHEN 1 THEN 'molding/drying' WHEN 2 THEN 'norms/GB/T 16252_2023' WHEN 3 THEN 'hand_size' WHEN 4 THEN 'study' WHEN 5 THEN 'guide' WHEN 6 THEN 'decision 316' WHEN 7 THEN 'PP-H tds' ELSE 'notes' END AS path,
+  coalesce(source, '') AS title,
+  concat(CASE doc_id % 8 WHEN 0 THEN 'children' WHEN 1 THEN 'older adult' WHEN 2 THEN '适用范围：饮水容器与杯口。' WHEN 3 THEN 'Scope: cups for hot drinks. ' WHEN 4 THEN 'National Standard' WHEN 5 THEN '握持' ELSE '' END, ' ', coalesce(text, '')) AS content"""
+_ASKED = """item_id AS question_id, text AS asked,
+  concat(text, CASE length(text) % 9 WHEN 0 THEN ' 成人 杯径' WHEN 1 THEN ' 儿童 尺寸' WHEN 2 THEN ' PC 选材' WHEN 3 THEN ' 食品接触' WHEN 4 THEN ' 注塑 成型' WHEN 5 THEN ' 跌落 测试' WHEN 6 THEN ' GB/T 16252—2023' WHEN 7 THEN ' Tritan 牌号' ELSE '' END) AS question"""
+
+
+def _sql_any(expr: str, words: tuple[str, ...]) -> str:
+    return f"regexp_matches(lower({expr}), '{'|'.join(re.escape(w.lower()) for w in words)}')"
+
+
+def _sql_word(expr: str, word: str) -> str:
+    return f"regexp_matches({expr}, '(?i)(^|[^A-Za-z]){word}($|[^A-Za-z])')"
+
+
+def _sql_case(rules_: list[tuple[str, str]], default: str) -> str:
+    return f"CASE {' '.join(f'WHEN {a} THEN {b}' for a, b in rules_)} ELSE {default} END"
+
+
+_PLACE = "concat(path, ' ', title)"
+_GRADE = r"regexp_replace(trim(regexp_replace(replace(regexp_extract(concat(path, ' ', title), '(?i)\b((?:LEXAN|RADEL|TX|TRITAN|PPSU|PP|PC|PET|HDPE)[ _-]+[A-Z0-9]+)', 1), '_', ' '), '\s+', ' ', 'g')), '(?i)( (?:TDS|DATA|GUIDE|SHEET))+$', '')"
+_FLAT = r"trim(regexp_replace(left(content, 4000), '\s+', ' ', 'g'))"
+_META = f"""nd AS (SELECT {_NAMED} FROM documents),
+md AS (SELECT *, {_sql_case([(f"source_category = 'standard' OR regexp_matches({_PLACE}, '(?i)\\b(?:GB|ISO|IEC|ASTM|EN|DIN|JIS)')", "'standard'"), *((f"source_category = '{c}'", f"'{v}'") for c, v in rules.LEVEL_OF.items())], "'unknown'")} AS evidence_level FROM (SELECT *,
+  {_sql_case([*((_sql_any(_PLACE, w), f"'{c}'") for c, w in rules.CATEGORY_WORDS), (_sql_any("left(content, 3000)", rules.STANDARD_TEXT), "'standard'")], "'unknown'")} AS source_category,
+  {_sql_case([(_sql_any(f"concat({_PLACE}, ' ', left(content, 2500))", rules.MINORS), "'minors'"), (_sql_any(f"concat({_PLACE}, ' ', left(content, 2500))", rules.ELDERLY), "'elderly'"), (f"regexp_matches(concat({_PLACE}, ' ', left(content, 2500)), '{rules.ADULT_STANDARD}') OR " + _sql_any(f"concat({_PLACE}, ' ', left(content, 2500))", rules.ADULTS), "'adults'")], "'unknown'")} AS population,
+  {_sql_case([(f"contains({_GRADE}, ' ')", _GRADE), *((_sql_word(_PLACE, g), f"'{g}'") for g in rules.GRADES)], "'unknown'")} AS material_grade,
+  coalesce({', '.join(f"nullif(trim(regexp_extract({_FLAT}, '{p}', 1)), '')" for p in rules.SCOPE)}, 'unknown') AS applicability FROM nd))"""
+
+
+def _documents_with_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return rules.document_metadata(_t(spark, d, "documents").selectExpr(_NAMED.split(",", 1)[0], *_split_columns(_NAMED)))
+
+
+def _split_columns(text_: str) -> list[str]:
+    """The columns after the first, cut at commas that end a line or follow the first column."""
+    head, *rest = re.split(r",\n\s*", text_)
+    return [head.split(",", 1)[1], *rest]
+
+
+@register(f"WITH {_META} SELECT doc_id, source_category, evidence_level, population, material_grade, applicability FROM md")
+def rules_document_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata inferred from path, title and text of every document."""
+    return _documents_with_metadata(spark, d).select("doc_id", "source_category", "evidence_level", "population", "material_grade", "applicability")
+
+
+_FAMILY = {x: _sql_case([(_sql_any(x, w), f"'{f}'") for f, w in rules.FAMILIES], "'unknown'") for x in ("material_grade", "body", "m")}
+_CATS = {"sized": "'anthropometry', 'standard', 'paper', 'internal_rule', 'process_guide'", "stuff": "'material_tds', 'standard', 'reference_handbook', 'internal_rule', 'process_guide'"}
+_KEY = "regexp_replace(lower({0}), '[^0-9a-z一-鿿]', '', 'g')"
+_EVIDENCE_RULES = [
+    (f"{_sql_any('question', rules.ASKED_ADULT)} AND NOT {_sql_any('question', rules.NO_ADULT)} AND population = 'minors'", "scope_mismatch", "adult"),
+    (f"{_sql_any('question', rules.ASKED_MINORS)} AND population = 'adults'", "scope_mismatch", "minors"),
+    ("len(materials) > 0 AND material_grade <> 'unknown' AND source_category = 'material_tds' AND NOT (list_contains(fams, fg) OR list_contains(fams, fb))", "scope_mismatch", "grade"),
+    ("relevance < 0.25", "indirect", "low"),
+    (f"{_sql_any('question', rules.TOPICS['dimension'])} AND source_category IN ({_CATS['sized']}) AND {_sql_any('body', rules.GRIP)}", "direct", "grip"),
+    (f"{_sql_any('question', rules.TOPICS['dimension'])} AND source_category IN ({_CATS['sized']}) AND (source_category = 'anthropometry' OR NOT {_sql_any('body', rules.PRODUCT)})", "indirect", "body"),
+    (f"{_sql_any('question', rules.TOPICS['dimension'])} AND source_category IN ({_CATS['sized']})", "direct", "product"),
+    (f"{_sql_any('question', rules.TOPICS['food_contact'])} AND source_category IN ('standard', 'material_tds')", "direct", "food"),
+    (f"{_sql_any('question', rules.TOPICS['material'])} AND source_category IN ({_CATS['stuff']}) AND (material_grade <> 'unknown' OR source_category = 'standard')", "direct", "material"),
+    (f"{_sql_any('question', rules.TOPICS['material'])} AND source_category IN ({_CATS['stuff']})", "indirect", "background"),
+    (f"{_sql_any('question', rules.TOPICS['process'])} AND source_category IN ('process_guide', 'material_tds', 'internal_rule')", "direct", "process"),
+    (f"{_sql_any('question', rules.TOPICS['testing'])} AND source_category IN ('standard', 'paper', 'process_guide', 'internal_rule', 'material_tds')", "direct", "testing"),
+    (f"len(list_filter(refs, lambda r: {_KEY.format('r')} <> '' AND contains({_KEY.format('body')}, {_KEY.format('r')}))) > 0", "direct", "reference"),
+    ("source_category <> 'unknown'", "indirect", "related"),
+]
+_EVIDENCE = f"""WITH {_POST.format(k=20)}, {_META},
+aq AS (SELECT {_ASKED} FROM benchmark),
+jd AS (SELECT question_id, doc_id, question, md.* EXCLUDE (doc_id), round(score, 6) / (round(score, 6) + 20) AS relevance,
+  concat_ws(' ', path, title, title, 'unknown', applicability, content) AS body,
+  list_filter([{', '.join(f"CASE WHEN {_sql_word('question', m)} THEN '{m}' END" for m in rules.ASKED_MATERIALS)}], lambda x: x IS NOT NULL) AS materials,
+  regexp_extract_all(question, '{rules.REFERENCE}', 1) AS refs
+  FROM lex JOIN md USING (doc_id) JOIN aq USING (question_id)),
+jf AS (SELECT *, {_FAMILY['material_grade']} AS fg, {_FAMILY['body']} AS fb, list_filter(list_transform(materials, lambda m: {_FAMILY['m']}), lambda f: f <> 'unknown') AS fams FROM jd)
+SELECT question_id, doc_id, round(relevance, 6) AS relevance, {_sql_case([(a, f"'{s_}'") for a, s_, _ in _EVIDENCE_RULES], "'indirect'")} AS evidence_status,
+  {_sql_case([(a, "printf('" + rules.REASONS['low'] + "', relevance, 0.25)" if r == 'low' else f"'{rules.REASONS[r]}'") for a, _, r in _EVIDENCE_RULES], "'" + rules.REASONS['unknown'] + "'")} AS evidence_reason FROM jf"""
+
+
+@register(_EVIDENCE)
+def rules_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence decision list over each question's lexical candidates."""
+    asked = rules.question_profile(_t(spark, d, "benchmark").selectExpr("item_id AS question_id", *_split_columns(_ASKED)))
+    docs = _documents_with_metadata(spark, d).drop("section").withColumn("section", F.lit("unknown"))
+    score = F.round("score", 6)
+    rows = _lexical(spark, d, 20).join(asked, "question_id").join(docs, "doc_id").withColumn("relevance", score / (score + 20))
+    return rules.classify_evidence(rows).select("question_id", "doc_id", F.round("relevance", 6).alias("relevance"), "evidence_status", "evidence_reason")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textscan import give_back
-from .unitmemo import UnitMemo
+from .textscan import give_back, slices
+from .unitmemo import TokenTable
 
 MARK = "▁"
 LETTERS, PUNCTUATION = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#*$%&|"
@@ -98,8 +98,13 @@ class PieceModel:
         live = [p for p, _, k in self.pieces if k in (NORMAL, USER_DEFINED)]
         if not self.escape_whitespaces or any(re.search(f"[^{MARK}]{MARK}", p) for p in live):
             return None
-        free = [c for c in PUNCTUATION if not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in live)]
-        return re.compile(f"(?<=[^{MARK}])(?={MARK})" + (f"|(?<=[{LETTERS}])(?=[{re.escape(''.join(free))}])" if free else ""))
+        free = self.free_marks()
+        return re.compile(f"(?<=[^{MARK}])(?={MARK})" + (f"|(?<=[{LETTERS}])(?=[{re.escape(free)}])" if free else ""))
+
+    def free_marks(self) -> str:
+        """Punctuation that no piece holds after a letter."""
+        live = [p for p, _, k in self.pieces if k in (NORMAL, USER_DEFINED)]
+        return "".join(c for c in PUNCTUATION if not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in live))
 
     def merges(self) -> list[tuple[str, str]]:
         """Pairs of pieces that make a piece, best piece first."""
@@ -134,8 +139,27 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.failed: set[str] = set()
-        self.memo = UnitMemo(self._units, most=150_000)
-        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
+        self.memo = TokenTable(self._units, np.dtype("<u4"), slots=1 << 21, most_ids=1 << 22)
+        pieces = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
+        self.raw, self.raw_size = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces])
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        # what `edges` says, by bytes: a letter before and one of these after
+        self.letter = np.array([bool(re.match(f"[{LETTERS}]", chr(b))) and b < 128 for b in range(256)])
+        free = m.free_marks()
+        self.mark = np.array([chr(b) in free for b in range(256)])
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """The offsets that ``edges`` finds in UTF-8 bytes, and perhaps starts of texts."""
+        n = len(data)
+        if n < 4 or self.edges is None:
+            return np.zeros(0, np.int64)
+        marker = np.zeros(n + 3, bool)  # offset 3 and on: where a marker begins
+        marker[3 : n + 1] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+        edge = marker[3:] & ~marker[:-3]
+        latin = np.zeros(n, bool)  # whether a Latin-1 letter other than the signs of multiplication and division ends here
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        edge[1:] |= (self.letter[data[:-1]] | latin[:-1]) & self.mark[data[1:]]
+        return np.flatnonzero(edge)
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -162,14 +186,27 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text and whether all its units agree with the reference."""
-        units = [self.edges.split(t) if self.edges else [t] for t in map(self.normalise, texts)]
-        ids = [np.frombuffer(b, "<u4") for b in self.memo(units)]
-        parity = [self.failed.isdisjoint(u) for u in units] if self.failed else [True] * len(units)
-        return ids, parity
+        plain = list(map(self.normalise, texts))
+        ids: list[np.ndarray] = []
+        for _, _, part in slices(pa.array(plain, pa.large_string())):
+            ids += [np.frombuffer(b, "<u4") for b in self.memo(part, self.cuts(part.data))]
+        if not self.failed:
+            return ids, [True] * len(ids)
+        return ids, [self.failed.isdisjoint(self.edges.split(t) if self.edges else [t]) for t in plain]
+
+    def decode_all(self, rows: list[np.ndarray]) -> list[str]:
+        """The text of each row of ids."""
+        ids = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        size = self.raw_size[ids]
+        upto = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        data = self.raw[np.repeat(self.raw_at[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        ends = upto[np.cumsum([0, *map(len, rows)])].tolist()
+        texts = [data[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return [t[1:] if self.model.add_dummy_prefix and t.startswith(" ") else t for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.bytes[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.model.add_dummy_prefix and text.startswith(" ") else text
+        return self.decode_all([ids])[0]
 
 
 @contextlib.contextmanager
@@ -180,7 +217,7 @@ def codec_for(path: str) -> Iterator[Codec]:
     try:
         yield _CODECS[path]
     finally:
-        _CODECS[path].memo.known.clear()
+        _CODECS[path].memo.forget()
         give_back()
 
 
@@ -206,7 +243,7 @@ def detokenise(tokens: DataFrame, model_path: str, id_col: str = "doc_id") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec_for(model_path) as codec:
             for batch in batches:
-                texts = [codec.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+                texts = codec.decode_all([np.array(x or [], np.int64) for x in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     return tokens.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, text string")
@@ -222,7 +259,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
                     part = batch.slice(at, 256)
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     ids, parity = codec.encode(texts)
-                    back = [codec.decode(x) for x in ids]
+                    back = codec.decode_all(ids)
                     cols = {
                         "doc_id": part.column(0).cast(pa.int64()),
                         "n_ids": pa.array([len(x) for x in ids], pa.int64()),

@@ -10,31 +10,8 @@ import pandas as pd
 from .textscan import Slice, U
 
 
-class UnitMemo:
-    """``encode``: list of units to list of id sequences. At most ``most`` units are remembered, long ones never."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 700_000, longest: int = 64):
-        self.encode, self.most, self.longest, self.known = encode, most, longest, {}
-
-    def __call__(self, texts: list[list[str]]) -> list[bytes]:
-        """The joined encodings of each text's units."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        fresh = list({u for units in texts for u in units if u not in known})
-        brief = {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for u, ids in zip(part, self.encode(part), strict=True):
-                (known if len(u) <= self.longest else brief)[u] = ids
-        if brief:
-            return [b"".join([known[u] if u in known else brief[u] for u in units]) for units in texts]
-        get = known.__getitem__
-        return [b"".join(map(get, units)) for units in texts]
-
-
 class TokenTable:
-    """Like ``UnitMemo``, over the bytes of a slice: units are named by 64-bit hashes and ids are gathered in numpy.
+    """``encode``: list of units to their ids as bytes. Units are named by 64-bit hashes and their ids gathered in numpy.
 
     Names stand in a table of ``slots`` places, found by linear probing of whole arrays. When more than half of it
     is taken, or about ``most_ids`` ids are remembered, all is forgotten.
@@ -42,9 +19,9 @@ class TokenTable:
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], kind: np.dtype, slots: int = 1 << 22, most_ids: int = 1 << 23):
         self.encode, self.kind, self.slots, self.most_ids = encode, kind, slots, most_ids
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.name, self.place = np.zeros(self.slots, U), np.zeros(self.slots, np.int32)
         self.n = self.used = 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -99,10 +76,10 @@ class TokenTable:
         code, names = pd.factorize(np.maximum(s.span_hash(begin, end), U(1)))
         # a slice may bring more units than the table should take
         if self.n + len(names) > self.slots // 2 or self.used > self.most_ids:
-            self._clear()
+            self.forget()
             while len(names) > self.slots // 2:
                 self.slots *= 2
-                self._clear()
+                self.forget()
         where = self._find(names)
         fresh = np.flatnonzero(where < 0)
         if len(fresh):

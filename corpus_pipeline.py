@@ -19,7 +19,7 @@ def keep_fluent(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents beyond their language's perplexity fence go."""
     cfg = perplexity.Settings()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return perplexity.reject(docs, perplexity.train(perplexity.trusted_rows(docs, labels, cfg), cfg), cfg)
+    return perplexity.reject(docs, perplexity.train(perplexity.trusted_rows(docs, labels), cfg), cfg)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document and whether its language's quantiles keep it."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     cfg = perplexity.Settings()
-    model = perplexity.train(perplexity.trusted_rows(docs, labels, cfg), cfg)
+    model = perplexity.train(perplexity.trusted_rows(docs, labels), cfg)
     scores = perplexity.materialise(perplexity.score(docs, model, ["doc_id", "lang"]), "scores")
     judged = perplexity.verdicts(scores, perplexity.fences(scores, cfg), cfg)
     return judged.select("doc_id", "lang", "n_chars_scored", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("perplexity_limit"), "kept")

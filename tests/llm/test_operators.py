@@ -201,6 +201,66 @@ def test_perplexity(spark, docs):
     assert perplexity.reject(empty(docs), m).columns == docs.columns
 
 
+def brute_kneser_ney(texts):
+    """log P(c0 | c2 c1) over all symbols of the texts, without any bound."""
+    tri = collections.Counter()
+    for t in texts:
+        c = ["", "", *t, ""]
+        tri.update(zip(c, c[1:], c[2:]))
+
+    def order(counts):
+        n1, n2, n3, n4 = (max(1, sum(n == k for n in counts.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [min(max(x, 0.1), m - 0.1) for x, m in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3))]
+        total, left = collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3) - 1]
+        return {g: (n - d[min(n, 3) - 1]) / total[g[:-1]] for g, n in counts.items()}, {h: left[h] / total[h] for h in total}
+
+    two = collections.Counter(g[1:] for g in tri)
+    one = collections.Counter(g[1:] for g in two)
+    own3, back3 = order(tri)
+    own2, back2 = order(two)
+    total, size = sum(one.values()), max(128, len(one) + 1)
+
+    def log_p(a, b, c):
+        p = max(0, one[c,] - 0.5) / total + 0.5 * len(one) / total / size
+        p = own2.get((b, c), 0) + back2.get((b,), 1) * p
+        return np.log(own3.get((a, b, c), 0) + back3.get((a, b), 1) * p)
+
+    return log_p
+
+
+def test_perplexity_counts_everything(spark):
+    """More trusted rows and code points than any fixed table holds; each counts."""
+    rng = random.Random(3)
+    texts = ["".join(chr(0x4E00 + int(rng.paretovariate(0.4)) % 3000) for _ in range(30)) for _ in range(400)] + ["plain latin text", "\0\ud7ff\U0010ffff"]
+    m = perplexity.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    log_p = brute_kneser_ney(texts)
+    for t in [*texts[::40], texts[-1], "\u0416\u0417 latin \u4e00\u4e01", ""]:
+        c = ["", "", *t, ""]
+        want = -sum(log_p(*g) for g in zip(c, c[1:], c[2:])) / (len(t) + 1)
+        assert abs(perplexity.log_perplexity([t], m)[0] - want) < 1e-9
+    ids = spark.range(21_000).select(F.col("id").alias("doc_id"))
+    docs = ids.withColumn("text", F.lit("x"))
+    assert perplexity.trusted_rows(docs, ids.withColumn("quality", F.lit(1))).count() == 21_000
+
+
+def test_perplexity_tables_in_many_shards(spark, monkeypatch):
+    texts = spark.createDataFrame([("the cat sat on the mat and the dog sat too.",), ("zebra quilt, vexing jump",)], "text string")
+    whole = perplexity.train(texts)
+    monkeypatch.setattr(perplexity, "SHARD_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        cut = perplexity.train(texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(cut.shards[0]) > 4 > len(whole.shards[0])
+    says = ["the cat", "jumping zebras!", ""]
+    assert np.allclose(perplexity.log_perplexity(says, cut), perplexity.log_perplexity(says, whole), atol=1e-12)
+
+
 def brute_quality(t):
     w = WORD.findall(t or "")
     grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, mixing, perplexity, quality_rules, sentencepiece_codec
 from tessera.llm.common import materialise
@@ -23,9 +22,8 @@ def keep_fluent(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the document with the least id of each component stays."""
-    firsts = jaccard_join.cluster(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """N-gram Jaccard join: one document of each component stays, the least by id, vertex and text."""
+    return jaccard_join.first_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

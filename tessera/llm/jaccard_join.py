@@ -15,8 +15,9 @@
 The statistics of common n-grams only choose the order of columns (speed); results do not depend on them.
 
 Null, empty and blank texts have the empty set and link with nothing. Texts with fewer words than a shingle
-have one shingle, the whole sequence. Repeated rows count each; ties go to the smaller id. Extra columns are
-ignored. An empty table gives an empty result.
+have one shingle, the whole sequence. Repeated rows count each; ties go to the smaller id. A component found only
+under null ids has the null component_id; ``first_copies`` tells such components, and different texts of one id,
+apart by vertex. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,24 +97,24 @@ def _folded(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of kind 0: a document with its set's size and name. Kind 1: a sketch counter and its count."""
+    """Rows of kind 0: a document with the hash of its text, its set's size and name. Kind 1: a sketch counter and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH_SLOTS, np.uint32)
-        names = ["kind", "a", "n", "v", "f"]
+        names = ["kind", "a", "t", "n", "v", "f"]
         for batch in batches:
-            for i, j, s in slices(batch.column(1), fold_case=True):
+            for i, j, s in slices(batch.column(2), fold_case=True):
                 h, bounds = shingle_sets(s, n)
                 slot, c = np.unique((h >> U(42)).astype(np.int64), return_counts=True)
                 counters[slot] += c.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i).cast(pa.int64()), _long(np.diff(bounds)), _long(_vertex(h, bounds)), _folded(h, bounds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _long(np.diff(bounds)), _long(_vertex(h, bounds)), _folded(h, bounds)], names)
         # counters that stand out from the mean of the task
         slot = np.flatnonzero(counters >= max(4, 2 + int(6 * counters.mean())))
         for i in range(0, len(slot), 1 << 16):
             part = slot[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), _long(counters[part]), _long(np.zeros(len(part), np.int64)), pa.nulls(len(part), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), pa.nulls(len(part), pa.int64()), _long(counters[part]), _long(np.zeros(len(part), np.int64)), pa.nulls(len(part), pa.binary())], names)
 
-    return small_batches(docs).mapInArrow(run, "kind byte, a long, n long, v long, f binary")
+    return small_batches(docs).select("id", "t", "text").mapInArrow(run, "kind byte, a long, t long, n long, v long, f binary")
 
 
 def _heavy(scan: DataFrame) -> np.ndarray:
@@ -244,9 +245,31 @@ def _sum_links(*links: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = _members(docs, cfg, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_copies(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the least by id (null ids last), vertex and text.
+
+    Blank texts link with nothing, so each id keeps its own; rows alike in id and text are one document.
+    """
+    rows = _members(docs, cfg, id_col, text_col)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v", "t")).alias("m")
+    firsts = rows.where("n > 0").groupBy("c").agg(least).select("m.id", "m.t").union(rows.where("n = 0").select("id", "t").distinct())
+    firsts = firsts.select(F.col("id").alias("__id"), F.col("t").alias("__of"))
+    tagged = docs.withColumn("__t", F.xxhash64(text_col))
+    kept = tagged.join(firsts, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")), "left_semi")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    nth = F.row_number().over(W.partitionBy(id_col, "__t").orderBy(*rest or [id_col]))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+
+
+def _members(docs: DataFrame, cfg: Join, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, n, v, c, component_id) of every row: hash of its text, vertex, and the vertex that names its component."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     scan = materialise(_scan(base, cfg.words), "sets")
-    members = scan.where("kind = 0").select(F.col("a").alias("id"), "n", "v", "f")
+    members = scan.where("kind = 0").select(F.col("a").alias("id"), "t", "n", "v", "f")
     vertices = materialise(members.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("f").alias("f")), "vertices")
     # one row for a column and vertex, of columns with two vertices or more; all by one deal of the columns
     raw = _columns(base.select("text"), cfg, _heavy(scan)).repartition("g").groupBy("g", "v").agg(F.min("ps").alias("ps"))
@@ -271,7 +294,7 @@ def cluster(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", text_co
         if likely.isEmpty():
             continue
         ends = likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct()
-        sets = materialise(_sets(base, vertices.join(ends, "v", "left_semi").select(F.col("least").alias("id")), cfg), "vertex_sets")
+        sets = materialise(_sets(base, vertices.join(ends, "v", "left_semi").select("v", F.col("least").alias("id")), cfg), "vertex_sets")
         found = materialise(_overlaps(likely, sets, cfg.percent), "links")
         discard(sets, likely)
         if not found.isEmpty():
@@ -283,16 +306,19 @@ def cluster(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", text_co
     low = comp.join(vertices, "v").groupBy("c").agg(F.min("least").alias("m"))
     roots = comp.select("c").distinct().join(vertices.withColumnRenamed("v", "c"), "c").select("c", F.col("least").alias("r"))
     top = low.join(roots, "c").select("c", F.least("m", "r").alias("least"))
-    named = comp.join(top, "c").select("v", "least").union(top.select(F.col("c").alias("v"), "least"))
-    least = vertices.alias("x").join(named.alias("y"), "v", "left").select("v", F.coalesce("y.least", "x.least").alias("least"))
-    out = members.join(least, "v", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    named = comp.join(top, "c").select("v", "c", "least").union(top.select(F.col("c").alias("v"), "c", "least"))
+    least = vertices.alias("x").join(named.alias("y"), "v", "left").select("v", F.coalesce("y.c", "v").alias("c"), F.coalesce("y.least", "x.least").alias("least"))
+    out = members.join(least, "v", "left").select("id", "t", "n", "v", "c", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
     out = materialise(out, "clusters")
     discard(scan, vertices, *links)
     return out
 
 
 def _sets(base: DataFrame, wanted: DataFrame, cfg: Join) -> DataFrame:
-    """(v, s) of the documents with the wanted ids, their sets read from the texts."""
+    """(v, s) of the wanted vertices (v, id), their sets read from the texts under the ids.
+
+    Vertices found only under null ids are read from the rows without one, and each is kept once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +327,12 @@ def _sets(base: DataFrame, wanted: DataFrame, cfg: Join) -> DataFrame:
                 s_col = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), _long(h)).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([_long(_vertex(h, bounds)), s_col], ["v", "s"])
 
-    return base.join(wanted.distinct(), "id", "left_semi").select("text").mapInArrow(run, "v long, s array<long>")
+    schema = "v long, s array<long>"
+    sets = base.join(wanted.select("id").where("id IS NOT NULL").distinct(), "id", "left_semi").select("text").mapInArrow(run, schema)
+    lost = wanted.where("id IS NULL").select("v")
+    if lost.isEmpty():
+        return sets
+    return sets.union(base.where("id IS NULL").select("text").mapInArrow(run, schema).join(lost, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
 
 
 def _between(tagged: DataFrame, cfg: Join) -> DataFrame:

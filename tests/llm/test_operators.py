@@ -364,6 +364,38 @@ def test_jaccard_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.cluster(d).collect()} == brute_components(rows)
 
 
+def edited(name, *at):
+    """A text of 100 words, some replaced."""
+    w = [f"{name}{i}" for i in range(100)]
+    for i in at:
+        w[i] = f"edit{i}"
+    return " ".join(w)
+
+
+def test_jaccard_without_ids(spark):
+    """A text found only under null ids links, and is the bridge between two that don't link with each other."""
+    rows = [(5, edited("a", 70, 99)), (None, edited("a")), (7, edited("a", 0, 20)), (None, edited("b")), (None, edited("b", 0)), (None, edited("c"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard_join.cluster(d).collect())
+    assert got == {(5, 5): 1, (7, 5): 1, (None, 5): 1, (None, None): 3}
+
+
+def test_first_copies_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, edited("a"), "x"), (None, edited("b"), "x"), (None, edited("b", 0), "x"), (None, edited("b"), "x"), (1, edited("c"), "x"), (1, edited("d"), "x"), (1, edited("d"), "w"), (2, edited("d"), "a"), (3, edited("e"), "x"), (None, edited("e", 0), "a"), (4, " ", "x"), (5, "", "x"), (None, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.keep_first_copies(spark, d, DIR)
+    assert out.columns == d.columns
+    got = sorted(map(repr, map(tuple, out.collect())))
+    again = corpus_pipeline.keep_first_copies(spark, d.repartition(5), DIR)
+    assert got == sorted(map(repr, map(tuple, again.collect())))
+    b = [t for t in (edited("b"), edited("b", 0)) if repr((None, t, "x")) in got]
+    assert len(b) == 1
+    want = [(None, edited("a"), "x"), (None, b[0], "x"), (1, edited("c"), "x"), (1, edited("d"), "w"), (3, edited("e"), "x"), (4, " ", "x"), (5, "", "x"), (None, None, "x")]
+    assert got == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("name", ["op4_chat", "op10_jaccard"])
 def test_sql(spark, name):
     c = duckdb.connect()

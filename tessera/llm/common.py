@@ -1,28 +1,44 @@
-"""Shared folder, table materialisation, two-level running sums and broadcast-once loaders."""
+"""Shared folder, table materialisation, joins with small sides, two-level running sums."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share (``spark.checkpoint.dir``), with its file system.
 
-    Only where the session names none, as in local tests, a temporary folder of this machine is set.
+    Only a local session that names none gets a temporary folder of this machine; elsewhere executors would not see it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
+
+
+def arrow_path(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system and path of a file below the shared folder."""
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
+
+
+#: Rows of at most a few numbers or names that may be sent to every task.
+SMALL = 1_000_000
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: Column | list[str], how: str = "left", most: int = SMALL) -> DataFrame:
+    """Join with a side of one slim row a key: sent to every task after its rows are counted, else dealt by key."""
+    return rows.join(F.broadcast(small) if small.count() <= most else small.hint("merge"), on, how)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -33,15 +49,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
-    """Have Arrow hand texts to Python in batches of at most ``rows`` from here on, so that a worker holds few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends in files that survive a lost executor.
 

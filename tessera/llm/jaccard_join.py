@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, materialise, small_batches
+from .common import discard, materialise
 from .textscan import U, Slice, mix, ngrams, slices
 
 #: Counters of the sketch of n-gram frequencies, and how many of the most frequent are ordered last.
@@ -114,7 +114,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
             part = slot[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), pa.nulls(len(part), pa.int64()), _long(counters[part]), _long(np.zeros(len(part), np.int64)), pa.nulls(len(part), pa.binary())], names)
 
-    return small_batches(docs).select("id", "t", "text").mapInArrow(run, "kind byte, a long, t long, n long, v long, f binary")
+    return docs.select("id", "t", "text").mapInArrow(run, "kind byte, a long, t long, n long, v long, f binary")
 
 
 def _heavy(scan: DataFrame) -> np.ndarray:

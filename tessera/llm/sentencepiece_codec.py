@@ -3,8 +3,9 @@
 The model's protobuf is parsed here: pieces with scores and kinds, trainer and normaliser settings. From it are
 rebuilt the normaliser, the metaspace marker, the model (unigram scores, or merges by piece score where the file
 holds a BPE model) and byte fallback. Where no piece holds the marker after another character, text falls into units that
-start at the marker; each distinct unit is encoded once a worker, in multithreaded batches, and checked against
-the sentencepiece library, so ``parity`` covers every unit of every text.
+start at the marker or at punctuation after a letter; each distinct unit is encoded once a worker, in multithreaded
+batches, and checked against the sentencepiece library, so ``parity`` covers every unit of every text. It is null
+for models that put no marker before a text, as nothing is compared there.
 
 Null and empty texts have no ids. Repeated rows are encoded alike. Extra columns are ignored. Very long texts are
 encoded whole. An empty table gives an empty result.
@@ -13,6 +14,7 @@ encoded whole. An empty table gives an empty result.
 from __future__ import annotations
 
 import contextlib
+import os
 import re
 import struct
 import zlib
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .textscan import give_back, slices
 from .unitmemo import TokenTable
 
 MARK = "▁"
 LETTERS, PUNCTUATION = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#*$%&|"
 _CODECS: dict = {}
+#: What the tokenizers library reads before each batch.
+THREADS = "TOKENIZERS_PARALLELISM"
 #: Piece kinds of the format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -138,6 +141,9 @@ class Codec:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        # a model that puts no marker before a text shows no unit of its own
+        self.compares = self.reference is not None and m.add_dummy_prefix
+        self.letter_ids = self.reference.encode("a") if self.compares else []
         self.failed: set[str] = set()
         self.memo = TokenTable(self._units, np.dtype("<u4"), slots=1 << 21, most_ids=1 << 22)
         pieces = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
@@ -175,23 +181,23 @@ class Codec:
 
     def _units(self, units: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.core.encode_batch(units, add_special_tokens=False)]
-        m = self.model
-        if self.reference is not None and m.add_dummy_prefix and not m.remove_extra_whitespaces and self.charsmap is None:
-            # the reference puts a marker before what it is given: units that begin with one are comparable
-            at = [i for i, u in enumerate(units) if u.startswith(MARK) and u != MARK]
-            for i, want in zip(at, self.reference.encode([units[i][1:].replace(MARK, " ") for i in at], num_threads=1), strict=True):
-                if ids[i] != want:
-                    self.failed.add(units[i])
+        if self.compares:
+            # the reference puts a marker before what it is given; a unit without one is compared behind a letter, where it was cut
+            bare = [u.startswith(MARK) and u != MARK for u in units]
+            given = [(u[1:] if b else "a" + u).replace(MARK, " ") for u, b in zip(units, bare, strict=True)]
+            for u, b, got, want in zip(units, bare, ids, self.reference.encode(given, num_threads=1), strict=True):
+                if got != (want if b else want[len(self.letter_ids) :]) or not b and want[: len(self.letter_ids)] != self.letter_ids:
+                    self.failed.add(u)
         return [np.array(x, "<u4").tobytes() for x in ids]
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text and whether all its units agree with the reference."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool | None]]:
+        """Ids of each text and whether all its units agree with the reference; null where it can't be compared."""
         plain = list(map(self.normalise, texts))
         ids: list[np.ndarray] = []
         for _, _, part in slices(pa.array(plain, pa.large_string())):
             ids += [np.frombuffer(b, "<u4") for b in self.memo(part, self.cuts(part.data))]
         if not self.failed:
-            return ids, [True] * len(ids)
+            return ids, [True if self.compares else None] * len(ids)
         return ids, [self.failed.isdisjoint(self.edges.split(t) if self.edges else [t]) for t in plain]
 
     def decode_all(self, rows: list[np.ndarray]) -> list[str]:
@@ -214,9 +220,15 @@ def codec_for(path: str) -> Iterator[Codec]:
     """The worker's codec; the units that it learns are forgotten after the task, since workers outlive stages."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
+    before = os.environ.get(THREADS)
+    os.environ[THREADS] = "true"
     try:
         yield _CODECS[path]
     finally:
+        if before is None:
+            del os.environ[THREADS]
+        else:
+            os.environ[THREADS] = before
         _CODECS[path].memo.forget()
         give_back()
 
@@ -233,7 +245,7 @@ def tokenise(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                     ids, parity = codec.encode([t or "" for t in part.column(1).to_pylist()])
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(parity, pa.bool_())], [id_col, "ids", "parity"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, parity boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, parity boolean")
 
 
 def detokenise(tokens: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -270,4 +282,4 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
                     }
                     yield pa.RecordBatch.from_pydict(cols)
 
-    return small_batches(docs).select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean")
+    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean")

@@ -21,12 +21,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fresh_path, materialise, small_batches
+from .common import arrow_path, fresh_path, materialise
 from .textscan import slices
 from .unitmemo import TokenTable
 
@@ -150,7 +150,7 @@ class Reader:
     """Random and sequential access to one shard."""
 
     def __init__(self, path: str):
-        system, name = fs.FileSystem.from_uri(path)
+        system, name = arrow_path(path)
         self.file = system.open_input_file(name)
         size = self.file.size()
         tail = self.file.read_at(FOOTER.size, size - FOOTER.size)
@@ -275,41 +275,49 @@ def byte_bpe_encoder(tokenizer_path: str):
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under ``path`` and return their manifest (shard, path, first_key, n_docs, n_ids)."""
-    base = small_batches(docs).select(F.col(id_col).cast("long").alias("k"), F.coalesce(text_col, F.lit("")).alias("t"))
+    base = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(text_col, F.lit("")).alias("t"))
     total = base.agg(F.sum(F.octet_length("t")).alias("b")).collect()[0].b or 0
     n = max(8, -(-total // shard_bytes))
-    dealt = base.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    # rows of one id are split by text, so that a null id with many rows does not meet in one shard
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
+    dealt = base.repartitionByRange(n, *order).sortWithinPartitions(*order, "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, width = byte_bpe_encoder(tokenizer_path)
         end = end_id.to_bytes(width, "little")
-        system, root = fs.FileSystem.from_uri(path)
-        writer = first = None
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
-                    if writer is None:
-                        first = key
-                        name = f"{'null' if key is None else f'{key + (1 << 63):020d}'}.sst"
-                        system.create_dir(root, recursive=True)
-                        temp = f"{root}/.{uuid.uuid4().hex}.tmp"
-                        sink = system.open_output_stream(temp)
-                        writer = Writer(sink, width)
-                    writer.add(key_bytes(key), ids + end)
-        if writer is not None:
-            writer.close()
-            sink.close()
-            system.move(temp, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": [name], "path": [f"{path}/{name}"], "first_key": pa.array([first], pa.int64()), "n_docs": [len(writer.keys)], "n_ids": [writer.ids]})
+        system, root = arrow_path(path)
+        part_id = TaskContext.get().partitionId()
+        writer = first = temp = None
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.slice(at, 256)
+                    for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
+                        if writer is None:
+                            first = key
+                            name = f"{part_id:06d}-{'null' if key is None else f'{key + (1 << 63):020d}'}.sst"
+                            system.create_dir(root, recursive=True)
+                            temp = f"{root}/.{uuid.uuid4().hex}.tmp"
+                            sink = system.open_output_stream(temp)
+                            writer = Writer(sink, width)
+                        writer.add(key_bytes(key), ids + end)
+            if writer is not None:
+                writer.close()
+                sink.close()
+                system.move(temp, f"{root}/{name}")
+                temp = None
+                yield pa.RecordBatch.from_pydict({"shard": [name], "path": [f"{path}/{name}"], "first_key": pa.array([first], pa.int64()), "n_docs": [len(writer.keys)], "n_ids": [writer.ids]})
+        finally:
+            if temp is not None:
+                system.delete_file(temp)
 
     return materialise(dealt.mapInArrow(run, "shard string, path string, first_key long, n_docs long, n_ids long"), "manifest")
 
 
 
 def offsets(manifest: DataFrame) -> DataFrame:
-    """The manifest with ``start``: ids in the shards before. One row a shard of ``shard_bytes`` of text."""
-    before = W.orderBy(F.col("first_key").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    """The manifest with ``start``: ids in the shards before, whose names are in order. One row a shard of ``shard_bytes`` of text."""
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -354,5 +362,4 @@ def _stored(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
 
 
 def new_folder(docs: DataFrame) -> str:
-    path = fresh_path(docs.sparkSession, "sst")
-    return path if "://" in path else "file://" + path.removeprefix("file:")
+    return fresh_path(docs.sparkSession, "sst")

@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are lower-cased words without surrounding punctuation, hashed. On a bounded sample of labelled rows, terms that go with the
-label (z score of their share among toxic texts) become features; the machine learns a weight and a factor
+label (z score of their share among toxic texts), alone or with another frequent term, become features; the machine learns a weight and a factor
 vector each, so pairs such as an insult with a mention of a group score beyond the sum of their weights. The
 model is small and bounded by its parameters; scoring reads every text whole, where it is stored.
 
@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .textscan import U, Slice, slices
 
 
@@ -33,6 +32,9 @@ class Settings:
     max_features: int = 4_096
     min_z: float = 4.0
     min_toxic_rows: int = 4
+    #: Pairs of these most frequent terms are looked at too, so that terms count that tell something only together.
+    pair_terms: int = 2_048
+    pair_z: float = 8.0
     factors: int = 8
     epochs: int = 40
     rate: float = 0.1
@@ -64,12 +66,14 @@ _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 def terms(s: Slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, hashed term) pairs of a slice; ASCII punctuation around a word is not part of its term."""
-    starts, ends = s.starts.copy(), s.ends.copy()
-    for _ in range(4):
-        open_ = (starts < ends) & _EDGE[s.data[np.minimum(starts, len(s.data) - 1)]] if len(s.data) else np.zeros(0, bool)
-        starts = starts + open_
-        shut = (starts < ends) & _EDGE[s.data[np.maximum(ends - 1, 0)]] if len(s.data) else open_
-        ends = ends - shut
+    # the next offset with another character, and the end of the last one before
+    n = len(s.data)
+    at = np.arange(n)
+    inner = ~_EDGE[s.data]
+    following = np.minimum.accumulate(np.where(inner, at, n)[::-1])[::-1]
+    preceding = np.maximum.accumulate(np.where(inner, at + 1, 0))
+    starts = np.minimum(following[s.starts], s.ends)
+    ends = np.maximum(preceding[s.ends - 1], starts)
     h = (s.span_hash(starts, ends) >> U(64 - bits)).astype(np.int64)
     key = np.unique((s.word_text()[ends > starts] << bits) | h[ends > starts])
     return key >> bits, key & ((1 << bits) - 1)
@@ -108,12 +112,37 @@ def train(rows: DataFrame, cfg: Settings = Settings()) -> Model:
     hit = np.bincount(flat, weights=y[at], minlength=1 << cfg.hash_bits)
     z = (hit - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
     slots = np.flatnonzero(((z > cfg.min_z) & (hit >= cfg.min_toxic_rows)) | ((z < -cfg.min_z) & (n >= 30)))
-    slots = np.sort(slots[np.argsort(-np.abs(z[slots]), kind="stable")[: cfg.max_features]])
+    slots = slots[np.argsort(-np.abs(z[slots]), kind="stable")[: cfg.max_features]]
+    slots = np.union1d(slots, _pairs(flat, at, y, n, share, cfg))
     where = np.searchsorted(slots, flat)
     keep = (where < len(slots)) & (slots[np.minimum(where, max(len(slots) - 1, 0))] == flat) if len(slots) else np.zeros(len(flat), bool)
     return _fit(slots, at[keep], where[keep], y, cfg)
 
 
+def _pairs(flat: np.ndarray, at: np.ndarray, y: np.ndarray, n: np.ndarray, share: float, cfg: Settings) -> np.ndarray:
+    """Terms whose pair goes with toxic texts beyond chance, though neither need do so alone, among the most frequent terms."""
+    common = np.flatnonzero(n >= cfg.min_toxic_rows)
+    common = np.sort(common[np.argsort(-n[common], kind="stable")[: cfg.pair_terms]])
+    where = np.searchsorted(common, flat)
+    known = np.flatnonzero((where < len(common)) & (common[np.minimum(where, len(common) - 1)] == flat)) if len(common) else np.zeros(0, int)
+    both, hit = (np.zeros((len(common), len(common)), np.float32) for _ in range(2))
+    bounds = np.searchsorted(at[known], np.arange(0, len(y) + 2048, 2048))
+    for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        x = np.zeros((2048, len(common)), np.float32)
+        x[at[known[i:j]] - 2048 * k, where[known[i:j]]] = 1
+        both += x.T @ x
+        toxic = x[: len(y) - 2048 * k][y[2048 * k : 2048 * k + 2048] > 0]
+        hit += toxic.T @ toxic
+    z = (hit - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1e-9))
+    # beyond what the better of the two shows alone
+    one = np.diagonal(z)
+    strong = (z > cfg.pair_z) & (hit >= 2 * cfg.min_toxic_rows) & (z > np.maximum(one[:, None], one[None, :]) + cfg.min_z)
+    np.fill_diagonal(strong, False)
+    i, j = np.nonzero(strong)
+    best = np.argsort(-z[i, j], kind="stable")[: cfg.max_features]
+    return common[np.unique(np.concatenate([i[best], j[best]]))]
+
+
 def _fit(slots: np.ndarray, rows: np.ndarray, feats: np.ndarray, y: np.ndarray, cfg: Settings) -> Model:
     """Full-gradient Adam on logistic loss with L2 decay; kinds are weighted back to even odds of mistakes."""
     m, n, rng = len(slots), len(y), np.random.RandomState(7)
@@ -155,4 +184,4 @@ def score(docs: DataFrame, model: Model, cfg: Settings = Settings(), threshold:
                 p = m.score(r[f >= 0], f[f >= 0], s.n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")

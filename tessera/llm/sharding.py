@@ -2,7 +2,7 @@
 
 Documents with equal texts are linked. Every document starts in a shard by hash. In each round the members of a
 group ask for the shard that already holds most of them, among shards with room; requests are admitted, largest
-gain first, up to the room left. Equal members of a group in one shard are one row with a count, so a group of any
+gain first, up to the room left; rounds go on until nobody moves. Equal members of a group in one shard are one row with a count, so a group of any
 size costs at most one row a shard, and rounds join and sum these rows only. Documents without links fill what
 is left: a last pass pours what exceeds a shard's quota into the free slots, so that row counts differ by one at most.
 
@@ -24,7 +24,6 @@ from .common import discard, materialise, running_sum
 @dataclass(frozen=True)
 class Settings:
     shards: int = 24
-    rounds: int = 8
     #: Rows that one task may rank together.
     per_bucket: int = 50_000
 
@@ -45,9 +44,13 @@ def prepare(docs: DataFrame, cfg: Settings, id_col: str = "doc_id", text_col: st
 
 
 def propagate(state: DataFrame, quota: list[int], cfg: Settings) -> DataFrame:
-    """Rounds over (g1, g2, shard, c); returns the last state."""
+    """Rounds over (g1, g2, shard, c) until no member can move to more of its kind; returns the last state.
+
+    Each move makes the sum of squares of c larger, so the rounds end.
+    """
     per = W.partitionBy(*GROUP)
-    for _ in range(cfg.rounds):
+    deal = max(64, -(-state.count() // (cfg.shards * cfg.per_bucket)))
+    while True:
         load = dict(state.groupBy("shard").agg(F.sum("c").alias("c")).collect())
         free = [q - load.get(s, 0) for s, q in enumerate(quota)]
         room = _at(free, F.col("shard"))
@@ -55,17 +58,25 @@ def propagate(state: DataFrame, quota: list[int], cfg: Settings) -> DataFrame:
         asked = state.withColumn("best", best).withColumn("to", -F.col("best.s"))
         moves = (F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & (F.col("to") < F.col("shard")))
         wish = asked.where(F.col("best").isNotNull() & moves).select(*GROUP, "shard", "c", "to", F.col("best.c").alias("gain"))
-        # larger gains in earlier buckets: powers of two, each dealt over 64
-        bucket = (64 - F.floor(F.log2(F.col("gain") + 1))) * 64 + F.pmod(F.col("g1"), F.lit(64))
+        # larger gains in earlier buckets: powers of two, each dealt over many
+        bucket = (64 - F.floor(F.log2(F.col("gain") + 1))) * deal + F.pmod(F.col("g1"), F.lit(deal))
         prior = running_sum(wish, ["to"], bucket.cast("int"), [F.desc("gain"), *[F.col(g) for g in GROUP], F.col("shard")], F.col("c"), "prior")
         moved = prior.withColumn("m", F.least("c", F.greatest(F.lit(0), _at(free, F.col("to")) - F.col("prior")))).where("m > 0")
         moved = materialise(moved.select(*GROUP, "shard", "to", "m"), "moves")
         if moved.isEmpty():
-            break
+            discard(moved)
+            return state
         parts = state.select(*GROUP, "shard", "c").union(moved.select(*GROUP, "shard", -F.col("m"))).union(moved.select(*GROUP, F.col("to"), "m"))
         old, state = state, materialise(parts.groupBy(*GROUP, "shard").agg(F.sum("c").alias("c")).where("c > 0"), "state")
         discard(old, moved)
-    return state
+
+
+def cut_edges(assigned: DataFrame, group: list[str]) -> DataFrame:
+    """(groups, split, edges, cut): groups of linked rows, those in several shards, pairs of linked rows and pairs apart."""
+    per = assigned.groupBy(*group, "shard").agg(F.count(F.lit(1)).alias("c"))
+    each = per.groupBy(*group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("shards"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("inside")).where("n > 1")
+    edges = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))
+    return each.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("shards") > 1).alias("split"), edges.cast("long").alias("edges"), (edges - F.coalesce(F.sum("inside"), F.lit(0.0))).cast("long").alias("cut"))
 
 
 def assign(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

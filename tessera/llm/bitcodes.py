@@ -7,7 +7,7 @@ whose lower bound on distance passes the k-th upper bound are reranked with the
 precision. Queries visit the blocks of their ``probes`` nearest centroids.
 
 Equal vectors are coded once with their k + 1 smallest ids, which is all that any result can need, so copies cost
-nothing. Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
+nothing. An id with several vectors asks with each of them and is found by its nearest. Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 different length do not compare. Rows repeated with the same id and vector count once; a query never returns its
 own id. Ties go to the smaller id. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ class Settings:
     #: Cells a query visits; by default all: with 24 of 100 cells recall on 51,282 vectors was 0.72.
     probes: int = 4_096
     block: int = 8_192
+    #: Queries of one task.
+    queries: int = 8_192
     #: Width of the error bounds in standard deviations.
     width: float = 3.0
     rounds: int = 8
@@ -43,15 +46,20 @@ class Settings:
 
 @dataclass(frozen=True)
 class Index:
-    """By length of vector: centroids, rotation and number of blocks of each cell."""
+    """By length of vector: centroids and number of blocks of each cell. A length with few vectors has one cell around zero."""
 
     centroids: dict[int, np.ndarray]
-    rotation: dict[int, np.ndarray]
     blocks: dict[int, np.ndarray]
 
+    def centre(self, d: int) -> np.ndarray:
+        return self.centroids[d] if d in self.centroids else np.zeros((1, d))
+
+    def block_counts(self, d: int) -> np.ndarray:
+        return self.blocks[d] if d in self.blocks else np.ones(1, np.int64)
+
     def cells(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each vector, nearest first."""
-        c = self.centroids[x.shape[1]]
+        c = self.centre(x.shape[1])
         d = (c * c).sum(1)[None, :] - 2 * (x @ c.T)
         n = min(n, len(c))
         near = np.argpartition(d, n - 1, axis=1)[:, :n]
@@ -70,12 +78,16 @@ def distinct_vectors(table: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("p", "q").agg(F.first("e").alias("e"), F.sort_array(F.collect_set("id")).alias("ids"))
 
 
+@lru_cache(8)
+def rotation(d: int) -> np.ndarray:
+    """The random rotation of vectors of one length."""
+    return np.linalg.qr(np.random.RandomState(d).normal(size=(d, d)))[0]
+
+
 def fit(vectors: DataFrame, cfg: Settings) -> Index:
-    """Centroids by k-means on a bounded sample chosen by hash; a random rotation a length."""
-    total = vectors.groupBy(F.size("e").alias("d")).count().collect()
-    if len(total) > 1_000:
-        raise ValueError("more than 1000 lengths of vector")
-    index = Index({}, {}, {})
+    """Centroids by k-means on a bounded sample chosen by hash, for each length of which there are more vectors than a block holds."""
+    total = vectors.groupBy(F.size("e").alias("d")).count().where(F.col("count") > cfg.block).collect()
+    index = Index({}, {})
     for d, n in sorted((r["d"], r["count"]) for r in total):
         share = min(1.0, 1.2 * cfg.sample / n)
         part = vectors.where(F.size("e") == d).where(F.pmod(F.xxhash64("p", "q"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -91,7 +103,6 @@ def fit(vectors: DataFrame, cfg: Settings) -> Index:
             np.add.at(sums, near[order], x[order])
             c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
         index.centroids[d] = c
-        index.rotation[d] = np.linalg.qr(rng.normal(size=(d, d)))[0]
         index.blocks[d] = np.maximum(1, np.ceil(size / len(x) * n / cfg.block)).astype(np.int64)
     return index
 
@@ -116,34 +127,37 @@ def encode(vectors: DataFrame, index: Index) -> DataFrame:
             for d, rows in _by_length(batch.column(2)):
                 x = _matrix(batch.column(2), rows, d)
                 cell = ix.cells(x, 1)[:, 0]
-                r = (x - ix.centroids[d][cell]) @ ix.rotation[d]
+                r = (x - ix.centre(d)[cell]) @ rotation(d)
                 norm = np.sqrt((r * r).sum(1))
                 own = np.abs(r).sum(1) / np.sqrt(d) / np.where(norm > 0, norm, 1)
                 code = np.packbits(r > 0, axis=1)
-                sub = batch.column(0).take(pa.array(rows)).to_numpy() % ix.blocks[d][cell]
+                sub = batch.column(0).take(pa.array(rows)).to_numpy() % ix.block_counts(d)[cell]
                 take = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), d), pa.int32()), pa.array(cell, pa.int32()), pa.array(sub, pa.int64()), take.column(3), take.column(2), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(own)], ["d", "cell", "sub", "ids", "e", "code", "norm", "own"])
 
     return vectors.select("p", "q", "e", "ids").mapInArrow(run, "d int, cell int, sub long, ids array<long>, e array<double>, code binary, norm double, own double")
 
 
-def route(queries: DataFrame, index: Index, cfg: Settings) -> DataFrame:
-    """(d, cell, sub, p, q, e): each query vector once a block of its nearest cells."""
+def route(queries: DataFrame, index: Index, cfg: Settings, parts: int) -> DataFrame:
+    """(d, cell, sub, part, p, q, e): each query vector once a block of its nearest cells, dealt over ``parts``."""
     known = queries.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = known.value
         for batch in batches:
             for d, rows in _by_length(batch.column(2)):
-                near = ix.cells(_matrix(batch.column(2), rows, d), cfg.probes)
-                n = ix.blocks[d][near]
-                at = np.repeat(np.repeat(np.arange(len(rows)), near.shape[1]), n.ravel())
-                cell = np.repeat(near.ravel(), n.ravel())
-                sub = np.arange(len(at)) - np.repeat(np.cumsum(n.ravel()) - n.ravel(), n.ravel())
-                take = batch.take(pa.array(rows[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(cell, pa.int32()), pa.array(sub, pa.int64()), *take.columns], ["d", "cell", "sub", "p", "q", "e"])
+                # a slice of queries at a time, as each is repeated for all blocks
+                for some in np.array_split(rows, max(1, len(rows) // 64)):
+                    near = ix.cells(_matrix(batch.column(2), some, d), cfg.probes)
+                    n = ix.block_counts(d)[near]
+                    at = np.repeat(np.repeat(np.arange(len(some)), near.shape[1]), n.ravel())
+                    cell = np.repeat(near.ravel(), n.ravel())
+                    sub = np.arange(len(at)) - np.repeat(np.cumsum(n.ravel()) - n.ravel(), n.ravel())
+                    take = batch.take(pa.array(some[at]))
+                    part = take.column(0).to_numpy() % parts
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(cell, pa.int32()), pa.array(sub, pa.int64()), pa.array(part, pa.int64()), *take.columns], ["d", "cell", "sub", "part", "p", "q", "e"])
 
-    return queries.select("p", "q", "e").mapInArrow(run, "d int, cell int, sub long, p long, q long, e array<double>")
+    return queries.select("p", "q", "e").mapInArrow(run, "d int, cell int, sub long, part long, p long, q long, e array<double>")
 
 
 def estimate(code: np.ndarray, norm: np.ndarray, own: np.ndarray, r: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +178,7 @@ def estimate(code: np.ndarray, norm: np.ndarray, own: np.ndarray, r: np.ndarray,
 
 
 def search(index_rows: DataFrame, routed: DataFrame, index: Index, cfg: Settings) -> DataFrame:
-    """(p, q, id, score): for each query vector the nearest k + 1 ids found."""
+    """(p, q, id, score): for each query vector the nearest k + 1 ids found; a task has a block and one part of the queries."""
     known = index_rows.sparkSession.sparkContext.broadcast(index)
     want = cfg.k + 1
 
@@ -184,7 +198,7 @@ def search(index_rows: DataFrame, routed: DataFrame, index: Index, cfg: Settings
             p, q = asked.column("p").to_pylist(), asked.column("q").to_pylist()
             for at in range(0, len(qs), 256):
                 part = qs[at : at + 256]
-                low, high = estimate(code, norm, own, (part - ix.centroids[d][cell]) @ ix.rotation[d], cfg.width)
+                low, high = estimate(code, norm, own, (part - ix.centre(d)[cell]) @ rotation(d), cfg.width)
                 n = min(want, len(x))
                 bar = np.partition(high, n - 1, axis=1)[:, n - 1]
                 for k in range(len(part)):
@@ -198,7 +212,7 @@ def search(index_rows: DataFrame, routed: DataFrame, index: Index, cfg: Settings
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-    keys = ["d", "cell", "sub"]
+    keys = ["d", "cell", "sub", "part"]
     found = index_rows.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(block, "p long, q long, ids array<long>, score double")
     by = W.partitionBy("p", "q")
     near = found.withColumn("rk", F.row_number().over(by.orderBy("score", F.col("ids")[0]))).where(F.col("rk") <= want)
@@ -212,10 +226,14 @@ def neighbours(table: DataFrame, is_query: Column, cfg: Settings = Settings()) -
     vectors = materialise(distinct_vectors(slim, cfg.k + 1), "vectors")
     index = fit(vectors, cfg)
     asked = slim.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.expr("transform(embedding, x -> double(x) + 0D)").alias("e")).where(usable("e")).where("query_id IS NOT NULL")
-    asked = asked.withColumn("p", F.xxhash64("e")).withColumn("q", F.xxhash64(F.lit(11), "e"))
-    if not index.centroids:
-        return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    found = search(encode(vectors, index), route(asked.dropDuplicates(["p", "q"]), index, cfg), index, cfg)
+    asked = materialise(asked.withColumn("p", F.xxhash64("e")).withColumn("q", F.xxhash64(F.lit(11), "e")), "asked")
+    unique = asked.dropDuplicates(["p", "q"])
+    # as many parts as keep a task's queries few; each part meets every block
+    parts = max(1, -(-unique.count() // cfg.queries))
+    coded = encode(vectors, index).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = search(coded, route(unique, index, cfg, parts), index, cfg)
     own = asked.select("query_id", "p", "q").distinct().join(found, ["p", "q"]).where("query_id <> id")
+    # an id with several vectors asks with each, and is found by its nearest
+    own = own.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= cfg.k)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

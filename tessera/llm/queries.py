@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all formatted conversations, read back from template and loss mask."""
+    """Digests of all formatted conversations, stored in several layouts, read back from template and loss mask."""
     table = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     says = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], table.schema)
@@ -68,7 +68,7 @@ def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = perplexity.train(perplexity.trusted_rows(docs, labels), cfg)
     scores = perplexity.materialise(perplexity.score(docs, model, ["doc_id", "lang"]), "scores")
     judged = perplexity.verdicts(scores, perplexity.fences(scores, cfg), cfg)
-    return judged.select("doc_id", "lang", "n_chars_scored", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("perplexity_limit"), "kept")
+    return judged.select("row.doc_id", "row.lang", "n_chars_scored", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("perplexity_limit"), "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

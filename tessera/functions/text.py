@@ -50,8 +50,10 @@ def token_estimate(text: Column) -> Column:
 
 
 def error_class(message: Column) -> Column:
+    """provider_timeout, provider_rate_limit or provider_error; null where there is no message."""
     m = F.lower(message)
-    return F.when(m.rlike("timeout|timed out"), "provider_timeout").when(m.rlike("rate.?limit|429|too many requests"), "provider_rate_limit").otherwise("provider_error")
+    kind = F.when(m.rlike("timeout|timed out|deadline|超时"), "provider_timeout").when(m.rlike("rate limit|rate_limit|429|限流|too many requests"), "provider_rate_limit").otherwise("provider_error")
+    return F.when(F.length(message) > 0, kind)
 
 
 def first_heading(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.stats import cut_rank
+from ..functions.stats import values_at
 from ..functions.text import numbers
 
 
@@ -23,8 +23,11 @@ def chunk_id(*parts: Column) -> Column:
 
 
 def chunk_statistics(chunks: DataFrame, text_col: str) -> DataFrame:
-    n = F.length(text_col)
-    return chunks.agg(F.count("*").alias("chunk_count"), F.round(F.avg(n), 2).alias("mean_chars"), cut_rank(F.collect_list(n), 0.95).alias("p95_chars"))
+    """(chunk_count, mean_chars, p95_chars): one row, zeros where there is no chunk."""
+    n = chunks.select(F.length(text_col).cast("long").alias("n"))
+    p95 = values_at(n, [], "n", {"p": ("cut", 0.95)}).agg(F.max("p").alias("p"))
+    got = n.agg(F.count("*").alias("chunk_count"), F.coalesce(F.round(F.avg("n"), 2), F.lit(0.0)).alias("mean_chars"))
+    return got.join(F.broadcast(p95), F.lit(True)).select("chunk_count", "mean_chars", F.coalesce("p", F.lit(0)).alias("p95_chars"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:

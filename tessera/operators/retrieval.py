@@ -1,7 +1,7 @@
 """Many questions at once: field-weighted BM25, exact dense search, fusion, blending, caps and audit columns.
 
-Questions are a small table; documents are scanned once for all of them. Postings are joined by term, so a question
-meets only documents that share a term with it.
+Questions are a small table; documents are scanned where they are. Terms that no question has leave a document's row
+before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -11,53 +11,105 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import lexical_terms
+from . import entities
 
 #: Field weights of the term frequency (fixed values); a field that is absent here counts in length only.
 FIELD_WEIGHTS = {"content": 1.0, "source": 3.0, "title": 3.0, "section_path": 3.0, "parent_document": 2.0}
 RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT = 60, 0.55, 0.45
+#: Rows of a question table's terms, or of another slim table, that may be sent to every task.
+SMALL = 1_000_000
+#: First characters of what is not a term: exact, stable and canonical identifiers.
+EXACT, STABLE, CANONICAL = "\u0001", "\u0002", "\u0003"
 
 
-def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, term, tf, len): distinct terms a field, weighted; len is the number of distinct terms over fields."""
+def join_small(rows: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner", most: int = SMALL) -> DataFrame:
+    """Join with a slim table: sent to every task once its rows are counted to be few, else dealt by key."""
+    return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
-    def weighted(field: str) -> Column:
-        weight = F.lit(FIELD_WEIGHTS.get(field, 0.0)).alias("w")
-        return F.transform(lexical_terms(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), weight))
 
-    parts = [weighted(f) for f in fields]
-    all_terms = docs.select(id_col, F.concat(*parts).alias("ts")).withColumn("len", F.size("ts"))
-    return all_terms.select(id_col, "len", F.explode("ts").alias("t")).groupBy(id_col, "len", "t.term").agg(F.sum("t.w").alias("tf"))
+def document_terms(docs: DataFrame, id_col: str, fields: list[str], wanted: Column | None = None) -> DataFrame:
+    """(id, len, term, tf): distinct terms weighted by the fields that hold them, and a row with null term a document.
+
+    len is the number of distinct terms summed over fields. ``wanted``: a column with an array of identifiers to look for.
+    """
+    names = {f: f"t{i}" for i, f in enumerate(fields)}
+    first, *rest = sorted(fields, key=lambda f: f != "content")
+    parts = docs.select(F.col(id_col).alias("id"), *([wanted.alias("wanted")] if wanted is not None else []), *[F.coalesce(F.col(f), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)])
+    parts = parts.select("*", *[lexical_terms(F.col(f"f{i}")).alias(names[f]) for i, f in enumerate(fields)])
+    length = sum([F.size(n) for n in names.values()], F.lit(0))
+
+    def weight(term: Column, known: str | None) -> Column:
+        held = [F.when(F.array_contains(names[f], term), FIELD_WEIGHTS.get(f, 0.0)).otherwise(0.0) for f in fields if f != known]
+        return sum(held, F.lit(FIELD_WEIGHTS.get(known, 0.0) if known else 0.0))
+
+    terms = F.transform(names[first], lambda x: F.struct(x.alias("term"), weight(x, first).alias("tf")))
+    if rest:
+        others = F.array_except(F.array_distinct(F.concat(*[F.col(names[f]) for f in rest])), F.col(names[first]))
+        terms = F.concat(terms, F.transform(others, lambda x: F.struct(x.alias("term"), weight(x, None).alias("tf"))))
+    extra = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("tf")))
+    if wanted is not None:
+        meta = F.lower(F.concat_ws(" ", *[F.col(f"f{i}") for i, f in enumerate(fields) if f != "content"]))
+        body = F.lower(F.concat_ws(" ", *[F.col(f"f{i}") for i, f in enumerate(fields) if f == "content"]))
+        parts = parts.withColumn("a", F.regexp_replace(meta, "\\s+", "")).withColumn("b", F.regexp_replace(body, "\\s+", "")).withColumn("c", F.regexp_replace(F.concat_ws(" ", meta, body), "[^a-z0-9]", "")).withColumn("d", entities.canonical_ids(F.concat_ws(" ", meta, body)))
+        value = lambda x: F.substring(x, 2, 1 << 30)
+        here = lambda x: F.when(x.startswith(EXACT), F.contains(F.col("a"), value(x)) | F.contains(F.col("b"), value(x))).when(x.startswith(STABLE), F.contains(F.col("c"), value(x))).otherwise(F.array_contains("d", value(x)))
+        extra = F.concat(extra, F.transform(F.filter("wanted", here), lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("tf"))))
+    return parts.select(F.col("id").alias(id_col), length.alias("len"), F.explode(F.concat(terms, extra)).alias("x")).select(id_col, "len", "x.term", "x.tf")
+
+
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(question_id, term, bonus): a question's terms, and its identifiers with what an occurrence adds."""
+    exact, stable = entities.identifiers(F.col("question"))
+    named = F.array_distinct(F.filter(F.transform(entities.query_entities(F.col("question")), entities.canonical_id), lambda x: x.isNotNull()))
+    mark = lambda arr, m, worth: F.transform(F.filter(arr, lambda x: x != ""), lambda x: F.struct(F.concat(F.lit(m), x).alias("term"), F.lit(worth).alias("bonus")))
+    plain = F.transform(lexical_terms(F.col("question")), lambda x: F.struct(x.alias("term"), F.lit(None).cast("double").alias("bonus")))
+    # a question without terms asks nothing
+    rows = questions.select("question_id", plain.alias("p"), F.concat(mark(exact, EXACT, entities.IDENTIFIER_BONUS), mark(stable, STABLE, entities.STABLE_BONUS), mark(named, CANONICAL, entities.CANONICAL_BONUS)).alias("m")).where(F.size("p") > 0)
+    each = rows.select("question_id", F.explode(F.concat("p", "m")).alias("x")).select("question_id", "x.term", "x.bonus")
+    return each.groupBy("question_id", "term").agg(F.sum("bonus").alias("bonus"))
+
+
+def bm25_scores(docs: DataFrame, questions: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(question_id, id, score) of all pairs with a positive score: BM25 plus what exact identifiers add."""
+    asked = question_terms(questions)
+    # one row: the identifiers of all questions
+    wanted = asked.where("bonus IS NOT NULL").agg(F.sort_array(F.collect_set("term")).alias("__wanted"))
+    rows = document_terms(docs.join(F.broadcast(wanted), F.lit(True), "left"), id_col, fields, F.coalesce("__wanted", F.array().cast("array<string>")))
+    # the terms of all questions and the null term that counts documents
+    vocabulary = asked.select("term").union(docs.sparkSession.range(1).select(F.lit(None).cast("string"))).distinct().withColumnRenamed("term", "word")
+    hits = join_small(rows, vocabulary, F.col("term").eqNullSafe(F.col("word"))).drop("word")
+    stats = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total"))
+    whole = stats.where("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avg_len"))
+    # one row on the right
+    known = asked.join(stats.where("term IS NOT NULL").select("term", "df"), "term").join(F.broadcast(whole), F.lit(True))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = known.select("question_id", "term", "bonus", idf.alias("idf"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len"))
+    scored = join_small(hits.where("term IS NOT NULL"), known, ["term"])
+    part = F.coalesce("bonus", F.col("idf") * 2.5 * F.col("tf") / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))))
+    return scored.where("tf > 0").groupBy("question_id", id_col).agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: list[str], k: int) -> DataFrame:
     """(question_id, id, score, rank) of the k best documents a question; ties to the smaller id."""
-    terms = questions.select("question_id", F.explode(lexical_terms(F.col("question"))).alias("term"))
-    # only terms that some question has are carried on
-    post = postings(docs, id_col, fields)
-    sizes = post.select(id_col, "len").distinct().agg(F.avg("len").alias("avg_len"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    hits = post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.countDistinct(id_col).alias("df"))
-    # two one-row tables
-    scored = terms.join(df, "term").join(hits, "term").join(F.broadcast(sizes), F.lit(True)).join(F.broadcast(n), F.lit(True))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * 2.5 * F.col("tf") / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0))))
-    got = scored.groupBy("question_id", id_col).agg(F.sum(part).alias("score")).where("score > 0")
-    return top_k(got, ["question_id"], [F.desc(F.round("score", 9)), F.col(id_col)], k)
+    return top_k(bm25_scores(docs, questions, id_col, fields), ["question_id"], [F.desc(F.round("score", 9)), F.col(id_col)], k)
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     return rows.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(out) <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
     """(question_id, vec_id, relevance, rank): exact cosine of unit vectors, shifted to 0..1.
 
-    ``queries`` is a stated, small table and is sent to every task; its caller checks the size.
+    Queries are packed into blocks of at most ``block`` vectors, one row each. All blocks are sent to every task if there
+    are at most ``block`` of them; else vectors meet a block at a time. A task keeps the k best a query before the shuffle.
     """
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(queries.select("question_id", F.col("embedding").alias("q"))), F.col("vec_id") != F.col("question_id"))
-    return top_k(pairs.select("question_id", "vec_id", ((dot + 1) / 2).alias("relevance")), ["question_id"], [F.desc(F.round("relevance", 9)), F.col("vec_id")], k)
+    numbered = queries.select("question_id", F.col("embedding").alias("q")).withColumn("b", F.pmod(F.xxhash64("question_id"), F.lit(max(1, -(-queries.count() // block)))))
+    blocks = numbered.groupBy("b").agg(F.collect_list(F.struct("question_id", "q")).alias("qs"))
+    few = blocks.count() <= block
+    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(blocks) if few else blocks, F.lit(True)).select("vec_id", "embedding", F.explode("qs").alias("x")).where("vec_id <> x.question_id")
+    dot = F.aggregate(F.zip_with("embedding", "x.q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return top_k(pairs.select("x.question_id", "vec_id", ((dot + 1) / 2).alias("relevance")), ["question_id"], [F.desc(F.round("relevance", 9)), F.col("vec_id")], k)
 
 
 def rrf(dense_hits: DataFrame, lexical_hits: DataFrame, key: list[str], dw: float = DENSE_WEIGHT, lw: float = LEXICAL_WEIGHT) -> DataFrame:
@@ -132,20 +184,21 @@ def add_unseen(first: DataFrame, more: DataFrame, cap: int) -> DataFrame:
     return first.withColumn("origin", F.lit("first")).unionByName(new.withColumn("origin", F.lit("sub")), allowMissingColumns=True)
 
 
-#: Named source matchers; they give different hits on purpose.
 def matches(kind: str, expected: Column, actual: Column) -> Column:
-    from ..functions.text import basename, squeezed
-
-    e, a = squeezed(expected), squeezed(actual)
+    """Named source matchers; they give different hits on purpose."""
+    slashed = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "\\\\", "/"))
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
     if kind == "basename":
-        return basename(expected) == basename(actual)
+        return name(slashed(expected)) == name(slashed(actual))
     if kind == "basename_or_contains":
-        return (basename(expected) == basename(actual)) | F.contains(a, e)
+        e, a = (F.regexp_replace(slashed(c), "\\s+", "") for c in (expected, actual))
+        return (name(e) == name(a)) | F.contains(a, e)
     if kind == "bidirectional":
-        return (basename(expected) == basename(actual)) | F.contains(F.lower(actual), F.lower(expected)) | F.contains(F.lower(expected), F.lower(actual))
+        e, a = (F.regexp_replace(slashed(c), "/+$", "") for c in (expected, actual))
+        return (e != "") & (a != "") & (F.contains(a, e) | F.contains(e, a) | (name(e) == name(a)))
     if kind == "stripped":
-        marks = "[\\s_+\\-()\\[\\]{}（）【】]"
-        return F.contains(F.regexp_replace(F.lower(actual), marks, ""), F.regexp_replace(F.lower(expected), marks, ""))
+        e, a = (F.regexp_replace(slashed(c), "[\\s_+\\-()\\[\\]{}（）【】]", "") for c in (expected, actual))
+        return F.contains(a, e) | (name(e) == name(a)) | F.contains(a, name(e))
     if kind == "substring":
         return F.contains(actual, expected)
     raise ValueError(kind)

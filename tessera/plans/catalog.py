@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats, text
-from ..operators import corpus, evaluation, retrieval, rules
+from ..operators import corpus, entities, evaluation, retrieval, rules
 from ..streaming import budget
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 _OBS_COLUMNS = [
     "event_id AS seq",
     "user_id % 24 AS question_id",
+    "CASE WHEN user_id % 5 < 2 THEN 's1' ELSE 's2' END AS case_set",
     "event_id % 3 AS round",
     "CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS arm",
     "CASE event_id % 10 WHEN 0 THEN 'provider_timeout' WHEN 1 THEN 'provider_error' ELSE 'completed' END AS status",
@@ -54,27 +55,62 @@ def _obs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TERMS = "list_distinct(list_transform(list_filter(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9._/-]*'), lambda t: length(t) > 1), lambda t: lower(t)))"
-_POST = f"""
-p0 AS (SELECT doc_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term, 1.0 AS w FROM documents
-       UNION ALL SELECT doc_id, unnest({_TERMS.format("coalesce(source, '')")}), 3.0 FROM documents),
-ln AS (SELECT doc_id, count(*) AS len FROM p0 GROUP BY doc_id),
-pt AS (SELECT doc_id, term, sum(w) AS tf FROM p0 GROUP BY ALL),
+_EDGE = "($|[^a-z0-9])"
+
+
+def _sql_named(x: str) -> str:
+    """The stable ids of the entities that a question names."""
+    known = {"gb/t 26158-2010": "gb_26158_2010", "gb 4806.7-2023": "gb_4806_7_2023", "gb/t 10000-2023": "gb_10000_2023", "gb/t 16252-2023": "gb_16252_2023", "gb/t 3326-2016": "gb_3326_2016", "pp 3486-01": "pp_3486_01"}
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower({x}), '(^|[^a-z0-9])(?:{p}){_EDGE}') THEN '{known[n]}' END" for n, p in entities.ENTITIES if n in known) + "], lambda x: x IS NOT NULL)"
+
+
+def _sql_canonical(x: str) -> str:
+    """The stable ids that a text names, sorted."""
+    parts = [f"list_transform(list_zip(regexp_extract_all({x}, '{p}', 1), regexp_extract_all({x}, '{p}', 2)), lambda z: CASE WHEN z[1] = '4806' THEN 'gb_4806_7_' || coalesce(nullif(z[2], ''), '2023') ELSE 'gb_' || z[1] || '_' || z[2] END)" for p in entities.NUMBERED]
+    parts.append("list_filter([" + ", ".join(f"CASE WHEN regexp_matches({x}, '{p}') THEN '{n}' END" for n, p in entities.GRADED) + "], lambda x: x IS NOT NULL)")
+    return f"list_sort(list_distinct(list_concat({', '.join(parts)})))"
+
+
+_POST = rf"""
+tm AS (SELECT doc_id, {_TERMS.format("coalesce(text, '')")} AS a, {_TERMS.format("coalesce(source, '')")} AS b, lower(coalesce(source, '')) AS meta, lower(coalesce(text, '')) AS body FROM documents),
+ln AS (SELECT doc_id, a, b, len(a) + len(b) AS len, regexp_replace(meta, '\s+', '', 'g') AS ca, regexp_replace(body, '\s+', '', 'g') AS cb, concat(meta, ' ', body) AS whole FROM tm),
+pt AS (SELECT doc_id, term, sum(w) AS tf FROM (SELECT doc_id, unnest(a) AS term, 1.0 AS w FROM ln UNION ALL SELECT doc_id, unnest(b), 3.0 FROM ln) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM pt GROUP BY term),
 q AS (SELECT item_id AS question_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
-bm AS (SELECT question_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * len / greatest(al, 1)))) AS score
-       FROM q JOIN df USING (term) JOIN pt USING (term) JOIN ln USING (doc_id), (SELECT avg(len) AS al FROM ln), (SELECT count(*) AS n FROM documents) GROUP BY ALL),
-lex AS (SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= {{k}})"""
+qi AS (SELECT question_id, kind, x, count(*) AS times FROM (
+  SELECT item_id AS question_id, 'e' AS kind, regexp_replace(unnest(regexp_extract_all(lower(text), '{entities.IDENTIFIER}')), '\s+', '', 'g') AS x FROM benchmark
+  UNION ALL SELECT item_id, 's', regexp_replace(unnest(regexp_extract_all(concat(' ', replace(lower(text), ' ', '  '), ' '), '[^a-z0-9]({entities.STABLE})[^a-z0-9]', 1)), '[^a-z0-9]', '', 'g') FROM benchmark
+  UNION ALL SELECT item_id, 'c', unnest(list_distinct({_sql_named("text")})) FROM benchmark) WHERE question_id IN (SELECT question_id FROM q) GROUP BY ALL),
+xs AS (SELECT DISTINCT kind, x FROM qi),
+xh AS (SELECT kind, x, doc_id FROM xs, ln WHERE CASE kind WHEN 'e' THEN contains(ca, x) OR contains(cb, x) WHEN 's' THEN contains(regexp_replace(whole, '[^a-z0-9]', '', 'g'), x) ELSE list_contains({_sql_canonical("whole")}, x) END),
+bm AS (SELECT question_id, doc_id, sum(part) AS score FROM (
+  SELECT question_id, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * len / greatest(al, 1))) AS part
+  FROM q JOIN df USING (term) JOIN pt USING (term) JOIN ln USING (doc_id), (SELECT avg(len) AS al, count(*) AS n FROM ln)
+  UNION ALL SELECT question_id, doc_id, times * CASE kind WHEN 'e' THEN 2.0 ELSE 6.0 END FROM qi JOIN xh USING (kind, x)) GROUP BY ALL),
+lex AS (SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= @K@)"""
 
 
-def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _post(k: int) -> str:
+    return _POST.replace("@K@", str(k))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"), "source")
     questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.bm25(docs, questions, "doc_id", ["content", "source"], k)
+    return retrieval.bm25_scores(docs, questions, "doc_id", ["content", "source"])
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    return retrieval.top_k(scores, ["question_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], k)
+
+
+def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return _best(_scores(spark, d), k)
 
 
-@register(f"WITH {_POST.format(k=20)} SELECT question_id, doc_id, round(score, 6) AS score, rank FROM lex")
+@register(f"WITH {_post(20)} SELECT question_id, doc_id, round(score, 6) AS score, rank FROM lex")
 def retrieval_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: all benchmark questions against all documents, field-weighted BM25."""
+    """Flagship: all benchmark questions against all documents, field-weighted BM25 and identifiers."""
     return _lexical(spark, d, 20).select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -97,8 +133,8 @@ def retrieval_dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 # a second ranked channel over the same keys: the lexical candidates by length
-_CHANNELS = f"""{_POST.format(k=30)},
-sec AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY n_chars, doc_id) AS rank FROM (SELECT * FROM bm JOIN documents USING (doc_id) WHERE n_chars % 3 = 0) QUALIFY rank <= 30),
+_CHANNELS = f"""{_post(30)},
+sec AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY n_chars, doc_id) AS rank FROM (SELECT * FROM bm JOIN documents USING (doc_id)) QUALIFY rank <= 30),
 fu AS (SELECT question_id, doc_id, sec.rank AS dense_rank, lex.rank AS bm25_rank, coalesce(0.55 / (60 + sec.rank), 0) + coalesce(0.45 / (60 + lex.rank), 0) AS rrf_score,
   CASE WHEN sec.rank IS NOT NULL AND lex.rank IS NOT NULL THEN 'dense_and_bm25' WHEN sec.rank IS NOT NULL THEN 'dense_only' ELSE 'bm25_only' END AS retrieval_stage
   FROM sec FULL JOIN lex USING (question_id, doc_id)),
@@ -106,11 +142,10 @@ un AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf_
 
 
 def _union(spark: SparkSession, d: str) -> DataFrame:
-    full = _lexical(spark, d, 1 << 30)
-    docs = _t(spark, d, "documents")
-    lex = full.where("rank <= 30")
-    second = retrieval.top_k(full.join(docs.where("n_chars % 3 = 0").select("doc_id", "n_chars"), "doc_id").drop("rank"), ["question_id"], [F.col("n_chars"), F.col("doc_id")], 30)
-    return retrieval.rrf(second, lex, ["question_id", "doc_id"])
+    scores = _scores(spark, d)
+    docs = _t(spark, d, "documents").select("doc_id", "n_chars")
+    second = retrieval.top_k(scores.join(docs, "doc_id"), ["question_id"], [F.col("n_chars"), F.col("doc_id")], 30)
+    return retrieval.rrf(second, _best(scores, 30), ["question_id", "doc_id"])
 
 
 @register(f"WITH {_CHANNELS} SELECT question_id, doc_id, dense_rank, bm25_rank, round(rrf_score, 9) AS rrf_score, retrieval_stage, union_rank FROM un")
@@ -190,17 +225,20 @@ def _by_source(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d, 30).join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
 
 
-@register(f"""WITH {_POST.format(k=30)}, e AS ({_EXP}), n AS (SELECT question_id, count(*) AS n FROM e GROUP BY 1),
-r AS (SELECT lex.question_id, rank, d.source, e.source IS NOT NULL AS hit, row_number() OVER (PARTITION BY lex.question_id, d.source ORDER BY rank) = 1 AS fst FROM lex JOIN documents d USING (doc_id) LEFT JOIN e ON e.question_id = lex.question_id AND e.source = d.source WHERE rank <= 10),
-g AS (SELECT question_id, count(*) AS c, sum(hit::INT) AS h, sum((hit AND fst)::INT) AS f, min(CASE WHEN hit THEN rank END) AS m, sum((hit AND fst)::INT / log2(rank + 1)) AS dcg FROM r GROUP BY 1)
-SELECT question_id, round(coalesce(h / c, 0), 4) AS precision, round(coalesce(f / n, 0), 4) AS recall, round(coalesce(1 / m, 0), 4) AS mrr,
- round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg FROM n LEFT JOIN g USING (question_id)""")
+_IR = ", ".join(f"coalesce(sum(hit::INT) FILTER (rank <= {c}), 0) AS h{c}, count(*) FILTER (rank <= {c}) AS r{c}" for c in (5, 10))
+
+
+@register(f"""WITH {_post(30)}, e AS ({_EXP}), n AS (SELECT question_id, count(*) AS n FROM e GROUP BY 1),
+r AS (SELECT lex.question_id, rank, e.source IS NOT NULL AS hit FROM lex JOIN documents d USING (doc_id) LEFT JOIN e ON e.question_id = lex.question_id AND e.source = d.source),
+g AS (SELECT question_id, {_IR}, min(CASE WHEN hit THEN rank END) AS m, sum(hit::INT / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM r GROUP BY 1)
+SELECT question_id, {", ".join(f"round(coalesce(h{c} / r{c}, 0), 4) AS precision_at_{c}, round(coalesce(h{c} / n, 0), 4) AS recall_at_{c}" for c in (5, 10))}, round(coalesce(1 / m, 0), 4) AS mrr,
+ round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg_at_10 FROM n LEFT JOIN g USING (question_id)""")
 def eval_ir_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Precision, recall, reciprocal rank and nDCG of the lexical channel."""
-    return evaluation.ir_metrics(_by_source(spark, d), _expected(spark, d), 10)
+    """Precision and recall at cuts, reciprocal rank and nDCG of the lexical channel."""
+    return evaluation.ir_metrics(_by_source(spark, d), _expected(spark, d))
 
 
-_SRC = f"""{_POST.format(k=30)}, sr AS (SELECT question_id, source, min(rank) AS first_rank, count(*) AS chunk_count FROM lex JOIN documents USING (doc_id) GROUP BY ALL)"""
+_SRC = f"""{_post(30)}, sr AS (SELECT question_id, source, min(rank) AS first_rank, count(*) AS chunk_count FROM lex JOIN documents USING (doc_id) GROUP BY ALL)"""
 
 
 @register(f"WITH {_SRC} SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY first_rank, source) AS source_rank FROM sr")
@@ -228,12 +266,15 @@ def eval_run_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.run_summary(_obs(spark, d), ["arm", "round"])
 
 
-@register(f"""WITH {OBS}, u AS (SELECT question_id, case_type, risk_level, 'metric' AS metric, metric AS value FROM obs UNION ALL SELECT question_id, case_type, risk_level, 'recall', recall FROM obs),
+@register(f"""WITH {OBS}, fl AS (SELECT question_id FROM obs GROUP BY 1 HAVING count(*) FILTER (verdict AND round = 0) * count(*) FILTER (NOT verdict AND round = 0) > 0),
+u AS (SELECT question_id, case_type, risk_level, 'metric' AS metric, metric AS value FROM obs UNION ALL SELECT question_id, case_type, risk_level, 'recall', recall FROM obs),
 l AS (SELECT 'case_type' AS dimension, case_type AS "group", * FROM u UNION ALL SELECT 'risk_level', risk_level, * FROM u)
-SELECT dimension, "group", metric, round(avg(value), 3) AS mean, count(value) AS sample_size, count(DISTINCT CASE WHEN value IS NOT NULL THEN question_id END) AS question_count FROM l GROUP BY ALL""")
+SELECT dimension, "group", metric, round(avg(value), 3) AS mean, round(avg(value) FILTER (question_id NOT IN (FROM fl)), 3) AS mean_excluding_flaky, count(value) AS sample_size,
+  count(DISTINCT CASE WHEN value IS NOT NULL AND question_id NOT IN (FROM fl) THEN question_id END) AS question_count FROM l GROUP BY ALL""")
 def eval_slice_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Two dimensions by metric as grouping sets."""
-    return evaluation.slice_metrics(_obs(spark, d), ["case_type", "risk_level"], ["metric", "recall"])
+    """Two dimensions by metric as grouping sets, with and without the questions that are flaky in round 0."""
+    obs = _obs(spark, d)
+    return evaluation.slice_metrics(obs, ["case_type", "risk_level"], ["metric", "recall"], evaluation.flaky(obs.where("round = 0"), "verdict").where("flaky"))
 
 
 @register(f"""WITH {OBS}, g AS (SELECT question_id, count(*) FILTER (verdict) AS t, count(*) FILTER (NOT verdict) AS f FROM obs GROUP BY 1)
@@ -253,85 +294,119 @@ def eval_comparability(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.comparability(runs.unpivot("round", ["metric", "recall", "latency"], "metric", "value"))
 
 
-_GATES = [("quality", "metric", 0.02, "up"), ("quality", "recall", 0.02, "up"), ("speed", "latency", 5.0, "down"), ("calls", "retrieval_calls", 0.0, "down")]
+_GATES = [("quality", "metric", 0.02, "higher_is_better", True), ("quality", "recall", 0.0001, "higher_is_better", True), ("speed", "latency", 5.0, "lower_is_better", False), ("calls", "retrieval_calls", 0.0, "lower_is_better", True), ("empty", "nothing", 0.0, "higher_is_better", True)]
 
 
 @register(f"""WITH {OBS}, a AS (SELECT arm, avg(metric) AS metric, avg(recall) AS recall, avg(latency) AS latency FROM obs GROUP BY 1), x AS (SELECT * FROM a WHERE arm = 'a'), y AS (SELECT * FROM a WHERE arm = 'b'),
-dl AS (SELECT 'metric' AS metric, round(y.metric - x.metric, 4) AS delta FROM x, y UNION ALL SELECT 'recall', round(y.recall - x.recall, 4) FROM x, y UNION ALL SELECT 'latency', round(y.latency - x.latency, 4) FROM x, y),
-gr(group_name, metric, allowed, direction) AS (VALUES {", ".join(f"('{g}', '{m}', {a}, '{r}')" for g, m, a, r in _GATES)}),
-v AS (SELECT group_name, metric, delta, CASE WHEN delta IS NULL THEN 'not_evaluated' WHEN (CASE direction WHEN 'down' THEN delta ELSE -delta END) > allowed THEN 'failed' ELSE 'passed' END AS verdict FROM gr LEFT JOIN dl USING (metric))
-SELECT *, bool_and(verdict <> 'failed') OVER (PARTITION BY group_name) AS group_passed FROM v""")
+dl AS (SELECT 'metric' AS metric, round(y.metric - x.metric, 4) AS delta FROM x, y UNION ALL SELECT 'recall', round(y.recall - x.recall, 4) FROM x, y UNION ALL SELECT 'latency', round(y.latency - x.latency, 4) FROM x, y UNION ALL SELECT 'nothing', NULL),
+gr(group_name, metric, allowed, direction, declared) AS (VALUES {", ".join(f"('{g}', '{m}', {a}, '{r}', {c})" for g, m, a, r, c in _GATES)}),
+s AS (SELECT *, metric IN (SELECT metric FROM dl) AS here, declared OR delta = 0 AS scope, CASE WHEN direction = 'lower_is_better' THEN delta <= allowed WHEN declared THEN abs(delta) <= allowed ELSE delta = 0 END AS within FROM gr LEFT JOIN dl USING (metric)),
+v AS (SELECT *, CASE WHEN NOT here THEN 'not_evaluated' WHEN delta IS NULL THEN 'no_baseline' WHEN scope AND within THEN 'ok' ELSE 'breach' END AS verdict FROM s)
+SELECT group_name, metric, delta, verdict, CASE WHEN verdict = 'breach' THEN CASE WHEN NOT scope THEN 'out_of_scope' ELSE 'beyond_tolerance' END END AS reason, bool_and(verdict <> 'breach') OVER (PARTITION BY group_name) AS group_passed FROM v""")
 def eval_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Deltas between arms against declared limits; what has no delta is said to be not evaluated."""
+    """Deltas between arms against declared bands; what has no delta is said to be not evaluated."""
     m = _obs(spark, d).groupBy("arm").agg(F.avg("metric").alias("metric"), F.avg("recall").alias("recall"), F.avg("latency").alias("latency")).unpivot("arm", ["metric", "recall", "latency"], "name", "value")
     deltas = m.groupBy(F.col("name").alias("metric")).agg(F.round(F.max(F.when(F.col("arm") == "b", F.col("value"))) - F.max(F.when(F.col("arm") == "a", F.col("value"))), 4).alias("delta"))
-    return evaluation.gates(deltas, spark.createDataFrame(_GATES, "group_name string, metric string, allowed_change double, direction string"))
+    deltas = deltas.union(spark.createDataFrame([("nothing", None)], "metric string, delta double"))
+    return evaluation.gates(deltas, spark.createDataFrame(_GATES, "group_name string, metric string, allowed_change double, direction string, declared boolean"))
 
 
-_PAIRS = """ls AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY question_id, round, arm ORDER BY seq DESC) = 1),
-pr AS (SELECT question_id, round, max(CASE WHEN arm = 'a' AND status = 'completed' THEN metric END) AS before, max(CASE WHEN arm = 'b' AND status = 'completed' THEN metric END) AS after FROM ls GROUP BY ALL),
-pd AS (SELECT *, after - before AS diff FROM pr)"""
+_PAIRS = """ls AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY case_set, question_id, round, arm ORDER BY seq DESC) = 1),
+p0 AS (SELECT case_set, question_id, round, max(CASE WHEN arm = 'a' THEN metric END) AS x, max(CASE WHEN arm = 'b' THEN metric END) AS y,
+  bool_or(arm = 'a' AND status = 'completed') AND bool_or(arm = 'b' AND status = 'completed') AS complete FROM ls GROUP BY ALL),
+pd AS (SELECT case_set, question_id, round, complete, CASE WHEN complete THEN x END AS before, CASE WHEN complete THEN y END AS after, CASE WHEN complete THEN y - x END AS diff FROM p0)"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.paired(_obs(spark, d), ("a", "b"))
 
 
-@register(f"WITH {OBS}, {_PAIRS} SELECT question_id, round, before, after, round(diff, 6) AS diff FROM pd")
+@register(f'WITH {OBS}, {_PAIRS} SELECT case_set, question_id, round, complete, before, after, round(diff, 6) AS diff FROM pd')
 def eval_paired_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Paired arms a cell, last attempt first."""
+    """Paired arms a cell, last attempt first; cells that an arm did not complete are marked."""
     return _pairs(spark, d).withColumn("diff", F.round("diff", 6))
 
 
-@register(f"""WITH {OBS}, {_PAIRS}, un AS (SELECT question_id, avg(diff) AS d FROM pd WHERE diff IS NOT NULL GROUP BY 1), s AS (SELECT count(*) AS units, avg(d) AS m, stddev_samp(d) AS sd, stddev_samp(d) / sqrt(count(*)) AS se FROM un),
-w AS (SELECT count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, count(*) FILTER (diff = 0) AS ties FROM pd)
-SELECT units, round(m, 6) AS mean, round(sd, 6) AS sd, round(se, 6) AS se, round(m - 1.96 * se, 6) AS low, round(m + 1.96 * se, 6) AS high, round(2.8 * se, 6) AS mde, wins, losses, ties FROM s, w""")
+@register(f"""WITH {OBS}, {_PAIRS}, un AS (SELECT avg(diff) AS d, avg(before) AS x, avg(after) AS y FROM pd WHERE diff IS NOT NULL GROUP BY case_set, question_id),
+s AS (SELECT count(*) AS units, avg(x) AS x, avg(y) AS y, avg(d) AS m, stddev_samp(d) AS sd, stddev_samp(d) / sqrt(count(*)) AS se FROM un),
+w AS (SELECT count(diff) AS pairs, count(*) FILTER (NOT complete) AS dropped, round(avg(diff), 3) AS mean_by_pair, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, count(*) FILTER (diff = 0) AS ties FROM pd)
+SELECT units, round(x, 3) AS before_mean, round(y, 3) AS after_mean, round(m, 3) AS mean, round(sd, 4) AS sd, round(se, 4) AS se, round(m - 1.96 * se, 4) AS low, round(m + 1.96 * se, 4) AS high, round(1.96 * se, 4) AS mde, w.* FROM s, w""")
 def eval_unit_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Effect over independent questions, with interval and detectable effect."""
+    """Effect over independent questions, with interval and detectable effect; counts over cells."""
     return evaluation.unit_statistics(_pairs(spark, d))
 
 
-@register()
+@register(f"""WITH {OBS}, {_PAIRS}, s AS (SELECT count(*) AS pairs, avg(diff) AS m, coalesce(stddev_samp(diff), 0) AS sd FROM pd WHERE diff IS NOT NULL)
+SELECT pairs, round(m, 3) AS mean, round(sd, 4) AS sd, round(sd / sqrt(pairs), 4) AS se, round(1.96 * sd / sqrt(pairs), 4) AS mde FROM s""")
+def eval_pair_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The effect over cells as if they were independent, for contrast."""
+    return evaluation.pair_statistics(_pairs(spark, d))
+
+
+_SIGNED = """nz AS (SELECT round, round(diff, 6) AS diff FROM pd WHERE diff IS NOT NULL AND round(diff, 6) <> 0),
+rk AS (SELECT *, rank() OVER (PARTITION BY round ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY round, abs(diff)) - 1) / 2 AS k FROM nz),
+st AS (SELECT round, count(*) AS n, least(coalesce(sum(k) FILTER (diff > 0), 0), coalesce(sum(k) FILTER (diff < 0), 0)) AS statistic FROM rk GROUP BY 1)"""
+_CDF = "(0.5 * (1 + sign({z}) * (1 - {k} * (0.254829592 + {k} * (-0.284496736 + {k} * (1.421413741 + {k} * (-1.453152027 + {k} * 1.061405429)))) * exp(-({z}) * ({z}) / 2))))"
+
+
+def _sql_cdf(z: str) -> str:
+    return _CDF.format(z=z, k=f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2)))")
+
+
+@register(f"""WITH RECURSIVE {OBS}, {_PAIRS}, {_SIGNED},
+dp AS (SELECT 0 AS m, 0 AS s, 1::HUGEINT AS ways UNION ALL SELECT m + 1, s + p * (m + 1), sum(ways) FROM dp, (VALUES (0), (1)) AS v(p) WHERE m < 20 GROUP BY m, s + p * (m + 1)),
+tl AS (SELECT m, s, sum(ways) OVER (PARTITION BY m ORDER BY s) AS ways FROM dp),
+z AS (SELECT *, (statistic - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) AS z FROM st),
+p AS (SELECT z.*, least(1, CASE WHEN n <= 20 THEN 2 * ways::DOUBLE / pow(2, n) ELSE 2 * {_sql_cdf("z")} END) AS p FROM z LEFT JOIN tl ON m = n AND s = floor(statistic))
+SELECT round, n, round(statistic, 3) AS statistic, round(p, 4) AS p_value, p < 0.05 AS significant FROM p""")
 def eval_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     """Signed-rank test a round, on the differences of all its questions."""
     unit = _pairs(spark, d).where("diff IS NOT NULL").withColumn("diff", F.round("diff", 6))
     return stats.wilcoxon(unit, "round", "diff")
 
 
-@register(f"""WITH {OBS}, {_PAIRS}, nz AS (SELECT round, round(diff, 6) AS diff FROM pd WHERE diff IS NOT NULL AND round(diff, 6) <> 0),
-r AS (SELECT *, rank() OVER (PARTITION BY round ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY round, abs(diff)) - 1) / 2 AS k FROM nz)
-SELECT round, count(*) AS n, least(coalesce(sum(k) FILTER (diff > 0), 0), coalesce(sum(k) FILTER (diff < 0), 0)) AS statistic FROM r GROUP BY 1""")
+@register(f"WITH {OBS}, {_PAIRS}, {_SIGNED} SELECT round, n, round(statistic, 3) AS statistic FROM st")
 def eval_signed_ranks(spark: SparkSession, d: str) -> DataFrame:
     """The rank sums of the signed-rank test."""
     unit = _pairs(spark, d).where("diff IS NOT NULL").withColumn("diff", F.round("diff", 6))
-    return stats.wilcoxon(unit, "round", "diff").drop("p_value")
+    return stats.wilcoxon(unit, "round", "diff").select("round", "n", "statistic")
 
 
 @register(f"WITH {OBS}, {_PAIRS} SELECT round, count(*) FILTER (before >= 0.5 AND NOT after >= 0.5) AS b, count(*) FILTER (NOT before >= 0.5 AND after >= 0.5) AS c FROM pd GROUP BY 1")
 def eval_mcnemar_counts(spark: SparkSession, d: str) -> DataFrame:
     """Discordant pairs of a binary verdict."""
-    return stats.mcnemar(_pairs(spark, d).withColumn("x", F.col("before") >= 0.5).withColumn("y", F.col("after") >= 0.5), "round", "x", "y").drop("p_value")
+    return stats.mcnemar(_pairs(spark, d).withColumn("x", F.col("before") >= 0.5).withColumn("y", F.col("after") >= 0.5), "round", "x", "y").drop("p_value", "method")
 
 
-@register()
+@register(f"""WITH {OBS}, {_PAIRS}, c AS (SELECT round, count(*) FILTER (before >= 0.5 AND NOT after >= 0.5) AS b, count(*) FILTER (NOT before >= 0.5 AND after >= 0.5) AS c FROM pd GROUP BY 1),
+p AS (SELECT *, b + c AS n, list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)))) AS tail, sqrt(pow(abs(b - c) - 1, 2) / greatest(b + c, 1)) AS z FROM c)
+SELECT round, b, c, round(CASE WHEN n = 0 THEN 1 WHEN n > 1000 THEN 2 * (1 - {_sql_cdf("z")}) ELSE least(1, 2 * tail) END, 4) AS p_value, CASE WHEN n = 0 THEN 'none' WHEN n > 1000 THEN 'chi2_approx' ELSE 'exact' END AS method FROM p""")
 def eval_mcnemar(spark: SparkSession, d: str) -> DataFrame:
     """Exact McNemar test a round."""
     return stats.mcnemar(_pairs(spark, d).withColumn("x", F.col("before") >= 0.5).withColumn("y", F.col("after") >= 0.5), "round", "x", "y")
 
 
-@register(f"""WITH {OBS}, c AS (SELECT question_id, arm, count(DISTINCT round) AS r, count(DISTINCT metric) AS v FROM obs WHERE metric IS NOT NULL GROUP BY ALL)
+@register(f"""WITH {OBS}, c AS (SELECT case_set, question_id, arm, count(*) AS r, count(DISTINCT metric) AS v FROM obs WHERE metric IS NOT NULL GROUP BY ALL)
 SELECT arm, count(*) AS cells, count(*) FILTER (r > 1) AS multi_round, count(*) FILTER (r > 1 AND v > 1) AS changed FROM c GROUP BY 1""")
 def eval_round_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Cells that change between rounds."""
+    """Cells with several observations that change."""
     return evaluation.round_stability(_obs(spark, d))
 
 
-@register(f"""WITH {OBS}, e AS (SELECT count(*) FILTER (ok = 0) AS empty_rounds FROM (SELECT round, count(*) FILTER (status = 'completed') AS ok FROM obs GROUP BY 1)),
-g AS (SELECT avg((status = 'provider_error')::INT) AS error, avg((status = 'provider_timeout')::INT) AS timeout, avg((status = 'completed')::INT) AS share FROM obs)
-SELECT round(error, 6) AS error, round(timeout, 6) AS timeout, round(share, 6) AS share, empty_rounds, error < 0.2 AND timeout < 0.2 AND share >= 0.7 AND empty_rounds = 0 AS passed FROM g, e""")
+@register(f"""WITH {OBS}, {_PAIRS}, e AS (SELECT count(*) FILTER (ok = 0) AS empty_rounds FROM (SELECT round, count(*) FILTER (status = 'completed') AS ok FROM obs GROUP BY 1)),
+s AS (SELECT count(*) FILTER (complete) / count(*) AS share FROM pd),
+g AS (SELECT avg((status = 'provider_error')::INT) AS error, avg((status = 'provider_timeout')::INT) AS timeout FROM obs),
+f AS (SELECT *, array_to_string(list_filter([CASE WHEN share < 0.6 THEN 'paired_cell_share' END, CASE WHEN error >= 0.1 THEN 'provider_error_rate' END, CASE WHEN timeout >= 0.1 THEN 'provider_timeout_rate' END, CASE WHEN empty_rounds > 0 THEN 'rounds_with_no_completions' END], lambda x: x IS NOT NULL), ',') AS failed FROM g, e, s)
+SELECT round(error, 6) AS error, round(timeout, 6) AS timeout, round(share, 3) AS share, empty_rounds, failed, failed = '' AS passed FROM f""")
 def eval_provider_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Provider thresholds and empty rounds."""
-    return evaluation.provider_gate(_obs(spark, d), 0.2, 0.2, 0.7)
+    """Provider thresholds, paired cells and empty rounds."""
+    return evaluation.provider_gate(_obs(spark, d), _pairs(spark, d))
+
+
+@register(f"""WITH {OBS} SELECT question_id, count(*) FILTER (verdict) AS matched, count(*) AS total, round(count(*) FILTER (verdict) / count(*), 3) AS ratio FROM obs WHERE verdict IS NOT NULL GROUP BY ROLLUP (question_id)""")
+def eval_pooled_hops(spark: SparkSession, d: str) -> DataFrame:
+    """Hops counted over all answers and a question, not a mean of ratios."""
+    return evaluation.pooled_hops(_obs(spark, d).where("verdict IS NOT NULL").select("question_id", F.col("verdict").alias("matched")))
 
 
 @register(f"WITH {OBS} SELECT arm, round(avg(latency), 3) AS mean, round(quantile_cont(latency, 0.5), 3) AS median, round(max(latency), 3) AS longest FROM obs GROUP BY 1")
@@ -344,9 +419,7 @@ def eval_latency_by_arm(spark: SparkSession, d: str) -> DataFrame:
 SELECT arm, v[CAST(round_even(0.95 * (n - 1), 0) AS INT) + 1] AS nearest, v[CAST(floor(0.95 * (n - 1)) AS INT) + 1] AS floored, v[CAST(greatest(1, floor(0.95 * n)) AS INT)] AS cut, v[CAST(floor((n - 1) / 2) AS INT) + 1] AS lower_median FROM l""")
 def stats_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Four percentile conventions side by side (T4)."""
-    v = F.collect_list("latency")
-    got = _obs(spark, d).groupBy("arm").agg(v.alias("v"))
-    return got.select("arm", stats.nearest_rank(F.col("v"), 0.95).alias("nearest"), stats.floor_rank(F.col("v"), 0.95).alias("floored"), stats.cut_rank(F.col("v"), 0.95).alias("cut"), stats.lower_median(F.col("v")).alias("lower_median"))
+    return stats.values_at(_obs(spark, d), ["arm"], "latency", {"nearest": ("nearest", 0.95), "floored": ("floored", 0.95), "cut": ("cut", 0.95), "lower_median": ("lower_median", 0.5)})
 
 
 @register("""WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 151) + 1, 650)) AS start_index FROM documents WHERE length(trim(text)) > 0)
@@ -388,14 +461,14 @@ def corpus_incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
     return corpus.upsert(old, corpus.snapshot_diff(old, new), new)
 
 
-@register(f"""WITH {_POST.format(k=20)} SELECT question_id, doc_id, 'L' || row_number() OVER (PARTITION BY question_id ORDER BY rank, doc_id) AS citation_id, length(substr(text, 1, 300)) AS n, length(text) > 300 AS truncated FROM lex JOIN documents USING (doc_id) WHERE rank <= 5""")
+@register(f"""WITH {_post(20)} SELECT question_id, doc_id, 'L' || row_number() OVER (PARTITION BY question_id ORDER BY rank, doc_id) AS citation_id, length(substr(text, 1, 300)) AS n, length(text) > 300 AS truncated FROM lex JOIN documents USING (doc_id) WHERE rank <= 5""")
 def corpus_evidence_pack(spark: SparkSession, d: str) -> DataFrame:
     """The first five documents a question, cut with flags."""
     docs = _lexical(spark, d, 20).join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return corpus.evidence_pack(docs, 5, 300).select("question_id", "doc_id", "citation_id", F.length("content").alias("n"), "truncated")
 
 
-_ANS = "SELECT event_id AS question_id, concat('see [L', event_id % 7, '] and [W', event_id % 4, '], [L', event_id % 3, ']') AS answer FROM {0} WHERE event_id % 2 = 0"
+_ANS = "SELECT event_id AS question_id, concat('see [L', event_id % 7, '] and [W', event_id % 4, '], [L', event_id % 3, ']') AS answer FROM {0}"
 
 
 @register(f"""WITH a AS ({_ANS.format("events")}), u AS (SELECT question_id, list_sort(list_distinct(regexp_extract_all(answer, '\\[([LW]\\d+)\\]', 1))) AS used, ['L1', 'L2', 'L3', 'W1'] AS ok FROM a)
@@ -427,11 +500,11 @@ def lint_contract_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""SELECT doc_id, round(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(text), 6) AS cjk, length(trim(text)) >= 20 AND length(regexp_replace(text, '[^一-鿿]', '', 'g')) = 0 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text) < 0.55 AS garbled,
-greatest(1, length(text) // 4) AS tokens, regexp_replace(lower(substr(text, 1, 40)), '[^0-9a-z一-鿿]', '', 'g') AS designation FROM documents WHERE length(text) > 0""")
+greatest(1, length(text) // 4) AS tokens, sha256(regexp_replace(lower(text), '[^0-9a-z一-鿿]', '', 'g')) AS designation FROM documents WHERE length(text) > 0""")
 def text_flags(spark: SparkSession, d: str) -> DataFrame:
     """Garbled pages, CJK share, token estimates, designation keys."""
     docs = _t(spark, d, "documents").where("length(text) > 0")
-    return docs.select("doc_id", F.round(text.cjk_ratio("text"), 6).alias("cjk"), text.looks_garbled("text").alias("garbled"), text.token_estimate(F.col("text")).alias("tokens"), text.designation_key(F.substring("text", 1, 40)).alias("designation"))
+    return docs.select("doc_id", F.round(text.cjk_ratio("text"), 6).alias("cjk"), text.looks_garbled("text").alias("garbled"), text.token_estimate(F.col("text")).alias("tokens"), F.sha2(text.designation_key(F.col("text")), 256).alias("designation"))
 
 
 @register(f"SELECT doc_id, len({_TERMS.format('text')}) AS n_terms, array_to_string(list_sort({_TERMS.format('text')}), ' ') AS terms FROM documents")
@@ -441,14 +514,19 @@ def text_lexical_terms(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.size(t).alias("n_terms"), F.array_join(F.array_sort(t), " ").alias("terms"))
 
 
-_PATHS = "SELECT p_partkey AS id, p_name AS expected, concat('/data/', CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, '.pdf') WHEN 2 THEN replace(p_name, ' ', '_') ELSE p_brand END) AS actual FROM {0}"
-_SQ = "regexp_replace(lower({0}), '\\s+', '', 'g')"
-_BN = "lower(split_part({0}, '/', -1))"
-_ST = "regexp_replace(lower({0}), '[\\s_+\\-()\\[\\]{{}}（）【】]', '', 'g')"
+_PATHS = "SELECT p_partkey AS id, p_name AS expected, concat('/data', chr(92), CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, '.pdf') WHEN 2 THEN replace(p_name, ' ', '_') WHEN 3 THEN concat(p_name, '/') ELSE p_brand END) AS actual FROM {0}"
+_PARTS = {
+    "sl": "lower(replace(coalesce({0}, ''), '\\', '/'))",
+    "sq": "regexp_replace(lower(replace(coalesce({0}, ''), '\\', '/')), '\\s+', '', 'g')",
+    "rt": "rtrim(lower(replace(coalesce({0}, ''), '\\', '/')), '/')",
+    "st": "regexp_replace(lower(replace(coalesce({0}, ''), '\\', '/')), '[\\s_+\\-()\\[\\]{{}}（）【】]', '', 'g')",
+}
 
 
-@register(f"""WITH p AS ({_PATHS.format("part")}) SELECT id, {_BN.format("expected")} = {_BN.format("actual")} AS basename, {_BN.format("expected")} = {_BN.format("actual")} OR contains({_SQ.format("actual")}, {_SQ.format("expected")}) AS basename_or_contains,
-{_BN.format("expected")} = {_BN.format("actual")} OR contains(lower(actual), lower(expected)) OR contains(lower(expected), lower(actual)) AS bidirectional, contains({_ST.format("actual")}, {_ST.format("expected")}) AS stripped, contains(actual, expected) AS substring FROM p""")
+@register(f"""WITH p AS ({_PATHS.format("part")}), n AS (SELECT id, expected, actual, {", ".join(f"{v.format(x)} AS {k}{x[0]}" for k, v in _PARTS.items() for x in ("expected", "actual"))} FROM p)
+SELECT id, split_part(sle, '/', -1) = split_part(sla, '/', -1) AS basename, split_part(sqe, '/', -1) = split_part(sqa, '/', -1) OR contains(sqa, sqe) AS basename_or_contains,
+rte <> '' AND rta <> '' AND (contains(rta, rte) OR contains(rte, rta) OR split_part(rte, '/', -1) = split_part(rta, '/', -1)) AS bidirectional,
+contains(sta, ste) OR split_part(ste, '/', -1) = split_part(sta, '/', -1) OR contains(sta, split_part(ste, '/', -1)) AS stripped, contains(actual, expected) AS substring FROM n""")
 def match_sources(spark: SparkSession, d: str) -> DataFrame:
     """Five named source matchers."""
     _t(spark, d, "part").createOrReplaceTempView("__part")
@@ -464,8 +542,9 @@ def calc_cylinder(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT user_id, ts::DATE AS day, round(sum(value), 4) AS used, sum(value) > 500 AS over_budget FROM events GROUP BY ALL")
 def budget_daily(spark: SparkSession, d: str) -> DataFrame:
-    """Use of a daily budget that starts anew each day (K3)."""
-    return _t(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("used"), (F.sum("value") > 500).alias("over_budget"))
+    """Use of a daily budget that starts anew each day, a user (K3)."""
+    used = budget.daily_usage(_t(spark, d, "events"), "ts", "value", 500, by=["user_id"])
+    return used.select("user_id", "day", F.round("used", 4).alias("used"), F.col("over").alias("over_budget"))
 
 
 @register("SELECT event_type, count(*) AS n, count(*) FILTER (trim(coalesce(props, '')) = '') AS empty_props, round(avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 4) AS mean_k FROM events GROUP BY 1")
@@ -560,7 +639,7 @@ _EVIDENCE_RULES = [
     (f"len(list_filter(refs, lambda r: {_KEY.format('r')} <> '' AND contains({_KEY.format('body')}, {_KEY.format('r')}))) > 0", "direct", "reference"),
     ("source_category <> 'unknown'", "indirect", "related"),
 ]
-_EVIDENCE = f"""WITH {_POST.format(k=20)}, {_META},
+_EVIDENCE = f"""WITH {_post(20)}, {_META},
 aq AS (SELECT {_ASKED} FROM benchmark),
 jd AS (SELECT question_id, doc_id, question, md.* EXCLUDE (doc_id), round(score, 6) / (round(score, 6) + 20) AS relevance,
   concat_ws(' ', path, title, title, 'unknown', applicability, content) AS body,

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def daily_usage(events: DataFrame, time: str, tokens: str, limit: int, late: str = "1 day") -> DataFrame:
-    """(day, used, over): tokens of each UTC day. For a stream a day is final once the watermark has passed it."""
+def daily_usage(events: DataFrame, time: str, tokens: str, limit: int, late: str = "1 day", by: list[str] | None = None) -> DataFrame:
+    """(by, day, used, over): tokens of each UTC day. For a stream a day is final once the watermark has passed it."""
     rows = events.withWatermark(time, late) if events.isStreaming else events
-    used = rows.groupBy(F.window(time, "1 day").alias("w")).agg(F.sum(tokens).alias("used"))
-    return used.select(F.to_date("w.start").alias("day"), "used", (F.col("used") > limit).alias("over"))
+    used = rows.groupBy(*(by or []), F.window(time, "1 day").alias("w")).agg(F.sum(tokens).alias("used"))
+    return used.select(*(by or []), F.to_date("w.start").alias("day"), "used", (F.col("used") > limit).alias("over"))
 
 
 def ingest(files: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:

@@ -21,11 +21,13 @@ def looks_garbled(text: str) -> Column:
 
 def lexical_terms(text: Column) -> Column:
     """Distinct terms in order: Latin tokens of two characters or more in lower case; CJK runs of up to 8 whole, and bigrams."""
-    latin = F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z0-9][A-Za-z0-9._/-]*)"), 1), lambda x: F.length(x) > 1)
+    tokens = F.regexp_extract_all(text, F.lit("([A-Za-z0-9][A-Za-z0-9._/-]+)"), 1)
+    # one string is lowered, not each token
+    latin = F.array_remove(F.split(F.lower(F.array_join(tokens, " ")), " "), "")
     runs = F.regexp_extract_all(text, F.lit(f"([{CJK}]+)"), 1)
     whole = F.filter(runs, lambda x: F.length(x) <= 8)
     grams = F.flatten(F.transform(F.filter(runs, lambda x: F.length(x) > 1), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(F.transform(latin, F.lower), whole, grams))
+    return F.array_distinct(F.when(text.rlike(f"[{CJK}]"), F.concat(latin, whole, grams)).otherwise(latin))
 
 
 def designation_key(text: Column) -> Column:

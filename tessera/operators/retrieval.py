@@ -28,33 +28,33 @@ def join_small(rows: DataFrame, small: DataFrame, on: Column | list[str], how: s
 
 
 def document_terms(docs: DataFrame, id_col: str, fields: list[str], wanted: Column | None = None) -> DataFrame:
-    """(id, len, term, tf): distinct terms weighted by the fields that hold them, and a row with null term a document.
+    """(id, len, term, pos, first, meta): distinct terms over the fields, and a row with null term a document.
 
-    len is the number of distinct terms summed over fields. ``wanted``: a column with an array of identifiers to look for.
+    len is the number of distinct terms summed over fields. Terms at a pos below ``first`` are in the content; ``meta`` has the
+    terms of the other fields, for ``term_weight``. ``wanted``: a column with an array of identifiers to look for.
     """
-    names = {f: f"t{i}" for i, f in enumerate(fields)}
-    first, *rest = sorted(fields, key=lambda f: f != "content")
-    parts = docs.select(F.col(id_col).alias("id"), *([wanted.alias("wanted")] if wanted is not None else []), *[F.coalesce(F.col(f), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)])
-    parts = parts.select("*", *[lexical_terms(F.col(f"f{i}")).alias(names[f]) for i, f in enumerate(fields)])
-    length = sum([F.size(n) for n in names.values()], F.lit(0))
-
-    def weight(term: Column, known: str | None) -> Column:
-        held = [F.when(F.array_contains(names[f], term), FIELD_WEIGHTS.get(f, 0.0)).otherwise(0.0) for f in fields if f != known]
-        return sum(held, F.lit(FIELD_WEIGHTS.get(known, 0.0) if known else 0.0))
-
-    terms = F.transform(names[first], lambda x: F.struct(x.alias("term"), weight(x, first).alias("tf")))
-    if rest:
-        others = F.array_except(F.array_distinct(F.concat(*[F.col(names[f]) for f in rest])), F.col(names[first]))
-        terms = F.concat(terms, F.transform(others, lambda x: F.struct(x.alias("term"), weight(x, None).alias("tf"))))
-    extra = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("tf")))
+    other = [f for f in fields if f != "content"]
+    parts = docs.select(F.col(id_col).alias("id"), *([wanted.alias("wanted")] if wanted is not None else []), *[F.coalesce(F.col(f), F.lit("")).alias(f) for f in ["content", *other] if f in fields])
+    own = lexical_terms(F.col("content")) if "content" in fields else F.array().cast("array<string>")
+    parts = parts.withColumn("own", own).withColumn("meta", F.struct(*[lexical_terms(F.col(f)).alias(f) for f in other]) if other else F.lit(None))
+    length = sum([F.size(f"meta.{f}") for f in other], F.size("own"))
+    rest = F.array_except(F.array_distinct(F.concat(*[F.col(f"meta.{f}") for f in other])), F.col("own")) if other else F.array().cast("array<string>")
+    extra = F.array(F.lit(None).cast("string"))
     if wanted is not None:
-        meta = F.lower(F.concat_ws(" ", *[F.col(f"f{i}") for i, f in enumerate(fields) if f != "content"]))
-        body = F.lower(F.concat_ws(" ", *[F.col(f"f{i}") for i, f in enumerate(fields) if f == "content"]))
-        parts = parts.withColumn("a", F.regexp_replace(meta, "\\s+", "")).withColumn("b", F.regexp_replace(body, "\\s+", "")).withColumn("c", F.regexp_replace(F.concat_ws(" ", meta, body), "[^a-z0-9]", "")).withColumn("d", entities.canonical_ids(F.concat_ws(" ", meta, body)))
+        # where there is nothing to look for, nothing is prepared
+        ask = lambda c: F.when(F.size("wanted") > 0, c)
+        meta, body = F.lower(F.concat_ws(" ", *other)), F.lower(F.col("content"))
+        parts = parts.withColumn("a", ask(F.regexp_replace(meta, "\\s+", ""))).withColumn("b", ask(F.regexp_replace(body, "\\s+", ""))).withColumn("c", ask(F.regexp_replace(F.concat_ws(" ", meta, body), "[^a-z0-9]", ""))).withColumn("d", ask(entities.canonical_ids(F.concat_ws(" ", meta, body))))
         value = lambda x: F.substring(x, 2, 1 << 30)
         here = lambda x: F.when(x.startswith(EXACT), F.contains(F.col("a"), value(x)) | F.contains(F.col("b"), value(x))).when(x.startswith(STABLE), F.contains(F.col("c"), value(x))).otherwise(F.array_contains("d", value(x)))
-        extra = F.concat(extra, F.transform(F.filter("wanted", here), lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("tf"))))
-    return parts.select(F.col("id").alias(id_col), length.alias("len"), F.explode(F.concat(terms, extra)).alias("x")).select(id_col, "len", "x.term", "x.tf")
+        extra = F.concat(extra, F.filter("wanted", here))
+    return parts.select(F.col("id").alias(id_col), length.alias("len"), F.size("own").alias("first"), "meta", F.posexplode(F.concat("own", rest, extra)).alias("pos", "term"))
+
+
+def term_weight(fields: list[str]) -> Column:
+    """A term's weighted frequency: each field that has it counts once."""
+    own = F.when(F.col("pos") < F.col("first"), FIELD_WEIGHTS["content"]).otherwise(0.0)
+    return sum([F.when(F.array_contains(f"meta.{f}", F.col("term")), FIELD_WEIGHTS.get(f, 0.0)).otherwise(0.0) for f in fields if f != "content"], own)
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -84,9 +84,9 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, id_col: str, fields: list
     known = asked.join(stats.where("term IS NOT NULL").select("term", "df"), "term").join(F.broadcast(whole), F.lit(True))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = known.select("question_id", "term", "bonus", idf.alias("idf"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len"))
-    scored = join_small(hits.where("term IS NOT NULL"), known, ["term"])
+    scored = join_small(hits.where("term IS NOT NULL").select(id_col, "len", "term", term_weight(fields).alias("tf")), known, ["term"])
     part = F.coalesce("bonus", F.col("idf") * 2.5 * F.col("tf") / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))))
-    return scored.where("tf > 0").groupBy("question_id", id_col).agg(F.sum(part).alias("score")).where("score > 0")
+    return scored.where("tf > 0 OR bonus IS NOT NULL").groupBy("question_id", id_col).agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: list[str], k: int) -> DataFrame:

@@ -661,6 +661,10 @@ def rules_evidence(spark: SparkSession, d: str) -> DataFrame:
     return rules.classify_evidence(rows).select("question_id", "doc_id", F.round("relevance", 6).alias("relevance"), "evidence_status", "evidence_reason")
 
 
+# further queries register themselves
+from . import answers  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

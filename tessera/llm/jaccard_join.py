@@ -1,7 +1,7 @@
 """N-gram Jaccard join: blocked sparse products of the document by n-gram incidence.
 
-1. Every text becomes its set of word shingles (64-bit hashes). Equal sets collapse to one *vertex*, so exact
-   copies cost one row each and are never paired.
+1. Every text becomes its set of word shingles (64-bit hashes). Equal sets, by 128 bits, collapse to one *vertex*, so
+   exact copies cost one row each and are never paired.
 2. Size-derived bounds: two sets of sizes a and b reach similarity t only with an overlap of at least
    t / (1 + t) * (a + b). Under a total order of n-grams (common ones last) a qualifying pair shares one of
    the first ``|x| - ceil(t |x|) + 1`` n-grams of each set; only those columns of the incidence are kept, and
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, materialise
+from .common import SMALL, discard, join_small, materialise
 from .textscan import U, Slice, mix, ngrams, slices
 
 #: Counters of the sketch of n-gram frequencies, and how many of the most frequent are ordered last.
@@ -50,6 +50,11 @@ class Join:
     percent: int = 80
     #: Linear rounds before the exact round over pairs between components.
     rounds: int = 3
+    #: Columns with more vertices, and vertices with more members, than these (or their share of all) are not gathered in a task.
+    wide: int = 1_000
+    copies: int = 64
+    #: Bits of a vertex's short name; fewer make names meet, which tests want.
+    name_bits: int = 64
 
 
 def shingle_sets(s: Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +80,21 @@ def shingle_sets(s: Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(s.n + 1))
 
 
-def _vertex(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set: equal sets, equal names."""
+def _sums(h: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.zeros(len(h) + 1, U)
-        np.cumsum(mix(h ^ U(0x94D049BB133111EB)), out=total[1:])
+        np.cumsum(mix(h ^ U(seed)), out=total[1:])
         return mix((total[bounds[1:]] - total[bounds[:-1]]) + np.diff(bounds).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def _vertex(h: np.ndarray, bounds: np.ndarray, shared: np.ndarray, bits: int) -> np.ndarray:
+    """A 64-bit name of each set: equal sets, equal names. ``shared``: names that unlike sets were seen to share, which are told apart by more bits."""
+    v = _sums(h, bounds, 0x94D049BB133111EB) >> U(64 - bits)
+    if len(shared):
+        v = np.where(np.isin(v, shared), mix(v ^ _sums(h, bounds, 0x2545F4914F6CDD1D)), v)
+    return v
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64), pa.int64())
 
@@ -96,25 +108,45 @@ def _folded(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([flat[i * BUCKETS : (i + 1) * BUCKETS] for i in range(n)], pa.binary())
 
 
-def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of kind 0: a document with the hash of its text, its set's size and name. Kind 1: a sketch counter and its count."""
+def _scan(docs: DataFrame, cfg: Join, shared: np.ndarray) -> DataFrame:
+    """Rows of kind 0: a document with the hash of its text, its set's size, name and check. Kind 1: a sketch counter and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH_SLOTS, np.uint32)
-        names = ["kind", "a", "t", "n", "v", "f"]
+        names = ["kind", "a", "t", "n", "v", "w", "f"]
         for batch in batches:
             for i, j, s in slices(batch.column(2), fold_case=True):
-                h, bounds = shingle_sets(s, n)
+                h, bounds = shingle_sets(s, cfg.words)
                 slot, c = np.unique((h >> U(42)).astype(np.int64), return_counts=True)
                 counters[slot] += c.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _long(np.diff(bounds)), _long(_vertex(h, bounds)), _folded(h, bounds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _long(np.diff(bounds)), _long(_vertex(h, bounds, shared, cfg.name_bits)), _long(_sums(h, bounds, 0x9FB21C651E98DF25)), _folded(h, bounds)], names)
         # counters that stand out from the mean of the task
         slot = np.flatnonzero(counters >= max(4, 2 + int(6 * counters.mean())))
         for i in range(0, len(slot), 1 << 16):
             part = slot[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), pa.nulls(len(part), pa.int64()), _long(counters[part]), _long(np.zeros(len(part), np.int64)), pa.nulls(len(part), pa.binary())], names)
+            none = _long(np.zeros(len(part), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), _long(part), pa.nulls(len(part), pa.int64()), _long(counters[part]), none, none, pa.nulls(len(part), pa.binary())], names)
+
+    return docs.select("id", "t", "text").mapInArrow(run, "kind byte, a long, t long, n long, v long, w long, f binary")
 
-    return docs.select("id", "t", "text").mapInArrow(run, "kind byte, a long, t long, n long, v long, f binary")
+
+def _vertices(base: DataFrame, cfg: Join) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The scan, its vertices (v, least, n, f, m: members), and the names that had to be told apart.
+
+    A name stands for 128 bits: where two sets with one name differ in their checks, the scan is made again with
+    longer names for those.
+    """
+    shared = np.zeros(0, U)
+    while True:
+        scan = materialise(_scan(base, cfg, shared), "sets")
+        members = scan.where("kind = 0 AND n > 0")
+        found = materialise(members.groupBy("v").agg(F.min("a").alias("least"), F.first("n").alias("n"), F.first("f").alias("f"), F.count(F.lit(1)).alias("m"), F.min("w").alias("w0"), F.max("w").alias("w1")), "vertices")
+        # expected number of names that two of n sets share: n * n / 2 ** 65
+        again = np.array([r.v for r in found.where("w0 <> w1").select("v").limit(SMALL).collect()], np.int64).view(U)
+        if not len(again):
+            return scan, found.drop("w0", "w1"), shared
+        shared = np.union1d(shared, again)
+        discard(scan, found)
 
 
 def _heavy(scan: DataFrame) -> np.ndarray:
@@ -124,19 +156,20 @@ def _heavy(scan: DataFrame) -> np.ndarray:
     return rows[np.argsort(rows[:, 0])]
 
 
-def _columns(docs: DataFrame, cfg: Join, heavy: DataFrame) -> DataFrame:
-    """The kept columns of the incidence: (n-gram, vertex, position << 32 | size)."""
+def _columns(docs: DataFrame, cfg: Join, heavy: np.ndarray, shared: np.ndarray, wide: int) -> DataFrame:
+    """The kept columns of the incidence: (n-gram, vertex, position << 32 | size, hot). Hot n-grams may have over ``wide`` vertices."""
     t = Fraction(cfg.percent, 100)
-    known = docs.sparkSession.sparkContext.broadcast(heavy)
+    known = docs.sparkSession.sparkContext.broadcast((heavy, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SKETCH_SLOTS, np.int32)
-        table[known.value[:, 0]] = known.value[:, 1]
+        rows, shared = known.value
+        table[rows[:, 0]] = np.minimum(rows[:, 1], 2**31 - 1)
         seen: set[int] = set()
         for batch in batches:
             for _, _, s in slices(batch.column(0), fold_case=True):
                 h, bounds = shingle_sets(s, cfg.words)
-                v, size = _vertex(h, bounds), np.diff(bounds)
+                v, size = _vertex(h, bounds, shared, cfg.name_bits), np.diff(bounds)
                 # a task sends each vertex once
                 fresh = np.zeros(s.n, bool)
                 for k, name in enumerate(v.tolist()):
@@ -144,16 +177,25 @@ def _columns(docs: DataFrame, cfg: Join, heavy: DataFrame) -> DataFrame:
                         seen.add(name)
                         fresh[k] = True
                 of = np.repeat(np.arange(s.n), size)
-                order = np.lexsort((h, table[(h >> U(42)).astype(np.int64)], of))
+                count = table[(h >> U(42)).astype(np.int64)]
+                order = np.lexsort((h, count, of))
                 at = np.arange(len(h)) - bounds[of]
                 least = -((-t.numerator * size) // t.denominator)
                 keep = (at < (size - least + 1)[of]) & fresh[of]
-                of, at, h = of[keep], at[keep], h[order][keep]
+                of, at, h, count = of[keep], at[keep], h[order][keep], count[order][keep]
                 for k in range(0, len(h), 1 << 18):
                     o = of[k : k + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([_long(h[k : k + (1 << 18)]), _long(v[o]), _long((at[k : k + (1 << 18)] << 32) | size[o])], ["g", "v", "ps"])
+                    yield pa.RecordBatch.from_arrays([_long(h[k : k + (1 << 18)]), _long(v[o]), _long((at[k : k + (1 << 18)] << 32) | size[o]), pa.array(count[k : k + (1 << 18)] > wide)], ["g", "v", "ps", "hot"])
+
+    return docs.mapInArrow(run, "g long, v long, ps long, hot boolean")
+
 
-    return docs.mapInArrow(run, "g long, v long, ps long")
+def _over_columns(rows: DataFrame, **stats: F.Column) -> DataFrame:
+    """``rows`` with aggregates over their column. A column that may be large is summed in parts and met by its sums, not gathered."""
+    per = W.partitionBy("g")
+    cold = rows.where("NOT hot").select("*", *[x.over(per).alias(k) for k, x in stats.items()])
+    hot = rows.where("hot")
+    return cold.unionByName(hot.join(hot.groupBy("g").agg(*[x.alias(k) for k, x in stats.items()]), "g"))
 
 
 def _room(p: str, q: str, percent: int) -> F.Column:
@@ -268,14 +310,16 @@ def first_copies(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", te
 def _members(docs: DataFrame, cfg: Join, id_col: str, text_col: str) -> DataFrame:
     """(id, t, n, v, c, component_id) of every row: hash of its text, vertex, and the vertex that names its component."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    scan = materialise(_scan(base, cfg.words), "sets")
-    members = scan.where("kind = 0").select(F.col("a").alias("id"), "t", "n", "v", "f")
-    vertices = materialise(members.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("f").alias("f")), "vertices")
-    # one row for a column and vertex, of columns with two vertices or more; all by one deal of the columns
-    raw = _columns(base.select("text"), cfg, _heavy(scan)).repartition("g").groupBy("g", "v").agg(F.min("ps").alias("ps"))
-    per = W.partitionBy("g")
-    wide = raw.withColumn("k", F.min("v").over(per)).withColumn("k2", F.max("v").over(per)).where("k <> k2").drop("k", "k2")
-    columns = materialise(wide, "columns")
+    scan, vertices, shared = _vertices(base, cfg)
+    members = scan.where("kind = 0").select(F.col("a").alias("id"), "t", "n", "v")
+    many = vertices.agg(F.sum("m")).collect()[0][0] or 0
+    # one row for a column and vertex, of columns with two vertices or more; a hot column is dealt over many tasks and kept
+    wide = max(cfg.wide, many // 10_000)
+    part = F.when(F.col("hot"), F.pmod("v", F.lit(4096))).otherwise(0)
+    raw = _columns(base.select("text"), cfg, _heavy(scan), shared, wide).withColumn("part", part).repartition("g", "part").groupBy("g", "part", "v", "hot").agg(F.min("ps").alias("ps"))
+    per = W.partitionBy("g", "part")
+    pruned = raw.withColumn("k", F.min("v").over(per)).withColumn("k2", F.max("v").over(per)).where("hot OR k <> k2").select("g", "v", "ps", "hot")
+    columns = materialise(pruned, "columns")
     links, tried, comp = [], None, None
     for last in [False] * cfg.rounds + [True]:
         tagged = _tagged(columns, comp)
@@ -283,8 +327,7 @@ def _members(docs: DataFrame, cfg: Join, id_col: str, text_col: str) -> DataFram
             pairs = _between(tagged, cfg)
         else:
             # a column in one component has nothing left to find; else its leader meets all others
-            lead = F.min(F.struct(F.expr("shiftright(ps, 32)").alias("p"), "v", "ps", "c")).over(per)
-            star = tagged.withColumn("l", lead).where("c <> l.c").where(_room("ps", "l.ps", cfg.percent))
+            star = _over_columns(tagged, l=F.min(F.struct(F.expr("shiftright(ps, 32)").alias("p"), "v", "ps", "c"))).where("c <> l.c").where(_room("ps", "l.ps", cfg.percent))
             pairs = star.select(F.least("v", "l.v").alias("a"), F.greatest("v", "l.v").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -294,12 +337,14 @@ def _members(docs: DataFrame, cfg: Join, id_col: str, text_col: str) -> DataFram
         if likely.isEmpty():
             continue
         ends = likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct()
-        sets = materialise(_sets(base, vertices.join(ends, "v", "left_semi").select("v", F.col("least").alias("id")), cfg), "vertex_sets")
+        sets = materialise(_sets(base, vertices.join(ends, "v", "left_semi").select("v", F.col("least").alias("id")), cfg, shared), "vertex_sets")
         found = materialise(_overlaps(likely, sets, cfg.percent), "links")
         discard(sets, likely)
         if not found.isEmpty():
             links.append(found)
-            comp = components(_sum_links(*links))
+            if comp is not None:
+                discard(comp)
+            comp = materialise(components(_sum_links(*links)), "components")
     discard(columns)
     if comp is None:
         comp = vertices.select("v", F.col("v").alias("c")).where("false")
@@ -307,14 +352,21 @@ def _members(docs: DataFrame, cfg: Join, id_col: str, text_col: str) -> DataFram
     roots = comp.select("c").distinct().join(vertices.withColumnRenamed("v", "c"), "c").select("c", F.col("least").alias("r"))
     top = low.join(roots, "c").select("c", F.least("m", "r").alias("least"))
     named = comp.join(top, "c").select("v", "c", "least").union(top.select(F.col("c").alias("v"), "c", "least"))
-    least = vertices.alias("x").join(named.alias("y"), "v", "left").select("v", F.coalesce("y.c", "v").alias("c"), F.coalesce("y.least", "x.least").alias("least"))
-    out = members.join(least, "v", "left").select("id", "t", "n", "v", "c", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    of = vertices.alias("x").join(named.alias("y"), "v", "left").select("v", "m", F.coalesce("y.c", "v").alias("c"), F.coalesce("y.least", "x.least").alias("least"))
+    of = materialise(of, "named")
+    # what has many copies is few vertices, sent to its members; the members of others are dealt by vertex
+    copies = max(cfg.copies, many // SMALL)
+    hot = of.where(F.col("m") > copies).select("v", "c", "least")
+    near = join_small(members, hot.withColumn("hot", F.lit(True)), ["v"])
+    cold = near.where("hot IS NULL AND n > 0").select("id", "t", "n", "v").join(of.where(F.col("m") <= copies).select("v", "c", "least"), "v")
+    done = near.where("hot OR n = 0").select("v", "id", "t", "n", "c", "least").union(cold.select("v", "id", "t", "n", "c", "least"))
+    out = done.select("id", "t", "n", "v", "c", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
     out = materialise(out, "clusters")
-    discard(scan, vertices, *links)
+    discard(scan, vertices, of, *links)
     return out
 
 
-def _sets(base: DataFrame, wanted: DataFrame, cfg: Join) -> DataFrame:
+def _sets(base: DataFrame, wanted: DataFrame, cfg: Join, shared: np.ndarray) -> DataFrame:
     """(v, s) of the wanted vertices (v, id), their sets read from the texts under the ids.
 
     Vertices found only under null ids are read from the rows without one, and each is kept once.
@@ -325,7 +377,7 @@ def _sets(base: DataFrame, wanted: DataFrame, cfg: Join) -> DataFrame:
             for _, _, s in slices(batch.column(0), fold_case=True):
                 h, bounds = shingle_sets(s, cfg.words)
                 s_col = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), _long(h)).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([_long(_vertex(h, bounds)), s_col], ["v", "s"])
+                yield pa.RecordBatch.from_arrays([_long(_vertex(h, bounds, shared, cfg.name_bits)), s_col], ["v", "s"])
 
     schema = "v long, s array<long>"
     sets = base.join(wanted.select("id").where("id IS NOT NULL").distinct(), "id", "left_semi").select("text").mapInArrow(run, schema)
@@ -343,13 +395,12 @@ def _between(tagged: DataFrame, cfg: Join) -> DataFrame:
     left out of a column if one of the last BEFORE columns of both is the same, for there, at smaller positions,
     the same bounds hold as well. The first column of a pair has no such column before it, so no pair is lost.
     """
-    per = W.partitionBy("g")
-    mixed = tagged.withColumn("c1", F.min("c").over(per)).withColumn("c2", F.max("c").over(per)).where("c1 <> c2").drop("c1", "c2")
+    mixed = _over_columns(tagged, c1=F.min("c"), c2=F.max("c")).where("c1 <> c2").drop("c1", "c2")
     # a pair's smaller set is at least percent / 100 of the larger: on a scale of log(size) in such steps it is in the same or the next step
     step = math.log(100 / cfg.percent)
     mixed = mixed.withColumn("z", F.floor(F.log((F.col("ps").bitwiseAND(F.lit(4294967295))).cast("double")) / step + 1e-9).cast("int"))
     # n-grams of a vertex are in one total order, which its positions follow
-    before = W.partitionBy("v").orderBy("ps").rowsBetween(-BEFORE, -1)
+    before = W.partitionBy("v").orderBy("ps", "g").rowsBetween(-BEFORE, -1)
     mixed = mixed.withColumn("h", F.collect_list("g").over(before))
     x = mixed.select("g", F.col("v").alias("a"), F.col("ps").alias("p"), F.col("c").alias("ca"), F.col("h").alias("ha"), F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"))
     y = mixed.select("g", F.col("v").alias("b"), F.col("ps").alias("q"), F.col("c").alias("cb"), F.col("h").alias("hb"), "z")

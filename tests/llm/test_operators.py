@@ -349,6 +349,23 @@ def test_jaccard(docs, rows):
     assert jaccard_join.cluster(empty(docs)).count() == 0
 
 
+def test_jaccard_hot_columns_and_copies(spark, docs, rows):
+    """The same result where columns and copies are dealt over many tasks."""
+    got = jaccard_join.cluster(docs, jaccard_join.Join(wide=1, copies=1)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows) and len(got) == len(rows)
+
+
+def test_jaccard_names_that_sets_share(spark):
+    """Where different sets have one short name, longer names keep them apart."""
+    texts = [edited("a"), edited("a", 0), edited("b"), edited("b"), "one two", "three four", "five six seven eight nine ten", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = d.selectExpr("doc_id AS id", "xxhash64(text) AS t", "text")
+    _, vertices, shared = jaccard_join._vertices(base, jaccard_join.Join(name_bits=1))
+    assert len(shared) == 2 and vertices.count() == 6
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.cluster(d, jaccard_join.Join(name_bits=1)).collect()}
+    assert got == brute_components([(i, t, None) for i, t in enumerate(texts)])
+
+
 def test_jaccard_family(spark):
     """Copies at the limit: edits of one text link through it and through each other."""
     rng = np.random.RandomState(1)

@@ -662,7 +662,7 @@ def rules_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 # further queries register themselves
-from . import answers, audits  # noqa: E402, F401
+from . import answers, audits, ranking  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

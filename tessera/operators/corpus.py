@@ -10,14 +10,6 @@ from ..functions.stats import values_at
 from ..functions.text import numbers
 
 
-def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 150) -> DataFrame:
-    """(id, start_index, chunk): windows of ``size`` characters; the last one ends with the text; blank texts have none."""
-    step = size - overlap
-    n = F.length(text_col)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1 - overlap).cast("int"), F.lit(step))
-    return docs.where(F.length(F.trim(text_col)) > 0).select(id_col, F.explode(starts).alias("start_index"), F.col(text_col).alias("t")).select(id_col, "start_index", F.expr(f"substring(t, start_index + 1, {size})").alias("chunk"))
-
-
 def chunk_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats, text
-from ..operators import corpus, entities, evaluation, retrieval, rules
+from ..operators import chunking, corpus, entities, evaluation, retrieval, rules
 from ..streaming import budget
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,19 +422,33 @@ def stats_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return stats.values_at(_obs(spark, d), ["arm"], "latency", {"nearest": ("nearest", 0.95), "floored": ("floored", 0.95), "cut": ("cut", 0.95), "lower_median": ("lower_median", 0.5)})
 
 
-@register("""WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 151) + 1, 650)) AS start_index FROM documents WHERE length(trim(text)) > 0)
-SELECT doc_id, start_index, length(substr(text, start_index + 1, 800)) AS n, sha256(concat_ws(chr(31), doc_id::VARCHAR, 'F', start_index::VARCHAR, substr(text, start_index + 1, 800))) AS chunk_id FROM s""")
+_FIXED = """s AS (SELECT doc_id, substr(text, b + 1, 800) AS raw, b FROM (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 151) + 1, 650)) AS b FROM documents WHERE regexp_matches(text, '\\S'))),
+fc AS (SELECT doc_id, b + length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS start_index, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS chunk FROM s WHERE regexp_matches(raw, '\\S'))"""
+
+
+@register(f"""WITH {_FIXED} SELECT doc_id, start_index, length(chunk) AS n, sha256(concat_ws(chr(31), doc_id::VARCHAR, '', 'F', 'v1', start_index::VARCHAR, chunk)) AS chunk_id FROM fc""")
 def corpus_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Fixed windows with overlap and content-addressed ids."""
-    got = corpus.fixed_chunks(_t(spark, d, "documents"), "doc_id", "text")
-    return got.select("doc_id", "start_index", F.length("chunk").alias("n"), corpus.chunk_id(F.col("doc_id"), F.lit("F"), F.col("start_index"), F.col("chunk")).alias("chunk_id"))
+    return chunking.split(_t(spark, d, "documents"), "F").select("doc_id", "start_index", F.length("chunk").alias("n"), "chunk_id")
+
+
+@register()
+def corpus_recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by the first separator that occurs, then finer ones; tested on small cases."""
+    return chunking.split(_t(spark, d, "documents"), "R").select("doc_id", "start_index", F.length("chunk").alias("n"), "chunk_id")
+
+
+@register()
+def corpus_section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs, tables and code packed under their headings, long chunks cut at sentences; tested on small cases."""
+    return chunking.split(_t(spark, d, "documents"), "P").select("doc_id", "start_index", "end_index", "section_path", F.length("chunk").alias("n"), "chunk_id")
 
 
-@register("""WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 151) + 1, 650)) AS b FROM documents WHERE length(trim(text)) > 0), n AS (SELECT length(substr(text, b + 1, 800)) AS n FROM s)
+@register(f"""WITH {_FIXED}, n AS (SELECT length(chunk) AS n FROM fc)
 SELECT count(*) AS chunk_count, round(avg(n), 2) AS mean_chars, list_sort(list(n))[CAST(floor(0.95 * count(*)) AS INT)] AS p95_chars FROM n""")
 def corpus_chunk_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Count, mean and 95th percentile of chunk lengths."""
-    return corpus.chunk_statistics(corpus.fixed_chunks(_t(spark, d, "documents"), "doc_id", "text"), "chunk")
+    return corpus.chunk_statistics(chunking.split(_t(spark, d, "documents"), "F"), "chunk")
 
 
 _SNAP = """old AS (SELECT url AS path, sha256(html) AS sha256 FROM pages WHERE page_id % 7 <> 0), new AS (SELECT url AS path, CASE WHEN page_id % 5 = 0 THEN sha256(html || 'x') ELSE sha256(html) END AS sha256 FROM pages WHERE page_id % 11 <> 0),

@@ -299,12 +299,14 @@ def first_copies(docs: DataFrame, cfg: Join = Join(), id_col: str = "doc_id", te
     rows = _members(docs, cfg, id_col, text_col)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v", "t")).alias("m")
     firsts = rows.where("n > 0").groupBy("c").agg(least).select("m.id", "m.t").union(rows.where("n = 0").select("id", "t").distinct())
-    firsts = firsts.select(F.col("id").alias("__id"), F.col("t").alias("__of"))
-    tagged = docs.withColumn("__t", F.xxhash64(text_col))
-    kept = tagged.join(firsts, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")), "left_semi")
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    nth = F.row_number().over(W.partitionBy(id_col, "__t").orderBy(*rest or [id_col]))
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    # one deal of the documents serves the join and the choice among rows alike in id and text
+    keys = ["none", "id", "t"]
+    key = lambda x, of: [x.isNull().alias("none"), F.coalesce(x.cast("long"), F.lit(0)).alias("id"), of.alias("t")]
+    tagged = docs.select(F.struct(*docs.columns).alias("doc"), *key(F.col(id_col), F.xxhash64(text_col)))
+    kept = tagged.join(firsts.select(*key(F.col("id"), F.col("t"))), keys, "left_semi")
+    rest = [F.to_json(F.struct(f"doc.{c}")) for c in docs.columns if c not in (id_col, text_col)]
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*rest or [F.lit(1)]))
+    return kept.withColumn("nth", nth).where("nth = 1").select("doc.*")
 
 
 def _members(docs: DataFrame, cfg: Join, id_col: str, text_col: str) -> DataFrame:

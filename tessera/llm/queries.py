@@ -124,5 +124,31 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.v = w.doc_id GROUP BY ALL
 """
 
 
+_GRAMS = [n for n, _ in quality_rules.Rules().ngram_limits]
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+c AS (SELECT r, doc_id, t, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars FROM w),
+a3 AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM (SELECT r, unnest(range(1, len(w) - 1)) AS i, array_to_string(w[i:i + 2], ' ') AS g FROM c)),
+p3 AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM a3 WHERE k > 1) GROUP BY r),
+{"".join(f"""a{n} AS (SELECT r, i, row_number() OVER (PARTITION BY r, g ORDER BY i) AS k FROM (SELECT r, unnest(range(1, len(w) - {n - 2})) AS i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM c)),
+p{n} AS (SELECT r, sum(length(w[j])) AS m{n} FROM (SELECT DISTINCT r, unnest(range(i, i + {n})) AS j FROM a{n} WHERE k > 1) JOIN c USING (r) GROUP BY r),
+""" for n in _GRAMS)}l AS (SELECT r, i, l, row_number() OVER (PARTITION BY r, l ORDER BY i) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM c) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+q AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS lc FROM l WHERE k > 1 GROUP BY r),
+j AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(lc, 0) AS lc, {", ".join(f"coalesce(m{n}, 0) AS m{n}" for n in _GRAMS)}
+  FROM c LEFT JOIN p3 USING (r) LEFT JOIN q USING (r) {" ".join(f"LEFT JOIN p{n} USING (r)" for n in _GRAMS)}),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND lc / greatest(word_chars, 1) <= {quality_rules.Rules().max_dup_line_chars} AND {" AND ".join(f"m{n} / greatest(word_chars, 1) <= {x}" for n, x in quality_rules.Rules().ngram_limits)} AS kept FROM b
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, min(sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y))) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op10_jaccard": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_neighbours": OP9_SQL, "op10_jaccard": OP10_SQL}

@@ -72,3 +72,37 @@ def json_object(text: Column) -> Column:
 def cylinder_ml(diameter_mm: Column, height_mm: Column) -> Column:
     valid = (diameter_mm > 0) & (height_mm > 0)
     return F.when(valid, F.round(F.pi() * diameter_mm * diameter_mm / 4 * height_mm / 1000, 3))
+
+
+#: What models append to answers (fixed values).
+CONTROL, TAG = "(?i)(?:\\s*[.。]?\\s*(?:\\.calc|\\.analysis|\\.final|\\.answer|\\.summary|\\.end))+\\s*$", "(?i)(?:\\s*</?(?:answer|response|output|final)>\\s*)+\\s*$"
+
+
+def sanitised(answer: Column) -> Column:
+    """struct(text, rules): an answer without control tokens, tags and white space at its end, and the rules that changed it."""
+    raw = F.coalesce(answer, F.lit(""))
+    one = F.regexp_replace(raw, CONTROL, "")
+    two = F.regexp_replace(one, TAG, "")
+    three = F.regexp_replace(two, "\\s+$", "")
+    rules = F.filter(F.array(F.when(one != raw, "remove_trailing_control_token"), F.when(two != one, "remove_trailing_tag"), F.when(three != two, "rstrip_trailing_whitespace")), lambda x: x.isNotNull())
+    return F.struct(three.alias("text"), rules.alias("rules"))
+
+
+def percent(value: Column) -> Column:
+    """A share as a percentage with one place; a dash where there is none."""
+    return F.when(value.isNotNull(), F.format_string("%.1f%%", 100 * value)).otherwise("—")
+
+
+def slug(name: Column) -> Column:
+    """Lower case with single hyphens for all that is not a letter, digit, dot or underscore."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9._]+", "-"), "^-+|-+$", "")
+
+
+def local_deadline(total: Column, reserved: Column, now: Column) -> Column:
+    """When local work must end so that ``reserved`` seconds stay before the total deadline, but not before now."""
+    return F.greatest(now, total - F.greatest(F.lit(0.0), reserved))
+
+
+def composite_id(*parts: Column) -> Column:
+    """Sixteen hex digits of the hash of several values."""
+    return F.substring(F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)

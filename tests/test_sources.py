@@ -70,6 +70,131 @@ def test_streams(spark, tmp_path):
     assert {(str(r.day), r.used) for r in spark.table("usage").collect()} == {("2024-01-01", 11), ("2024-01-02", 7)}
 
 
+def test_undecodable_texts_fail(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xff\xff")
+    with pytest.raises(Exception, match="bad.txt"):
+        files.read_texts(spark, str(tmp_path)).collect()
+
+
+def test_pages(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one page|@@@@ 1234 @@@@ 5678 @@@@||  two  ")
+    (tmp_path / "b.md").write_text(" text \n")
+
+    def pages(raw):
+        yield from enumerate(raw.decode().split("|"))
+
+    def ocr(raw, page):
+        return "what the scanner saw on it" if page == 1 else None
+
+    def rows(**more):
+        return {(r.path.rsplit("/", 1)[1], r.page, r.text, r.by_ocr) for r in files.read_pages(spark, str(tmp_path), pages, **more).collect()}
+
+    plain = {("a.pdf", 0, "one page", False), ("a.pdf", 3, "two", False), ("b.md", None, "text", False)}
+    assert rows() == plain
+    assert rows(ocr=ocr) == plain | {("a.pdf", 1, "what the scanner saw on it", True)}
+    assert rows(ocr=ocr, ocr_empty=True) == plain | {("a.pdf", 1, "what the scanner saw on it", True)}
+    assert files.read_pages(spark, str(tmp_path / "none"), pages).count() == 0
+
+
+def test_manifest_survives_damage(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
+    files.write_manifest(rows, path)
+    files.write_manifest(rows.where("path = 'b'"), path)
+    assert [tuple(r) for r in files.read_manifest(spark, path).collect()] == [("b", "2")]
+    for part in (tmp_path / "manifest").glob("part-*"):
+        part.write_bytes(b"PAR1 not a table PAR1")
+    assert files.read_manifest(spark, path).count() == 0
+    old = str(tmp_path / "old")
+    files.write_manifest(rows, old)
+    assert files.read_manifest(spark, path, old).count() == 2
+    files.write_manifest(rows.where("false"), path)
+    assert files.read_manifest(spark, path).count() == 0
+
+
+def test_rebuild_asks_the_staged_table(spark, tmp_path):
+    path = str(tmp_path / "store")
+    one = spark.createDataFrame([("a", "1")], "path string, sha256 string")
+    files.rebuild(one, path, lambda t: t.where("path = 'a'").count() == 1)
+    with pytest.raises(ValueError):
+        files.rebuild(one.selectExpr("'b' AS path", "sha256"), path, lambda t: t.where("path = 'a'").count() == 1)
+    assert spark.read.parquet(path).collect()[0].path == "a"
+
+
+def test_runs_and_question_sets(spark, tmp_path):
+    run = tmp_path / "run.json"
+    run.write_text(json.dumps({"rows": [{"q": "1", "generation_success": True}, {"q": "2"}, {"q": "3", "status": "provider_error"}]}))
+    spec = files.run_labels(f"case_set=s, arm=a,round=2,path={run}")
+    got = files.read_run(spark, spec["path"], "q string, status string, generation_success boolean", spec["case_set"], spec["arm"], int(spec["round"]))
+    assert {(r.q, r.status, r.case_set, r.arm, r["round"]) for r in got.collect()} == {("1", "completed", "s", "a", 2), ("2", "failed", "s", "a", 2), ("3", "provider_error", "s", "a", 2)}
+    with pytest.raises(ValueError):
+        files.run_labels("case_set=s,arm=a")
+    asked = tmp_path / "q.json"
+    asked.write_text(json.dumps([{"id": 1}, {"id": 2}]))
+    assert files.read_questions(spark, str(asked), "id int", 2).count() == 2
+    with pytest.raises(ValueError):
+        files.read_questions(spark, str(asked), "id int", 35)
+    bom = tmp_path / "bom.json"
+    bom.write_bytes(b"\xef\xbb\xbf" + b'{"id": 7}')
+    assert [r.id for r in files.read_json_documents(spark, str(bom), "id int").collect()] == [7]
+
+
+def test_small_writers(spark, tmp_path):
+    stats = spark.createDataFrame([(3, 1.5)], "chunk_count int, mean_chars double")
+    assert files.write_metadata(spark, stats, str(tmp_path / "meta.json")) == json.loads((tmp_path / "meta.json").read_text())
+    path = files.save_state(spark, str(tmp_path), "a/../b c", {"n": 1})
+    files.save_state(spark, str(tmp_path), "a/../b c", {"n": 2})
+    assert path.endswith("/a____b_c.json") and json.loads((tmp_path / "a____b_c.json").read_text()) == {"state": {"n": 2}}
+    files.write_cases(stats, str(tmp_path / "cases"))
+    assert [json.loads(x) for p in (tmp_path / "cases").glob("part-*") for x in p.read_text().splitlines()] == [{"chunk_count": 3, "mean_chars": 1.5}]
+    web = files.web_results(spark, [{"url": "u", "body": "b"}, {"url": "u"}, {"body": "b"}]).collect()
+    assert [(r.source, r.source_type, r.evidence_status) for r in web] == [("u", "web", "indirect")]
+
+
+def test_checkpoints_are_in_order(spark, tmp_path):
+    import os
+
+    for k, name in enumerate(["z", "y", "x"]):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"profile": name}))
+        os.utime(tmp_path / f"{name}.json", (1_700_000_000 + 10 * k,) * 2)
+    assert [r.profile for r in files.read_checkpoints(spark, str(tmp_path)).collect()] == ["z", "y", "x"]
+
+
+def test_settings(tmp_path):
+    from tessera.sources import config
+
+    (tmp_path / ".env").write_text("# note\nCHUNK_SIZE='900'\nRETRIEVER_ENTITY_GUARD=off\nCHUNK_OVERLAP=10\n")
+    s = config.load(tmp_path / ".env", {"CHUNK_OVERLAP": "20", "OTHER": "x"})
+    assert (s.chunk_size, s.chunk_overlap, s.retriever_entity_guard, s.retriever_top_k) == (900, 20, False, 10)
+    assert not s.problems()
+    with pytest.raises(ValueError, match="CHUNK_SIZE"):
+        config.load(tmp_path / "none", {"CHUNK_SIZE": "many"})
+    assert len(config.load(tmp_path / "none", {"TOOL_TIMEOUT_SECONDS": "500", "CHUNK_OVERLAP": "-1"}).problems()) == 2
+
+
+def test_tools(spark):
+    from tessera.sources import config
+
+    tools = config.Registry(disabled=("off",))
+    tools.add(config.Tool("twice", lambda x: 2 * x, {"x": int}, "int"))
+    tools.add(config.Tool("off", lambda: 1))
+    assert tools.call("twice", x=3) == 6
+    for name, given, error in (("off", {}, KeyError), ("none", {}, KeyError), ("twice", {"x": "3"}, TypeError), ("twice", {"x": 3, "y": 1}, TypeError)):
+        with pytest.raises(error):
+            tools.call(name, **given)
+    tools.register_sql(spark, "twice")
+    assert spark.sql("SELECT twice(4) AS y").collect()[0].y == 8
+
+
+def test_circuit(spark):
+    calls = [(1, 0.0, False), (2, 1.0, False), (3, 2.0, True), (4, 3.0, False), (5, 4.0, False), (6, 5.0, False), (7, 6.0, True), (8, 70.0, False), (9, 71.0, True), (10, 140.0, True), (11, 141.0, False)]
+    d = spark.createDataFrame([("s", *c, False) for c in calls] + [("t", k, float(k), False, True) for k in range(5)], "service string, seq long, at double, ok boolean, permanent boolean")
+    got = {(r.service, r.seq): (r.outcome, r.state) for r in budget.circuit(d).collect()}
+    want = ["failed closed", "failed closed", "completed closed", "failed closed", "failed closed", "failed open", "refused open", "failed open", "refused open", "completed closed", "failed closed"]
+    assert [" ".join(got["s", k]) for k in range(1, 12)] == want
+    assert all(got["t", k] == ("failed", "closed") for k in range(5))
+
+
 def test_rules(spark):
     docs = spark.createDataFrame(
         [(1, "tds\\PP_R TDS", None, None), (2, "GB/T 16252—2023", "", "# Scope: cups"), (3, "x", "304", "\n## Part \nScope: hot drinks only."), (4, None, None, None)], "id int, path string, title string, content string"

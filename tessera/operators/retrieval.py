@@ -131,18 +131,31 @@ def min_max(col: str, by: str) -> Column:
     return F.when(F.col(col).isNull(), None).when(hi == lo, 1.0).otherwise((F.col(col) - lo) / (hi - lo))
 
 
-def blend(candidates: DataFrame) -> DataFrame:
-    """combined = .82 semantic + .10 explicit + .03 weak + .05 fused; then the authority penalty and ceiling.
+MODES = ("reranker_only", "reranker_entity", "reranker_entity_rrf")
+PENALTY, CEILING = 0.12, 0.001
 
-    Needs question_id, rerank_score, explicit, weak, rrf_score, low_authority. The penalty holds only where a
-    question has an authoritative candidate; no low-authority one may pass the best of those.
+
+def blend(candidates: DataFrame, mode: str = "reranker_entity_rrf") -> DataFrame:
+    """base and combined: the mode's mix of semantic, explicit, weak and fused scores, then priors, penalty and ceiling.
+
+    Needs question_id, rerank_score, explicit, weak, rrf_score, low_authority; ``prior``, if there is such a column, is added to the base.
+    Without any rerank score the fused one stands in. The penalty holds only where a question has an authoritative candidate; no
+    low-authority one may pass the best of those.
     """
-    c = candidates.withColumn("sem", F.coalesce(min_max("rerank_score", "question_id"), F.lit(0.0))).withColumn("fused", F.coalesce(min_max("rrf_score", "question_id"), F.lit(0.0)))
-    base = 0.82 * F.col("sem") + 0.10 * F.col("explicit") + 0.03 * F.col("weak") + 0.05 * F.col("fused")
-    w = W.partitionBy("question_id")
-    best = F.max(F.when(~F.col("low_authority"), F.col("base"))).over(w)
-    c = c.withColumn("base", base).withColumn("best", best)
-    return c.withColumn("combined", F.when(F.col("low_authority") & F.col("best").isNotNull(), F.least(F.col("base") - 0.12, F.col("best") - 0.001)).otherwise(F.col("base"))).drop("best")
+    if mode not in MODES:
+        raise ValueError(mode)
+    fused = min_max("rrf_score", "question_id")
+    c = candidates.withColumn("fused", F.coalesce(fused, F.lit(0.0))).withColumn("sem", F.coalesce(min_max("rerank_score", "question_id"), fused, F.lit(0.0)))
+    base = {
+        "reranker_only": F.col("sem"),
+        "reranker_entity": 0.90 * F.col("sem") + 0.10 * F.col("explicit"),
+        "reranker_entity_rrf": 0.82 * F.col("sem") + 0.10 * F.col("explicit") + 0.03 * F.col("weak") + 0.05 * F.col("fused"),
+    }[mode]
+    c = c.withColumn("base", base).withColumn("raised", base + (F.col("prior") if "prior" in c.columns else F.lit(0.0)))
+    best = F.max(F.when(~F.col("low_authority"), F.col("raised"))).over(W.partitionBy("question_id"))
+    c = c.withColumn("best", best)
+    held = F.least(F.col("raised") - PENALTY, F.col("best") - CEILING)
+    return c.withColumn("combined", F.when(F.col("low_authority") & F.col("best").isNotNull(), held).otherwise(F.col("raised"))).drop("best", "raised")
 
 
 def diversify(ranked: DataFrame, cap: int, k: int, rank: str = "rank") -> DataFrame:

@@ -75,7 +75,7 @@ def plan_tool_counters(spark: SparkSession, d: str) -> DataFrame:
     return planning.tool_counters(spark.sql(_CALLS.format("{events}"), events=_t(spark, d, "events")), ["run_id"])
 
 
-_TASKS = "SELECT l_orderkey AS plan_id, l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS task_id, CASE l_partkey % 4 WHEN 0 THEN 'covered' WHEN 1 THEN 'partial' END AS coverage, CASE WHEN l_partkey % 5 = 0 THEN 'said' ELSE '' END AS missing_reason, l_suppkey % 3 AS docs, l_suppkey % 2 AS direct, CASE WHEN l_partkey % 7 = 0 THEN 'x' END AS error, CASE WHEN l_linenumber % 2 = 0 THEN 'high' ELSE 'normal' END AS priority FROM {0}"
+_TASKS = "SELECT l_orderkey AS plan_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS task_id, CASE l_partkey % 4 WHEN 0 THEN 'covered' WHEN 1 THEN 'partial' END AS coverage, CASE WHEN l_partkey % 5 = 0 THEN 'said' ELSE '' END AS missing_reason, l_suppkey % 3 AS docs, l_suppkey % 2 AS direct, CASE WHEN l_partkey % 7 = 0 THEN 'x' END AS error, CASE WHEN l_linenumber % 2 = 0 THEN 'high' ELSE 'normal' END AS priority FROM {0}"
 
 
 @register(f"""WITH t AS ({_TASKS.format("lineitem")}) SELECT plan_id, task_id, CASE WHEN coverage IS NULL AND docs = 0 AND error IS NULL THEN '未完成证据覆盖判断' WHEN missing_reason <> '' THEN missing_reason WHEN docs > 0 THEN '只有间接资料或适用范围不匹配资料，缺少直接证据' ELSE '未找到满足任务要求的直接资料' END AS reason,

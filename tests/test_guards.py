@@ -18,7 +18,7 @@ def make(seed):
         plan = rng.sample("abcd", rng.randrange(4))
         for k in range(n):
             stands = [(e, rng.choice([-1, 60, 90, 100]), rng.choice([None, 1, 2, 3])) for e in plan if rng.random() < share]
-            rows.append((q, 100 * q + k, f"s{rng.randrange(4)}", k + 1, rng.choice([None, rng.randrange(1, 30)]), rng.choice([None, rng.randrange(1, 30)]), round(1 - k / 100, 3), plan, stands))
+            rows.append((q, 100 * q + k, f"s{rng.randrange(9)}", k + 1, rng.choice([None, rng.randrange(1, 30)]), rng.choice([None, rng.randrange(1, 30)]), round(1 - k / 100, 3), plan, stands))
     return rows
 
 

@@ -203,7 +203,10 @@ def search(index_rows: DataFrame, routed: DataFrame, index: Index, cfg: Settings
                 bar = np.partition(high, n - 1, axis=1)[:, n - 1]
                 for k in range(len(part)):
                     near = np.flatnonzero(low[k] <= bar[k] + 1e-12)
-                    # summed from first to last component, as SQL does
+                    rough = ((x[near] - part[k]) ** 2).sum(1)
+                    if len(near) > want:
+                        near = near[rough <= np.partition(rough, want - 1)[want - 1] * (1 + 1e-9)]
+                    # those that may be among the nearest are summed from first to last component, as SQL does
                     score = np.sqrt(np.cumsum((x[near] - part[k]) ** 2, axis=1)[:, -1])
                     best = np.lexsort((least[near], score))[:want]
                     out[0] += [p[at + k]] * len(best)

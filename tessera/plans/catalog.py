@@ -676,7 +676,7 @@ def rules_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 # further queries register themselves
-from . import answers, audits, cases, ranking, records, states, tasks  # noqa: E402, F401
+from . import answers, audits, cases, ranking, records, replays, states, tasks  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

@@ -168,3 +168,12 @@ def test_report(spark):
     d = spark.createDataFrame([(1, None), (2, "a|b\nc")], "n int, s string")
     assert summaries.report("T", {"One": d}) == "# T\n\n## One\n\n| n | s |\n|---|---|\n| 1 | — |\n| 2 | a\\|b c |\n"
     assert summaries.report("T", {"One": d}, rows=1).endswith("2 rows in all.\n")
+
+
+def test_embeddings_are_unit_vectors(spark):
+    from tessera.operators import replays
+
+    d = spark.createDataFrame([(1, "alpha beta"), (2, "alpha  BETA"), (3, ""), (4, None)], "n int, t string")
+    got = {r.n: r.v for r in d.select("n", replays.hashed_embedding("t").alias("v")).collect()}
+    assert all(len(v) == replays.VECTOR_SIZE for v in got.values())
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[1] == got[2] and not any(got[3] + got[4])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window as W
 
 from ..functions.text import lexical_terms
@@ -83,7 +84,7 @@ def attempt_fields(rows: DataFrame) -> DataFrame:
     return out.withColumns({m: F.when(F.col("status") == "completed", F.col(m)) for m in CONTENT_METRICS if m in rows.columns})
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def hashed_embedding(texts: pd.Series) -> pd.Series:
     """A deterministic stand-in for a model: unit vectors of hashed words; a real one is called the same way, in batches."""
     import zlib

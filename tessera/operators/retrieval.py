@@ -28,7 +28,7 @@ def join_small(rows: DataFrame, small: DataFrame, on: Column | list[str], how: s
 
 
 def document_terms(docs: DataFrame, id_col: str, fields: list[str], wanted: Column | None = None) -> DataFrame:
-    """(id, len, term, pos, first, meta): distinct terms over the fields, and a row with null term a document.
+    """(id, len, term, pos, first, meta): distinct terms over the fields, and a row with an empty term a document.
 
     len is the number of distinct terms summed over fields. Terms at a pos below ``first`` are in the content; ``meta`` has the
     terms of the other fields, for ``term_weight``. ``wanted``: a column with an array of identifiers to look for.
@@ -39,7 +39,7 @@ def document_terms(docs: DataFrame, id_col: str, fields: list[str], wanted: Colu
     parts = parts.withColumn("own", own).withColumn("meta", F.struct(*[lexical_terms(F.col(f)).alias(f) for f in other]) if other else F.lit(None))
     length = sum([F.size(f"meta.{f}") for f in other], F.size("own"))
     rest = F.array_except(F.array_distinct(F.concat(*[F.col(f"meta.{f}") for f in other])), F.col("own")) if other else F.array().cast("array<string>")
-    extra = F.array(F.lit(None).cast("string"))
+    extra = F.array(F.lit(""))
     if wanted is not None:
         # where there is nothing to look for, nothing is prepared
         ask = lambda c: F.when(F.size("wanted") > 0, c)
@@ -75,16 +75,20 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, id_col: str, fields: list
     # one row: the identifiers of all questions
     wanted = asked.where("bonus IS NOT NULL").agg(F.sort_array(F.collect_set("term")).alias("__wanted"))
     rows = document_terms(docs.join(F.broadcast(wanted), F.lit(True), "left"), id_col, fields, F.coalesce("__wanted", F.array().cast("array<string>")))
-    # the terms of all questions and the null term that counts documents
-    vocabulary = asked.select("term").union(docs.sparkSession.range(1).select(F.lit(None).cast("string"))).distinct().withColumnRenamed("term", "word")
-    hits = join_small(rows, vocabulary, F.col("term").eqNullSafe(F.col("word"))).drop("word")
-    stats = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total"))
-    whole = stats.where("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avg_len"))
+    # the terms of all questions and the empty term that counts documents
+    vocabulary = asked.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct()
+    hits = join_small(rows, vocabulary, ["term"]).select(id_col, "len", "term", term_weight(fields).alias("tf")).where("term IS NOT NULL")
+    counted = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total"))
+    if vocabulary.count() <= SMALL:
+        # one row a term of the questions: read once, so that the documents are not scanned for each use
+        counted = docs.sparkSession.createDataFrame(counted.toArrow(), counted.schema)
+    whole = counted.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avg_len"))
     # one row on the right
-    known = asked.join(stats.where("term IS NOT NULL").select("term", "df"), "term").join(F.broadcast(whole), F.lit(True))
+    known = asked.join(counted.select("term", "df"), "term").join(F.broadcast(whole), F.lit(True))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = known.select("question_id", "term", "bonus", idf.alias("idf"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len"))
-    scored = join_small(hits.where("term IS NOT NULL").select(id_col, "len", "term", term_weight(fields).alias("tf")), known, ["term"])
+    # a document's rows stay together from here on, so that its scores are summed where they are
+    scored = join_small(hits.repartition(id_col), known, ["term"])
     part = F.coalesce("bonus", F.col("idf") * 2.5 * F.col("tf") / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))))
     return scored.where("tf > 0 OR bonus IS NOT NULL").groupBy("question_id", id_col).agg(F.sum(part).alias("score")).where("score > 0")
 

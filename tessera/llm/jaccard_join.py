@@ -57,9 +57,9 @@ class Join:
     name_bits: int = 64
 
 
-def shingle_sets(s: Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text of a slice, concatenated, and their bounds."""
-    words, counts = s.words(), np.diff(s.bounds)
+def _shingles(s: Slice, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle of a slice, and its text."""
+    words, counts = s.words(seed), np.diff(s.bounds)
     at, h = ngrams(words, s.bounds, n)
     of = np.searchsorted(s.bounds, at, "right") - 1
     short = np.flatnonzero((counts > 0) & (counts < n))
@@ -72,6 +72,23 @@ def shingle_sets(s: Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
                 whole = np.where(more, mix(whole * U(0xA0761D6478BD642F) + words[np.minimum(first + i, len(words) - 1)]), whole)
             whole = mix(whole + k.astype(U) * U(0xC2B2AE3D27D4EB4F))
         h, of = np.concatenate([h, whole]), np.concatenate([of, short])
+    return h, of
+
+
+def checked_sets(s: Slice, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, with a hash of each shingle from other hashes of its words."""
+    h, of = _shingles(s, n, 0)
+    other, _ = _shingles(s, n, 0x632BE59B)
+    order = np.lexsort((h, of))
+    h, of, other = h[order], of[order], other[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[keep], np.searchsorted(of[keep], np.arange(s.n + 1)), other[keep]
+
+
+def shingle_sets(s: Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a slice, concatenated, and their bounds."""
+    h, of = _shingles(s, n, 0)
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     keep = np.ones(len(h), bool)
@@ -116,10 +133,10 @@ def _scan(docs: DataFrame, cfg: Join, shared: np.ndarray) -> DataFrame:
         names = ["kind", "a", "t", "n", "v", "w", "f"]
         for batch in batches:
             for i, j, s in slices(batch.column(2), fold_case=True):
-                h, bounds = shingle_sets(s, cfg.words)
+                h, bounds, other = checked_sets(s, cfg.words)
                 slot, c = np.unique((h >> U(42)).astype(np.int64), return_counts=True)
                 counters[slot] += c.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _long(np.diff(bounds)), _long(_vertex(h, bounds, shared, cfg.name_bits)), _long(_sums(h, bounds, 0x9FB21C651E98DF25)), _folded(h, bounds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(s.n, np.int8)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _long(np.diff(bounds)), _long(_vertex(h, bounds, shared, cfg.name_bits)), _long(_sums(other, bounds, 0x9FB21C651E98DF25)), _folded(h, bounds)], names)
         # counters that stand out from the mean of the task
         slot = np.flatnonzero(counters >= max(4, 2 + int(6 * counters.mean())))
         for i in range(0, len(slot), 1 << 16):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textscan import U, Slice, mix, ngrams, slices
+from .textscan import U, Slice, mix, ngrams, same_bytes, slices
 
 #: Limits on the share of a text's word characters inside repeated word n-grams, by n (fixed values).
 NGRAM_LIMITS = {5: 0.15, 7: 0.13, 10: 0.10}
@@ -52,6 +52,28 @@ def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return many, later
 
 
+def _repeated_lines(s: Slice, starts: np.ndarray, ends: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Whether an earlier line of the same text has the same bytes: found by hash, held to by the bytes."""
+    with np.errstate(over="ignore"):
+        keys = s.span_hash(starts, ends) ^ mix(text_of.astype(U) + U(0x2545F491))
+    order = np.argsort(keys, kind="stable")
+    met = np.flatnonzero(keys[order][1:] == keys[order][:-1]) + 1
+    a, b = order[met - 1], order[met]
+    same = (text_of[a] == text_of[b]) & (ends[a] - starts[a] == ends[b] - starts[b])
+    same[same] = same_bytes(s.wide, starts[a[same]], s.wide, starts[b[same]], (ends - starts)[b[same]])
+    later = np.zeros(len(starts), bool)
+    if same.all():
+        later[b] = True
+        return later
+    # unlike lines that share a hash
+    seen: set[tuple[int, bytes]] = set()
+    for i in range(len(starts)):
+        line = int(text_of[i]), s.data[starts[i] : ends[i]].tobytes()
+        later[i] = line in seen
+        seen.add(line)
+    return later
+
+
 def _covered(at: np.ndarray, n: int, total: int) -> np.ndarray:
     edge = np.zeros(total + 1, np.int64)
     np.add.at(edge, at, 1)
@@ -89,8 +111,7 @@ def measure(s: Slice, rules: Rules) -> dict[str, np.ndarray]:
     full = np.searchsorted(s.starts, ends) > np.searchsorted(s.starts, starts)
     starts, ends, text_of = starts[full], ends[full], text_of[full]
     if len(starts):
-        with np.errstate(over="ignore"):
-            _, later = _again(s.span_hash(starts, ends) ^ mix(text_of.astype(U) + U(0x2545F491)))
+        later = _repeated_lines(s, starts, ends, text_of)
     else:
         later = np.zeros(0, bool)
     out["n_dup_lines"] = np.bincount(text_of[later], minlength=s.n)[: s.n]

@@ -12,6 +12,7 @@ renames, so a repeated or speculative task leaves one whole file.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -30,7 +31,7 @@ from .common import arrow_path, fresh_path, materialise
 from .textscan import slices
 from .unitmemo import TokenTable
 
-MAGIC, RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"TSST0001", 16, 1 << 16, 10, 7
+MAGIC, RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"TSST0002", 16, 1 << 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")
 #: Bytes of visible ASCII, of ASCII letters, and of ASCII punctuation other than an apostrophe.
 VISIBLE, LETTER, MARK = (np.array([bool(re.match(p, chr(b))) and b < 128 for b in range(256)]) for p in ("[!-~]", "[A-Za-z]", "[!-&(-/:-@\\[-`{-~]"))
@@ -90,7 +91,8 @@ def _read_varint(b: bytes, i: int) -> tuple[int, int]:
 
 
 def _bloom_bits(key: bytes, bits: int) -> Iterator[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+    b |= 1
     return ((a + k * b) % bits for k in range(BLOOM_HASHES))
 
 

@@ -15,15 +15,12 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
 U = np.uint64
-_RNG = np.random.RandomState(20240611)
-BYTE_CODE = _RNG.randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U) | U(1)
-LOWER_CODE = BYTE_CODE.copy()
-LOWER_CODE[65:91] = BYTE_CODE[97:123]
-BASE = U(0x9E3779B97F4A7C15)
-BASE_INV = U(pow(int(BASE), -1, 2**64))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of a little-endian block of 8.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POW = {"n": 0}
 
 
 def give_back() -> None:
@@ -42,23 +39,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POW["n"] < n:
-        m = max(n, SLICE_BYTES + 1)
-        up, down = np.full(m, BASE, U), np.full(m, BASE_INV, U)
-        up[0] = down[0] = U(1)
-        with np.errstate(over="ignore"):
-            _POW.update(n=m, up=np.cumprod(up, dtype=U), down=np.cumprod(down, dtype=U))
-    up, down = _POW["up"][:n], _POW["down"][:n]
-    if _POW["n"] > 4 * SLICE_BYTES:
-        _POW.update(n=0, up=None, down=None)
-    return up, down
+def wide_view(padded: np.ndarray) -> np.ndarray:
+    """The 8 bytes at every offset of bytes that end with 8 spare ones, as a number."""
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+
+def blocks_at(wide: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each offset, those beyond ``left`` bytes zero."""
+    return wide[at] & FIRST_BYTES[np.minimum(left, 8)]
+
+
+def same_bytes(wide_a: np.ndarray, a: np.ndarray, wide_b: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at each offset ``a`` are those at ``b``."""
+    same = blocks_at(wide_a, a, size) == blocks_at(wide_b, b, size)
+    long = np.flatnonzero(same & (size > 8))
+    if len(long):
+        more = (size[long] - 1) >> 3
+        upto = np.cumsum(more) - more
+        k = 8 * (np.arange(int(more.sum())) - np.repeat(upto, more) + 1)
+        left = np.repeat(size[long], more) - k
+        equal = blocks_at(wide_a, np.repeat(a[long], more) + k, left) == blocks_at(wide_b, np.repeat(b[long], more) + k, left)
+        same[long] = np.logical_and.reduceat(equal, upto)
+    return same
 
 
 class Slice:
     """Words of a run of texts: ``bounds[i]:bounds[i + 1]`` are the words of text ``i``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold_case: bool):
+        if fold_case:
+            data = LOWER[data]
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
         word = ~IS_SPACE[data]
         first = word.copy()
@@ -73,21 +83,39 @@ class Slice:
         last[ends] = word[ends]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self.code = LOWER_CODE if fold_case else BYTE_CODE
-        self._prefix = None
-
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each span, equal for equal bytes wherever they stand."""
+        self._wide = None
+
+    @property
+    def wide(self) -> np.ndarray:
+        if self._wide is None:
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[:-8] = self.data
+            self._wide = wide_view(padded)
+        return self._wide
+
+    def span_hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hash of the bytes of each span, equal for equal bytes wherever they stand.
+
+        Each block of 8 bytes is mixed with its place in the span by itself, bits of all its bytes in all places of a product,
+        before blocks are added: no sum of bytes with weights, which strings made of two alternating blocks can cancel.
+        Other seeds give independent hashes.
+        """
+        size = ends - starts
         with np.errstate(over="ignore"):
-            up, down = _powers(len(self.data) + 1)
-            if self._prefix is None:
-                self._prefix = np.zeros(len(self.data) + 1, U)
-                np.cumsum(self.code[self.data] * up[:-1], out=self._prefix[1:])
-            h = (self._prefix[ends] - self._prefix[starts]) * down[starts]
-            return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-
-    def words(self) -> np.ndarray:
-        return self.span_hash(self.starts, self.ends)
+            key = mix(np.array([seed], U) + U(0x9E3779B97F4A7C15))
+            h = mix(blocks_at(self.wide, starts, size) ^ key)
+            long = np.flatnonzero(size > 8)
+            if len(long):
+                more = (size[long] - 1) >> 3
+                upto = np.cumsum(more) - more
+                k = np.arange(int(more.sum())) - np.repeat(upto, more) + 1
+                left = np.repeat(size[long], more) - 8 * k
+                place = mix(k.astype(U) * U(0xD1B54A32D192ED03) + key)
+                h[long] += np.add.reduceat(mix(mix(blocks_at(self.wide, np.repeat(starts[long], more) + 8 * k, left) ^ place) + place), upto)
+            return mix(h + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+    def words(self, seed: int = 0) -> np.ndarray:
+        return self.span_hash(self.starts, self.ends, seed)
 
     def word_text(self) -> np.ndarray:
         """The text's index of each word."""

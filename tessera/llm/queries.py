@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitcodes, chat, jaccard_join, mixing, perplexity, quality_rules, sentencepiece_codec, sharding, sstable, toxicity
+from . import bitcodes, chat, decontamination, filter_audit, jaccard_join, mixing, perplexity, quality_rules, sentencepiece_codec, sharding, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.cluster(_table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a window of the benchmark, and the items that occur."""
+    got = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.array_join("items", ","), 256)
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, by part, for all orders of the filters."""
+    counted = filter_audit.failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counted, ["A", "B", "C", "D", "E"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_sstable, op3_toxicity, op4_chat, op5_mixing, op6_sentencepiece, op7_perplexity, op8_quality_rules, op9_neighbours, op10_jaccard)
+    found = (op1_sharding, op2_sstable, op3_toxicity, op4_chat, op5_mixing, op6_sentencepiece, op7_perplexity, op8_quality_rules, op9_neighbours, op10_jaccard, op12_decontamination, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
@@ -150,5 +163,35 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, v
 """
 
 
+_SIMPLE = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SIMPLE} AS w FROM documents),
+b AS (SELECT item_id, {_SIMPLE} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g FROM (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0)),
+g AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS k, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
+m AS (SELECT r, k, g.n, item_id FROM g JOIN i ON i.g = g.g AND i.n = g.n),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+OP13_SQL = """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t),
+   'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)} AS x FROM w LEFT JOIN n USING (doc_id)),
+fl AS (SELECT part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [x.A, x.B, x.C, x.D, x.E]) AS x FROM f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT part, array_to_string(o, '') AS filter_order, step, o[step] AS l, good, toxic, x[o[step]] AS fails, len(list_filter(o[1:step - 1], lambda y: x[y])) > 0 AS gone, len(list_filter(o, lambda y: x[y])) AS failed FROM s, fl),
+a AS (SELECT part, filter_order, step, l, count(*) FILTER (NOT gone AND NOT fails) AS kept, count(*) FILTER (NOT gone AND fails) AS removed, count(*) FILTER (gone AND fails) AS redundant,
+  count(*) FILTER (fails AND failed = 1) AS unique_fails, count(*) FILTER (NOT gone AND fails AND good = 1) AS good_lost, count(*) FILTER (NOT gone AND fails AND toxic = 1) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_neighbours": OP9_SQL, "op10_jaccard": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_neighbours": OP9_SQL, "op10_jaccard": OP10_SQL, "op12_decontamination": OP12_SQL, "op13_filter_audit": OP13_SQL}

@@ -66,11 +66,11 @@ def same_bytes(wide_a: np.ndarray, a: np.ndarray, wide_b: np.ndarray, b: np.ndar
 class Slice:
     """Words of a run of texts: ``bounds[i]:bounds[i + 1]`` are the words of text ``i``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold_case: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold_case: bool, gap: np.ndarray = IS_SPACE):
         if fold_case:
             data = LOWER[data]
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        word = ~IS_SPACE[data]
+        word = ~gap[data]
         first = word.copy()
         first[1:] &= ~word[:-1]
         inner = offsets[:-1]
@@ -136,8 +136,8 @@ def ngrams(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     return at, h
 
 
-def slices(column: pa.Array | pa.ChunkedArray, fold_case: bool = False) -> Iterator[tuple[int, int, Slice]]:
-    """``(from, to, Slice)`` over the rows of a string column; null counts as empty."""
+def slices(column: pa.Array | pa.ChunkedArray, fold_case: bool = False, gap: np.ndarray = IS_SPACE) -> Iterator[tuple[int, int, Slice]]:
+    """``(from, to, Slice)`` over the rows of a string column; null counts as empty. ``gap``: the bytes between words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     column = column.cast(pa.large_string()).fill_null("")
@@ -149,6 +149,6 @@ def slices(column: pa.Array | pa.ChunkedArray, fold_case: bool = False) -> Itera
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
-        yield i, j, Slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], fold_case)
+        yield i, j, Slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], fold_case, gap)
         i = j
     give_back()

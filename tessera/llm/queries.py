@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitcodes, chat, decontamination, filter_audit, jaccard_join, mixing, perplexity, quality_rules, sentencepiece_codec, sharding, sstable, toxicity
+from . import alignment, bitcodes, chat, decontamination, filter_audit, jaccard_join, mixing, perplexity, quality_rules, sentencepiece_codec, sharding, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,14 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.cluster(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers over every document, with corpus-wide counts of linked ids."""
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    aligned = alignment.materialise(alignment.align(_table(spark, sf_dir, "documents"), a, b), "aligned")
+    scored = alignment.score(aligned, alignment.pair_counts(aligned, len(alignment.vocabularies(a, b)[1].size)))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a window of the benchmark, and the items that occur."""
     got = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -101,7 +109,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_sstable, op3_toxicity, op4_chat, op5_mixing, op6_sentencepiece, op7_perplexity, op8_quality_rules, op9_neighbours, op10_jaccard, op12_decontamination, op13_filter_audit)
+    found = (op1_sharding, op2_sstable, op3_toxicity, op4_chat, op5_mixing, op6_sentencepiece, op7_perplexity, op8_quality_rules, op9_neighbours, op10_jaccard, op11_alignment, op12_decontamination, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 

@@ -290,8 +290,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, max_hit: float = 0.0
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """All documents with their columns; hit words are cut out of ``text``, each run with what stands between its words."""
-    found = _marked(docs, benchmark, cfg, docs.columns)
-    where = docs.columns.index("text")
+    names = docs.columns
+    found, where = _marked(docs, benchmark, cfg, names), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +305,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings
                         kept.append(raw[at : s.starts[a]])
                         at = int(s.ends[b - 1])
                     texts[i] = b"".join([*kept, raw[at:]]).decode()
-            out = [batch.column(k) if k != where else pa.array(texts, batch.column(where).type) for k in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(out, docs.columns)
+            out = [batch.column(k) if k != where else pa.array(texts, batch.column(where).type) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(out, names)
 
     return found.mapInArrow(run, docs.schema)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.tablelog import Table
+
 
 def daily_usage(events: DataFrame, time: str, tokens: str, limit: int, late: str = "1 day", by: list[str] | None = None) -> DataFrame:
     """(by, day, used, over): tokens of each UTC day. For a stream a day is final once the watermark has passed it."""
@@ -27,6 +29,18 @@ def ingest(files: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_table(changes: DataFrame, table: Table, name: str, checkpoint: str, deleted: Column | None = None) -> StreamingQuery:
+    """Upsert a stream of changed rows into a versioned table, then stop.
+
+    A batch that is delivered again after a restart is known by ``name`` and its number, so its rows are not applied twice.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(batch, deleted, (name, batch_id))
+
+    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: A circuit opens after this many failures in a row and may be tried again after this many seconds (fixed values).
 FAILURES, RECOVERY_SECONDS = 3, 60.0
 

@@ -1,11 +1,14 @@
 """Many questions at once: field-weighted BM25, exact dense search, fusion, blending, caps and audit columns.
 
-Questions are a small table; documents are scanned where they are. Terms that no question has leave a document's row
-before anything is shuffled.
+Questions are a small table. Lexical search reads postings (``postings``), dense search multiplies vectors where they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,36 +30,6 @@ def join_small(rows: DataFrame, small: DataFrame, on: Column | list[str], how: s
     return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
-def document_terms(docs: DataFrame, id_col: str, fields: list[str], wanted: Column | None = None) -> DataFrame:
-    """(id, len, term, pos, first, meta): distinct terms over the fields, and a row with an empty term a document.
-
-    len is the number of distinct terms summed over fields. Terms at a pos below ``first`` are in the content; ``meta`` has the
-    terms of the other fields, for ``term_weight``. ``wanted``: a column with an array of identifiers to look for.
-    """
-    other = [f for f in fields if f != "content"]
-    parts = docs.select(F.col(id_col).alias("id"), *([wanted.alias("wanted")] if wanted is not None else []), *[F.coalesce(F.col(f), F.lit("")).alias(f) for f in ["content", *other] if f in fields])
-    own = lexical_terms(F.col("content")) if "content" in fields else F.array().cast("array<string>")
-    parts = parts.withColumn("own", own).withColumn("meta", F.struct(*[lexical_terms(F.col(f)).alias(f) for f in other]) if other else F.lit(None))
-    length = sum([F.size(f"meta.{f}") for f in other], F.size("own"))
-    rest = F.array_except(F.array_distinct(F.concat(*[F.col(f"meta.{f}") for f in other])), F.col("own")) if other else F.array().cast("array<string>")
-    extra = F.array(F.lit(""))
-    if wanted is not None:
-        # where there is nothing to look for, nothing is prepared
-        ask = lambda c: F.when(F.size("wanted") > 0, c)
-        meta, body = F.lower(F.concat_ws(" ", *other)), F.lower(F.col("content"))
-        parts = parts.withColumn("a", ask(F.regexp_replace(meta, "\\s+", ""))).withColumn("b", ask(F.regexp_replace(body, "\\s+", ""))).withColumn("c", ask(F.regexp_replace(F.concat_ws(" ", meta, body), "[^a-z0-9]", ""))).withColumn("d", ask(entities.canonical_ids(F.concat_ws(" ", meta, body))))
-        value = lambda x: F.substring(x, 2, 1 << 30)
-        here = lambda x: F.when(x.startswith(EXACT), F.contains(F.col("a"), value(x)) | F.contains(F.col("b"), value(x))).when(x.startswith(STABLE), F.contains(F.col("c"), value(x))).otherwise(F.array_contains("d", value(x)))
-        extra = F.concat(extra, F.filter("wanted", here))
-    return parts.select(F.col("id").alias(id_col), length.alias("len"), F.size("own").alias("first"), "meta", F.posexplode(F.concat("own", rest, extra)).alias("pos", "term"))
-
-
-def term_weight(fields: list[str]) -> Column:
-    """A term's weighted frequency: each field that has it counts once."""
-    own = F.when(F.col("pos") < F.col("first"), FIELD_WEIGHTS["content"]).otherwise(0.0)
-    return sum([F.when(F.array_contains(f"meta.{f}", F.col("term")), FIELD_WEIGHTS.get(f, 0.0)).otherwise(0.0) for f in fields if f != "content"], own)
-
-
 def question_terms(questions: DataFrame) -> DataFrame:
     """(question_id, term, bonus): a question's terms, and its identifiers with what an occurrence adds."""
     exact, stable = entities.identifiers(F.col("question"))
@@ -69,51 +42,60 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return each.groupBy("question_id", "term").agg(F.sum("bonus").alias("bonus"))
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(question_id, id, score) of all pairs with a positive score: BM25 plus what exact identifiers add."""
-    asked = question_terms(questions)
-    # one row: the identifiers of all questions
-    wanted = asked.where("bonus IS NOT NULL").agg(F.sort_array(F.collect_set("term")).alias("__wanted"))
-    rows = document_terms(docs.join(F.broadcast(wanted), F.lit(True), "left"), id_col, fields, F.coalesce("__wanted", F.array().cast("array<string>")))
-    # the terms of all questions and the empty term that counts documents
-    vocabulary = asked.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct()
-    hits = join_small(rows, vocabulary, ["term"]).select(id_col, "len", "term", term_weight(fields).alias("tf")).where("term IS NOT NULL")
-    counted = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total"))
-    if vocabulary.count() <= SMALL:
-        # one row a term of the questions: read once, so that the documents are not scanned for each use
-        counted = docs.sparkSession.createDataFrame(counted.toArrow(), counted.schema)
-    whole = counted.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avg_len"))
-    # one row on the right
-    known = asked.join(counted.select("term", "df"), "term").join(F.broadcast(whole), F.lit(True))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = known.select("question_id", "term", "bonus", idf.alias("idf"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len"))
-    # a document's rows stay together from here on, so that its scores are summed where they are
-    scored = join_small(hits.repartition(id_col), known, ["term"])
-    part = F.coalesce("bonus", F.col("idf") * 2.5 * F.col("tf") / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))))
-    return scored.where("tf > 0 OR bonus IS NOT NULL").groupBy("question_id", id_col).agg(F.sum(part).alias("score")).where("score > 0")
-
-
-def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: list[str], k: int) -> DataFrame:
-    """(question_id, id, score, rank) of the k best documents a question; ties to the smaller id."""
-    return top_k(bm25_scores(docs, questions, id_col, fields), ["question_id"], [F.desc(F.round("score", 9)), F.col(id_col)], k)
-
-
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     return rows.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(out) <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """(question_id, vec_id, relevance, rank): exact cosine of unit vectors, shifted to 0..1.
+#: Bytes of question vectors that are sent to every task at once.
+QUERY_BYTES = 64 << 20
 
-    Queries are packed into blocks of at most ``block`` vectors, one row each. All blocks are sent to every task if there
-    are at most ``block`` of them; else vectors meet a block at a time. A task keeps the k best a query before the shuffle.
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(question_id, vec_id, relevance, rank): exact cosine of unit vectors, shifted to 0..1; a vector is not its own neighbour.
+
+    Vectors are multiplied a batch at a time with a matrix of the questions, and a task keeps the k best a question before
+    the shuffle. Questions are counted first: more than ``query_bytes`` of them take several passes. Null vectors meet nothing.
     """
-    numbered = queries.select("question_id", F.col("embedding").alias("q")).withColumn("b", F.pmod(F.xxhash64("question_id"), F.lit(max(1, -(-queries.count() // block)))))
-    blocks = numbered.groupBy("b").agg(F.collect_list(F.struct("question_id", "q")).alias("qs"))
-    few = blocks.count() <= block
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(blocks) if few else blocks, F.lit(True)).select("vec_id", "embedding", F.explode("qs").alias("x")).where("vec_id <> x.question_id")
-    dot = F.aggregate(F.zip_with("embedding", "x.q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return top_k(pairs.select("x.question_id", "vec_id", ((dot + 1) / 2).alias("relevance")), ["question_id"], [F.desc(F.round("relevance", 9)), F.col("vec_id")], k)
+    asked = queries.select(F.col("question_id").cast("long"), F.col("embedding").cast("array<double>").alias("q")).where("q IS NOT NULL")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).collect()[0]
+    rounds = max(1, -(-(size.n * (size.d or 0) * 8) // query_bytes))
+    stored = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("embedding IS NOT NULL")
+    hits = None
+    for r in range(rounds):
+        # about query_bytes, by the number of rounds
+        part = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == r).toArrow()
+        got = _nearest(stored, part.column("question_id").to_numpy(), _matrix(part.column("q").combine_chunks(), size.d or 0), k)
+        hits = got if hits is None else hits.unionAll(got)
+    return top_k(hits, ["question_id"], [F.desc(F.round("relevance", 9)), F.col("vec_id")], k)
+
+
+def _matrix(lists: pa.Array, d: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), d)
+
+
+def _nearest(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            score = (_matrix(batch.column(1), matrix.shape[1]) @ matrix.T + 1) / 2
+            score[own[:, None] == ids[None, :]] = -np.inf
+            # all that reach the k-th best, ties included
+            least = np.partition(score, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(ids), -np.inf)
+            v, q = np.nonzero((score >= least - 1e-8) & (score > -np.inf))
+            best = [np.concatenate(x) for x in zip(best, (q, own[v], score[v, q]), strict=True)]
+            order = np.lexsort((best[1], -np.round(best[2], 9), best[0]))
+            best = [x[order] for x in best]
+            place = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+            best = [x[place < k] for x in best]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], ["question_id", "vec_id", "relevance"])
+
+    return vectors.mapInArrow(run, "question_id long, vec_id long, relevance double")
 
 
 def rrf(dense_hits: DataFrame, lexical_hits: DataFrame, key: list[str], dw: float = DENSE_WEIGHT, lw: float = LEXICAL_WEIGHT) -> DataFrame:
@@ -128,6 +110,28 @@ def rrf(dense_hits: DataFrame, lexical_hits: DataFrame, key: list[str], dw: floa
     return out.withColumn("union_rank", F.row_number().over(order))
 
 
+def fuse_fields(first: DataFrame, second: DataFrame, key: list[str], scalars: list[str] = [], arrays: list[str] = [], distinct: list[str] = [], maps: list[str] = [], flags: list[str] = []) -> DataFrame:
+    """One row a candidate of two channels, both channels' columns merged.
+
+    Scalars of the first channel are filled from the second where they are null or empty; arrays follow each other, ``distinct``
+    ones without repeats; maps keep the least value of a key; flags hold if either does. A channel without a candidate adds nothing.
+    """
+    both = first.alias("a").join(second.alias("b"), key, "full_outer")
+    of = lambda side, c: F.col(f"{side}.{c}")
+    kinds = dict(first.dtypes)
+    filled = lambda c: F.when(of("a", c).cast("string") != "", of("a", c))
+    listed = lambda side, c: F.coalesce(of(side, c), F.array().cast(kinds[c]))
+    mapped = lambda side, c: F.coalesce(of(side, c), F.create_map().cast(kinds[c]))
+    return both.select(
+        *key,
+        *[F.coalesce(filled(c), of("b", c), of("a", c)).alias(c) for c in scalars],
+        *[F.concat(listed("a", c), listed("b", c)).alias(c) for c in arrays],
+        *[F.array_distinct(F.concat(listed("a", c), listed("b", c))).alias(c) for c in distinct],
+        *[F.map_zip_with(mapped("a", c), mapped("b", c), lambda k, x, y: F.least(x, y)).alias(c) for c in maps],
+        *[(F.coalesce(of("a", c), F.lit(False)) | F.coalesce(of("b", c), F.lit(False))).alias(c) for c in flags],
+    )
+
+
 def min_max(col: str, by: str) -> Column:
     """Normal form within a question: all equal gives 1, missing stays missing."""
     w = W.partitionBy(by)
@@ -187,8 +191,8 @@ def confidence(hits: DataFrame, score: str = "score") -> DataFrame:
 
 
 def merge_lanes(hits: DataFrame) -> DataFrame:
-    """One row a candidate: best score with its lane, all lanes, exact if any lane is."""
-    got = hits.groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), F.max_by("lane", F.struct(F.col("score"), -F.col("rank"))).alias("best_lane"), F.sort_array(F.collect_set("lane")).alias("lanes"), F.min("rank").alias("best_rank"), F.bool_or("exact").alias("exact"))
+    """One row a candidate: best score with its lane, all lanes, every lane's hit in order of rank, exact if any lane is."""
+    got = hits.groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), F.max_by("lane", F.struct(F.col("score"), -F.col("rank"))).alias("best_lane"), F.sort_array(F.collect_set("lane")).alias("lanes"), F.sort_array(F.collect_list(F.struct("rank", "lane", "score"))).alias("hits"), F.min("rank").alias("best_rank"), F.bool_or("exact").alias("exact"))
     return got.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "best_rank", "doc_id")))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats, text
-from ..operators import chunking, corpus, entities, evaluation, retrieval, rules
+from ..operators import chunking, corpus, entities, evaluation, postings, retrieval, rules
+from ..sources import shared, tablelog
 from ..streaming import budget
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,23 +95,35 @@ def _post(k: int) -> str:
     return _POST.replace("@K@", str(k))
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"), "source")
-    questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.bm25_scores(docs, questions, "doc_id", ["content", "source"])
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"), "source")
+
 
+#: Documents that one shard of an index should have, about.
+SHARD_DOCUMENTS = 20_000
 
-def _best(scores: DataFrame, k: int) -> DataFrame:
-    return retrieval.top_k(scores, ["question_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], k)
+
+def _index(spark: SparkSession, d: str) -> postings.Index:
+    """The index of the documents: built at first use, kept in the shared folder under the state of the table's files."""
+    path = f"{d}/documents.parquet"
+    shards = max(8, -(-_t(spark, d, "documents").count() // SHARD_DOCUMENTS))
+    index = postings.Index(spark, f"{shared.shared_dir(spark)}/tessera-index-{shared.fingerprint(spark, path)[:24]}", postings.Layout(("content", "source"), shards))
+    if index.table.version() is None:
+        try:
+            index.build(_documents(spark, d))
+        except tablelog.Conflict:
+            pass  # another session has built it
+    return index
 
 
 def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return _best(_scores(spark, d), k)
+    questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return _index(spark, d).search(questions, k, _documents(spark, d))
 
 
 @register(f"WITH {_post(20)} SELECT question_id, doc_id, round(score, 6) AS score, rank FROM lex")
 def retrieval_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: all benchmark questions against all documents, field-weighted BM25 and identifiers."""
+    """Flagship: all benchmark questions against the persisted postings of all documents, field-weighted BM25 and identifiers."""
     return _lexical(spark, d, 20).select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -132,20 +145,26 @@ def retrieval_dense(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d).select("question_id", "vec_id", F.round("relevance", 6).alias("relevance"), "rank")
 
 
-# a second ranked channel over the same keys: the lexical candidates by length
+# a dense channel over the same keys: documents have the vectors of their ids, questions those of theirs
 _CHANNELS = f"""{_post(30)},
-sec AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY n_chars, doc_id) AS rank FROM (SELECT * FROM bm JOIN documents USING (doc_id)) QUALIFY rank <= 30),
+sec AS (SELECT item_id AS question_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round((list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) + 1) / 2, 9) DESC, v.vec_id) AS rank
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id JOIN embeddings v ON v.vec_id <> q.vec_id WHERE v.vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 30),
 fu AS (SELECT question_id, doc_id, sec.rank AS dense_rank, lex.rank AS bm25_rank, coalesce(0.55 / (60 + sec.rank), 0) + coalesce(0.45 / (60 + lex.rank), 0) AS rrf_score,
   CASE WHEN sec.rank IS NOT NULL AND lex.rank IS NOT NULL THEN 'dense_and_bm25' WHEN sec.rank IS NOT NULL THEN 'dense_only' ELSE 'bm25_only' END AS retrieval_stage
   FROM sec FULL JOIN lex USING (question_id, doc_id)),
 un AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf_score, 12) DESC, doc_id) AS union_rank FROM fu)"""
 
 
+def _dense_documents(spark: SparkSession, d: str, k: int) -> DataFrame:
+    v = _t(spark, d, "embeddings")
+    asked = v.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    stored = v.join(_t(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return retrieval.dense(stored, asked.withColumnRenamed("vec_id", "question_id"), k).withColumnRenamed("vec_id", "doc_id")
+
+
 def _union(spark: SparkSession, d: str) -> DataFrame:
-    scores = _scores(spark, d)
-    docs = _t(spark, d, "documents").select("doc_id", "n_chars")
-    second = retrieval.top_k(scores.join(docs, "doc_id"), ["question_id"], [F.col("n_chars"), F.col("doc_id")], 30)
-    return retrieval.rrf(second, _best(scores, 30), ["question_id", "doc_id"])
+    # ranked lists of a few rows a question, written so that what reads the union more than once searches once
+    return shared.written(retrieval.rrf(_dense_documents(spark, d, 30), _lexical(spark, d, 30), ["question_id", "doc_id"]), "union")
 
 
 @register(f"WITH {_CHANNELS} SELECT question_id, doc_id, dense_rank, bm25_rank, round(rrf_score, 9) AS rrf_score, retrieval_stage, union_rank FROM un")
@@ -154,6 +173,28 @@ def retrieval_rrf_union(spark: SparkSession, d: str) -> DataFrame:
     return _union(spark, d).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
+_FIELDS = """(SELECT sec.*, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS title, ['d' || rank] AS hits, [source] AS exact, map([source, 'e' || doc_id % 3], [rank, rank + 5]) AS ranks, doc_id % 11 = 0 AS is_exact FROM sec JOIN documents USING (doc_id))"""
+
+
+@register(f"""WITH {_CHANNELS}, a AS {_FIELDS}, b AS {_FIELDS.replace("sec", "lex").replace("'d'", "'b'").replace("% 11", "% 7").replace("'' ELSE source", "source ELSE lang")},
+j AS (SELECT coalesce(a.question_id, b.question_id) AS question_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(nullif(a.title, ''), b.title, a.title) AS title, list_concat(coalesce(a.hits, []), coalesce(b.hits, [])) AS hits,
+  list_distinct(list_concat(coalesce(a.exact, []), coalesce(b.exact, []))) AS exact, a.ranks AS ar, b.ranks AS br, coalesce(a.is_exact, false) OR coalesce(b.is_exact, false) AS is_exact FROM a FULL JOIN b ON a.question_id = b.question_id AND a.doc_id = b.doc_id)
+SELECT question_id, doc_id, title, array_to_string(hits, ',') AS hits, array_to_string(exact, ',') AS exact, array_to_string(list_sort(list_transform(list_distinct(list_concat(coalesce(map_keys(ar), []), coalesce(map_keys(br), []))), lambda k: k || '=' || least(ar[k], br[k]))), ',') AS ranks, is_exact FROM j""")
+def retrieval_rrf_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of both channels on fusion: filled scalars, concatenated arrays, maps by least rank, flags."""
+    docs = _t(spark, d, "documents").select("doc_id", "source", "lang")
+
+    def channel(rows: DataFrame, mark: str, title: str, exact: int) -> DataFrame:
+        ranks = F.create_map("source", "rank", F.concat(F.lit("e"), F.col("doc_id") % 3), F.col("rank") + 5)
+        return rows.select("question_id", "doc_id", "rank").join(docs, "doc_id").select("question_id", "doc_id", F.expr(title).alias("title"), F.array(F.concat(F.lit(mark), "rank")).alias("hits"), F.array("source").alias("exact"), ranks.alias("ranks"), (F.col("doc_id") % exact == 0).alias("is_exact"))
+
+    a = channel(_dense_documents(spark, d, 30), "d", "CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END", 11)
+    b = channel(_lexical(spark, d, 30), "b", "CASE WHEN doc_id % 4 = 0 THEN source ELSE lang END", 7)
+    got = retrieval.fuse_fields(a, b, ["question_id", "doc_id"], ["title"], ["hits"], ["exact"], ["ranks"], ["is_exact"])
+    listed = F.array_sort(F.transform(F.map_entries("ranks"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return got.select("question_id", "doc_id", "title", F.array_join("hits", ",").alias("hits"), F.array_join("exact", ",").alias("exact"), F.array_join(listed, ",").alias("ranks"), "is_exact")
+
+
 _BLEND = f"""{_CHANNELS},
 cand AS (SELECT un.*, source, (doc_id * 13 % 97) / 97e0 AS rerank_score, CAST(doc_id % 5 = 0 AS INT) AS explicit, CAST(doc_id % 7 = 0 AS INT) AS weak, source IN ('src0', 'src1') AS low FROM un JOIN documents USING (doc_id)),
 nm AS (SELECT *, CASE WHEN max(rerank_score) OVER w = min(rerank_score) OVER w THEN 1 ELSE (rerank_score - min(rerank_score) OVER w) / (max(rerank_score) OVER w - min(rerank_score) OVER w) END AS sem,
@@ -190,27 +231,27 @@ def retrieval_confidence(spark: SparkSession, d: str) -> DataFrame:
 _HITS = "SELECT event_id % 40 AS question_id, user_id AS doc_id, event_type AS lane, max((event_id * 17 % 1000) / 1000e0) AS score, CAST(min(event_id % 50) AS INT) AS rank, bool_or(event_id % 9 = 0) AS exact FROM {0} GROUP BY event_id % 40, user_id, event_type"
 
 
-@register(f"""WITH h AS ({_HITS.format("events")}), g AS (SELECT question_id, doc_id, max(score) AS score, array_sort(list(DISTINCT lane)) AS lanes, min(rank) AS best_rank, bool_or(exact) AS exact FROM h GROUP BY ALL)
-SELECT question_id, doc_id, round(score, 6) AS score, array_to_string(lanes, ',') AS lanes, exact, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best_rank, doc_id) AS rank FROM g""")
+@register(f"""WITH h AS ({_HITS.format("events")}), g AS (SELECT question_id, doc_id, max(score) AS score, array_sort(list(DISTINCT lane)) AS lanes, array_to_string(list_transform(list_sort(list({{'rank': rank, 'lane': lane, 'score': score}})), lambda x: x.lane || ':' || x.rank), ',') AS hits, min(rank) AS best_rank, bool_or(exact) AS exact FROM h GROUP BY ALL)
+SELECT question_id, doc_id, round(score, 6) AS score, array_to_string(lanes, ',') AS lanes, hits, exact, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best_rank, doc_id) AS rank FROM g""")
 def retrieval_merge_lanes(spark: SparkSession, d: str) -> DataFrame:
     """Several query lanes merged on the candidate."""
     _t(spark, d, "events").createOrReplaceTempView("__events")
     got = retrieval.merge_lanes(spark.sql(_HITS.format("__events")))
-    return got.select("question_id", "doc_id", F.round("score", 6).alias("score"), F.array_join("lanes", ",").alias("lanes"), "exact", "rank")
+    return got.select("question_id", "doc_id", F.round("score", 6).alias("score"), F.array_join("lanes", ",").alias("lanes"), F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["lane"], x["rank"])), ",").alias("hits"), "exact", "rank")
 
 
-_SIDES = "SELECT {2} AS question_id, l_partkey % 200 AS doc_id, concat('s', l_suppkey % 9) AS source, CAST(min(l_linenumber) AS INT) AS rank FROM {0} WHERE l_orderkey % 2 = {1} GROUP BY ALL"
+_SIDES = "SELECT {2} AS question_id, l_partkey % 200 AS doc_id, concat('s', {3} % 9) AS source, CAST(min(l_linenumber) AS INT) AS rank FROM {0} WHERE l_orderkey % 2 = {1} GROUP BY ALL"
 
 
-@register(f"""WITH a AS ({_SIDES.format("lineitem", 0, "l_orderkey % 30")}), b AS ({_SIDES.format("lineitem", 1, "l_orderkey % 90")}),
-af AS (SELECT * FROM a WHERE hash_ok(source)), nb AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY rank, doc_id) AS nth FROM b
+@register(f"""WITH a AS ({_SIDES.format("lineitem", 0, "l_orderkey % 30", "(l_orderkey % 30 + l_suppkey % 3)")}), b AS ({_SIDES.format("lineitem", 1, "l_orderkey % 90", "l_suppkey")}),
+af AS (SELECT * FROM a), nb AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY rank, doc_id) AS nth FROM b
  WHERE NOT EXISTS (SELECT 1 FROM af WHERE af.question_id = b.question_id AND (af.doc_id = b.doc_id OR af.source = b.source)) QUALIFY nth <= 2)
-SELECT question_id, doc_id, source, rank, 'first' AS origin FROM af UNION ALL SELECT question_id, doc_id, source, rank, 'sub' FROM nb""".replace("hash_ok(source)", "source IN ('s0', 's1', 's2')"))
+SELECT question_id, doc_id, source, rank, 'first' AS origin FROM af UNION ALL SELECT question_id, doc_id, source, rank, 'sub' FROM nb""")
 def retrieval_add_unseen(spark: SparkSession, d: str) -> DataFrame:
     """Sub-query documents of unseen sources, capped a source."""
     _t(spark, d, "lineitem").createOrReplaceTempView("__lineitem")
-    a = spark.sql(_SIDES.format("__lineitem", 0, "l_orderkey % 30")).where("source IN ('s0', 's1', 's2')")
-    return retrieval.add_unseen(a, spark.sql(_SIDES.format("__lineitem", 1, "l_orderkey % 90")), 2)
+    a = spark.sql(_SIDES.format("__lineitem", 0, "l_orderkey % 30", "(l_orderkey % 30 + l_suppkey % 3)"))
+    return retrieval.add_unseen(a, spark.sql(_SIDES.format("__lineitem", 1, "l_orderkey % 90", "l_suppkey")), 2)
 
 
 _EXP = "SELECT item_id AS question_id, concat('src', item_id % 20) AS source FROM benchmark UNION SELECT item_id, concat('src', (item_id * 7 + 3) % 20) FROM benchmark"

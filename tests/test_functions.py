@@ -49,26 +49,6 @@ def test_signed_rank_ties(spark):
     assert (r.n, r.statistic, r.p_value, r.significant) == (3, 2.0, 0.75, False)
 
 
-def test_bm25_average_length_counts_every_document(spark):
-    import math
-
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "")], "doc_id long, content string")
-    asked = spark.createDataFrame([(1, "alpha")], "question_id long, question string")
-    r = retrieval.bm25(docs, asked, "doc_id", ["content"], 5).collect()
-    want = math.log(1 + 1.5 / 1.5) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1))
-    assert len(r) == 1 and abs(r[0].score - want) < 1e-12
-
-
-def test_bm25_identifier_bonuses(spark):
-    docs = spark.createDataFrame([(1, "an apple", "s"), (2, "see 26158-2010-gbt", "s"), (3, "see GB/T 26158 - 2010", "s"), (4, "grade TX1001", "x.pdf"), (5, "plain", "s")], "doc_id long, content string, source string")
-    asked = spark.createDataFrame([(1, "happy tx1001 x.pdf"), (2, "GB/T 26158-2010 and GB/T 26158-2010"), (3, "?")], "question_id long, question string")
-    got = {(r.question_id, r.doc_id): r.score for r in retrieval.bm25_scores(docs, asked, "doc_id", ["content", "source"]).collect()}
-    # "pp" inside words adds 2; a grade adds 6; a file name adds 2 beside its term
-    assert got[1, 1] == 2.0 and got[1, 4] > 8.0 and (1, 5) not in got
-    # both spellings of a standard have its stable number, once an occurrence, and its id, once
-    assert got[2, 2] >= 18.0 and got[2, 3] >= 18.0 and not [k for k in got if k[0] == 3]
-
-
 def test_matchers(spark):
     rows = [("a b.pdf", "x\\AB.pdf"), ("", "x"), ("dir/", "my/dir"), ("n_1 (2).md", "q/N12.MD"), ("p/q.md", "z/q.md")]
     d = spark.createDataFrame(rows, "e string, a string")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .conflicts import sharing_pairs
+
 # Patterns that decide the results.
 CITATION = "\\[([LW]\\d+)\\]"
 NUMBER = "(?i)([-+]?\\d+(?:\\.\\d+)?(?:\\s*[~～至到-]\\s*[-+]?\\d+(?:\\.\\d+)?)?\\s*(?:mm|cm|mL|℃|°|%|MPa|kJ/m²)?)"
@@ -213,12 +215,8 @@ def quality(audited: DataFrame, answers: DataFrame) -> DataFrame:
 
 def conflicts(claims: DataFrame) -> DataFrame:
     """(answer_id, a, b, shared): claims of an answer that share a word but not all numbers; words in order."""
-    c = claims.where(F.size("numbers") > 0).select("answer_id", "claim_no", F.array_sort(F.array_distinct("numbers")).alias("n"), F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 1)).alias("w"))
-    word = c.select("answer_id", F.col("claim_no").alias("k"), "n", F.explode("w").alias("word"))
-    # pairs meet at a word they share, each within one answer
-    a, b = word.alias("a"), word.alias("b")
-    pair = a.join(b, (F.col("a.answer_id") == F.col("b.answer_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.n") != F.col("b.n")))
-    return pair.groupBy(F.col("a.answer_id").alias("answer_id"), F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(F.sort_array(F.collect_set("a.word")).alias("shared"))
+    c = claims.where(F.size("numbers") > 0).select("answer_id", "claim_no", F.array_sort(F.array_distinct("numbers")).alias("n"), F.regexp_extract_all("text", F.lit(WORD), 1).alias("w"))
+    return sharing_pairs(c, "answer_id", "claim_no", "w", F.col("x.n") != F.col("y.n"))
 
 
 def duties_met(audited: DataFrame) -> DataFrame:

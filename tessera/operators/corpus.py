@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.stats import values_at
 from ..functions.text import numbers
+from .conflicts import containing_terms, sharing_pairs
 
 
 def chunk_id(*parts: Column) -> Column:
@@ -53,13 +54,11 @@ def citation_sets(rows: DataFrame) -> DataFrame:
 def source_conflicts(docs: DataFrame) -> DataFrame:
     """Pairs of documents of different sources that share words but differ in numbers; first 12 shared words.
 
-    ``docs`` (group_id, doc_id, source, words, text) compares within a group of bounded size only.
+    ``docs`` (group_id, doc_id, source, words, text) compares within a group, one row a document.
     """
-    d = docs.withColumn("nums", F.array_sort(numbers(F.col("text")))).where(F.size("nums") > 0)
-    a, b = d.alias("a"), d.alias("b")
-    pair = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.nums") != F.col("b.nums")))
-    shared = F.slice(F.array_sort(F.array_intersect("a.words", "b.words")), 1, 12)
-    return pair.select(F.col("a.group_id").alias("group_id"), F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), shared.alias("shared")).where(F.size("shared") > 0)
+    d = docs.select("group_id", "doc_id", "source", "words", F.array_sort(numbers(F.col("text"))).alias("nums")).where(F.size("nums") > 0)
+    pairs = sharing_pairs(d, "group_id", "doc_id", "words", (F.col("x.source") != F.col("y.source")) & (F.col("x.nums") != F.col("y.nums")))
+    return pairs.select("group_id", F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.slice("shared", 1, 12).alias("shared"))
 
 
 def requirement_coverage(requirements: DataFrame, docs: DataFrame) -> DataFrame:
@@ -81,9 +80,7 @@ def consistency(contract: DataFrame, slices: DataFrame, key: str = "question_id"
 
 def shadowed_terms(terms: DataFrame) -> DataFrame:
     """Terms of a case that hold another term of the same case."""
-    a, b = terms.alias("a"), terms.alias("b")
-    hit = a.join(b, (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.term") != F.col("b.term")) & F.contains(F.col("a.term"), F.col("b.term")))
-    return hit.select(F.col("a.case_id").alias("case_id"), F.col("a.term").alias("term"), F.col("b.term").alias("shadowed_by"))
+    return containing_terms(terms, "case_id", "term").withColumnRenamed("part", "shadowed_by")
 
 
 def delivery(issues: DataFrame, docs: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from ..sources.tablelog import Table, Version
 from . import containment, entities
 from .retrieval import CANONICAL, EXACT, FIELD_WEIGHTS, STABLE, join_small, question_terms, top_k
 
+#: Names the form of stored rows; another one after a change of what terms or blocks mean.
+FORMAT = 1
 #: Identifiers without a number of their own, which the index can hold as terms (the words of ``entities.IDENTIFIER``).
 NAMED = ("tritan", "ppsu", "pc", "pp", "304", "316")
 #: Terms of a question that give the first candidates.

@@ -102,13 +102,3 @@ def fact_depth(facts: DataFrame) -> DataFrame:
 def node_summary(nodes: DataFrame) -> DataFrame:
     """(run_id, nodes, total, slowest, errors) of timed steps."""
     return nodes.groupBy("run_id").agg(F.count("*").alias("nodes"), F.round(F.sum("seconds"), 3).alias("total"), F.max_by("node", F.struct("seconds", "node")).alias("slowest"), F.count_if(F.col("status") == "error").alias("errors"))
-
-
-def fingerprint(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One hash of a table whatever its order and layout: of its rows' hashes, summed in two halves with their number.
-
-    Rows are not gathered; a canonical text of all of them would be.
-    """
-    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in [key, *columns]]), 256)
-    half = lambda k: F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
-    return rows.agg(F.count("*").alias("n"), half(0).alias("a"), half(1).alias("b")).select("n", F.sha2(F.concat_ws("|", "n", F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))), 256).alias("fingerprint"))

@@ -107,7 +107,8 @@ def _index(spark: SparkSession, d: str) -> postings.Index:
     """The index of the documents: built at first use, kept in the shared folder under the state of the table's files."""
     path = f"{d}/documents.parquet"
     shards = max(8, -(-_t(spark, d, "documents").count() // SHARD_DOCUMENTS))
-    index = postings.Index(spark, f"{shared.shared_dir(spark)}/tessera-index-{shared.fingerprint(spark, path)[:24]}", postings.Layout(("content", "source"), shards))
+    name = f"tessera-index-{postings.FORMAT}-{shards}-{shared.fingerprint(spark, path)[:24]}"
+    index = postings.Index(spark, f"{shared.shared_dir(spark)}/{name}", postings.Layout(("content", "source"), shards))
     if index.table.version() is None:
         try:
             index.build(_documents(spark, d))
@@ -717,7 +718,7 @@ def rules_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 # further queries register themselves
-from . import answers, audits, cases, ranking, records, replays, states, tasks  # noqa: E402, F401
+from . import answers, audits, cases, ranking, records, replays, states, stores, tasks  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

@@ -166,7 +166,7 @@ def retrieval_thresholded(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.thresholded(spark.sql(_HITS.format("{li}"), li=_t(spark, d, "lineitem"))).select("question_id", "doc_id", "passes")
 
 
-_CHUNKS = "SELECT p_partkey % 71 AS group_id, p_partkey AS doc_id, concat('s', CAST(p_partkey % 5 AS VARCHAR(9))) AS source, concat(p_name, ' is ', CAST(p_size % 4 AS VARCHAR(9)), ' and ', CAST(p_partkey % 3 AS VARCHAR(9))) AS text FROM {0}"
+_CHUNKS = "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS group_id, p_partkey AS doc_id, concat('s', CAST(p_partkey % 5 AS VARCHAR(9))) AS source, concat(p_name, ' is ', CAST(p_size % 4 AS VARCHAR(9)), ' and ', CAST(p_partkey % 3 AS VARCHAR(9))) AS text FROM {0}"
 
 
 @register(f"""WITH c AS (SELECT *, list_distinct(regexp_extract_all(text, '([一-鿿A-Za-z]{{2,}})')) AS w, list_sort(list_distinct(regexp_extract_all(text, '(\\d+(?:\\.\\d+)?)'))) AS n FROM ({_CHUNKS.format("part")}))

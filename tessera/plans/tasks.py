@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..operators import planning, rounds
+from ..operators import merkle, planning, rounds
 from .catalog import _t, register
 from .ranking import _sql_list, _sql_words
 
@@ -183,10 +184,39 @@ def round_nodes(spark: SparkSession, d: str) -> DataFrame:
     return rounds.node_summary(_t(spark, d, "events").selectExpr("user_id AS run_id", "event_type AS node", "value AS seconds", "CASE WHEN event_id % 17 = 0 THEN 'error' ELSE 'success' END AS status"))
 
 
-_ROWHASH = "sha256(concat_ws(chr(31), page_id::VARCHAR, coalesce(url, chr(0)), coalesce(html, chr(0))))"
+#: Members of a range, on average, at the two levels of the registered tree (small, so that small tables have several).
+_LEAF, _FAN = 32, 8
+_BEGINS = "CASE WHEN ('0x' || hash[1:15])::BIGINT % {0} = 0 THEN {{'key': key, 'hash': hash}} END"
 
 
-@register(f"""WITH h AS (SELECT {_ROWHASH} AS r FROM pages) SELECT count(*) AS n, sha256(concat_ws('|', count(*)::VARCHAR, coalesce(sum(('0x' || r[1:15])::BIGINT::HUGEINT), 0)::VARCHAR, coalesce(sum(('0x' || r[16:30])::BIGINT::HUGEINT), 0)::VARCHAR)) AS fingerprint FROM h""")
+def _fold_sql(rows: str, out: str, every: int | None) -> str:
+    """One level of the tree in SQL: members of a range in order, folded to one row."""
+    at = f"max({_BEGINS.format(every)}) OVER (ORDER BY key, hash ROWS UNBOUNDED PRECEDING)" if every else "NULL"
+    return f"""{out}_m AS (SELECT key, hash, n, {at} AS rg FROM {rows}),
+{out} AS (SELECT min(key) AS key, sha256(string_agg(concat_ws(chr(31), key::VARCHAR, hash, n::VARCHAR), chr(10) ORDER BY key, hash)) AS hash, CAST(sum(n) AS BIGINT) AS n, rg FROM {out}_m GROUP BY rg)"""
+
+
+@register(f"""WITH r AS (SELECT page_id AS key, sha256(concat_ws(chr(31), page_id::VARCHAR, coalesce(url, chr(0)), coalesce(html, chr(0)))) AS hash, count(*) AS n FROM pages GROUP BY ALL),
+{_fold_sql("r", "l0", _LEAF)}, {_fold_sql("l0", "l1", _FAN)}, {_fold_sql("l1", "l2", None)}
+SELECT 0 AS level, l0.key, l0.hash, l0.n, l1.key AS parent FROM l0 JOIN l1_m ON l1_m.key = l0.key JOIN l1 ON l1.rg IS NOT DISTINCT FROM l1_m.rg
+UNION ALL SELECT 1, key, hash, n, (SELECT min(key) FROM l1) FROM l1 UNION ALL SELECT 2, key, hash, n, NULL FROM l2""")
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """One hash of a table, whatever its order."""
-    return rounds.fingerprint(_t(spark, d, "pages"), "page_id", ["url", "html"])
+    """A tree of hashes over pages in order of their ids, whatever the layout: all ranges and the root."""
+    return merkle.tree(_t(spark, d, "pages"), "page_id", ["url", "html"], _LEAF, _FAN, 2)
+
+
+@register("""WITH a AS (SELECT page_id, url, html FROM pages), b AS (SELECT page_id, url, CASE WHEN page_id % 97 = 0 THEN html || 'x' ELSE html END AS html FROM pages)
+SELECT count(*) FILTER (a.html <> b.html) AS changed, true AS covered, true AS roots_differ FROM a JOIN b USING (page_id)""")
+def corpus_changed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of two states of the pages that differ hold every changed page."""
+    old = _t(spark, d, "pages").select("page_id", "url", "html")
+    new = old.withColumn("html", F.when(F.col("page_id") % 97 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")))
+    a, b = (merkle.tree(x, "page_id", ["url", "html"], _LEAF, _FAN) for x in (old, new))
+    found = merkle.changed_ranges(a, b).where("side = 'before'")
+    # a range reaches to the next one's first key
+    leaves = a.where("level = 0").withColumn("next", F.lead("key").over(W.orderBy("key")))
+    span = found.join(leaves, "key").select(F.col("key").alias("lo"), F.coalesce("next", F.lit(1 << 62)).alias("hi"))
+    changed = new.where("page_id % 97 = 0").select("page_id")
+    # one row a changed range, far fewer than pages
+    held = changed.join(F.broadcast(span), (F.col("page_id") >= F.col("lo")) & (F.col("page_id") < F.col("hi")), "left_semi").agg(F.count("*").alias("held"))
+    return changed.agg(F.count("*").alias("changed")).join(F.broadcast(held), F.lit(True)).select("changed", (F.col("changed") == F.col("held")).alias("covered"), F.lit(merkle.root(a) != merkle.root(b)).alias("roots_differ"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats, text
-from ..operators import chunking, corpus, entities, evaluation, postings, retrieval, rules
+from ..operators import chunking, corpus, entities, evaluation, postings, retrieval, rules, sections
 from ..sources import shared, tablelog
 from ..streaming import budget
 
@@ -480,6 +480,22 @@ def corpus_recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split(_t(spark, d, "documents"), "R").select("doc_id", "start_index", F.length("chunk").alias("n"), "chunk_id")
 
 
+_LINES = rf"""li AS (SELECT doc_id, line, i, regexp_matches(line, '{sections.FENCE}') AS fence FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS i FROM documents)),
+lf AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM li),
+lk AS (SELECT *, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN regexp_matches(line, '{sections.TABLE_ROW}') THEN 'table' WHEN NOT regexp_matches(line, '\S') THEN 'blank' WHEN regexp_matches(line, '{sections.HEADING}') THEN 'heading' ELSE 'paragraph' END AS kind FROM lf),
+lp AS (SELECT *, CASE WHEN kind = 'code' THEN (fences + 1) // 2 ELSE 0 END AS part FROM lk),
+ln2 AS (SELECT *, kind = 'heading' OR lag(kind) OVER w IS DISTINCT FROM kind OR lag(part) OVER w <> part AS fresh FROM lp WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+lr AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM ln2),
+bk AS (SELECT * FROM (SELECT doc_id, n, kind, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+', ''), '\s+$', '') AS block FROM lr WHERE kind <> 'blank' GROUP BY ALL) WHERE block <> '')"""
+
+
+@register(f"WITH {_LINES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS n, kind, length(block) AS chars, sha256(block) AS block FROM bk")
+def corpus_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, tables, fenced code and paragraphs of every document, by windows over its lines."""
+    got = sections.blocks(_t(spark, d, "documents"))
+    return got.select("doc_id", F.row_number().over(W.partitionBy(sections.KEY).orderBy("n")).alias("n"), "kind", F.length("block").alias("chars"), F.sha2("block", 256).alias("block"))
+
+
 @register()
 def corpus_section_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs, tables and code packed under their headings, long chunks cut at sentences; tested on small cases."""

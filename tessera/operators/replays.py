@@ -69,12 +69,15 @@ def thin_contracts(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", lacking.alias("missing")).where(F.size("missing") == len(CONTRACT_FIELDS))
 
 
-def grid(spark, **values: list) -> DataFrame:
-    """All combinations of settings, numbered; the numbers of values multiply, and are few."""
-    import itertools
+def grid(runs: DataFrame, settings: list[str]) -> DataFrame:
+    """(settings, runs): every combination of the values that recorded runs have of each setting, with how many runs had it.
 
-    rows = [(i, *combo) for i, combo in enumerate(itertools.product(*values.values()))]
-    return spark.createDataFrame(rows, ["variant", *values])
+    Values of a setting are few, and so are their combinations; those never run have 0.
+    """
+    values = runs.agg(*[F.collect_set(s).alias(s) for s in settings])
+    for s in settings:
+        values = values.withColumn(s, F.explode(s))
+    return values.join(runs.groupBy(*settings).agg(F.count("*").alias("runs")), settings, "left").na.fill(0, ["runs"])
 
 
 def attempt_fields(rows: DataFrame) -> DataFrame:

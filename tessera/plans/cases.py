@@ -88,7 +88,7 @@ def case_lint(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OBSERVED = "SELECT l_orderkey AS row_id, l_linenumber AS n, l_partkey % 100 AS question_id, concat('h', CAST(l_linenumber % 3 AS VARCHAR(3))) AS hop_id, l_suppkey % 40 AS chunk_id FROM {0}"
-_PACKS = "SELECT DISTINCT l_partkey % 100 AS question_id, l_suppkey % 40 AS chunk_id FROM {0} WHERE l_quantity > 35"
+_PACKS = "SELECT DISTINCT l_partkey % 100 AS question_id, l_suppkey % 20 AS chunk_id FROM {0}"
 _SAID = "SELECT q AS question_id, concat('h', CAST(h AS VARCHAR(3))) AS hop_id, CASE (q + h) % 4 WHEN 0 THEN 'incorrect' WHEN 1 THEN 'correct_paraphrase' WHEN 2 THEN 'damaged_span' ELSE 'correct_refusal' END AS verdict FROM (SELECT DISTINCT l_partkey % 100 AS q, l_linenumber % 3 AS h FROM {0}) AS a WHERE q % 11 > 0"
 _JUDGED = f"""o AS ({_OBSERVED.format("lineitem")}), p AS ({_PACKS.format("lineitem")}), s AS ({_SAID.format("lineitem")}),
 j AS (SELECT o.*, p.question_id IS NOT NULL AS chunk_in_pack, CASE WHEN p.question_id IS NULL THEN 'correct_refusal' ELSE s.verdict END AS final, s.verdict AS said FROM o LEFT JOIN p USING (question_id, chunk_id) LEFT JOIN s USING (question_id, hop_id))"""

@@ -44,7 +44,7 @@ _OBS_COLUMNS = [
     "value AS latency",
     "CASE WHEN event_id % 10 > 1 THEN (event_id * 37 % 11) / 10e0 END AS metric",
     "CASE WHEN event_id % 10 > 1 THEN (event_id * 53 % 7) / 8e0 END AS recall",
-    "CASE WHEN event_id % 10 > 1 THEN (event_id * 31 % 100) > 4 END AS verdict",
+    "CASE WHEN event_id % 10 > 1 THEN user_id % 24 % 4 = 0 OR (event_id * 31 % 100) > 4 END AS verdict",
     "CASE user_id % 24 % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'refusal' ELSE 'multi_hop' END AS case_type",
     "CASE user_id % 24 % 2 WHEN 0 THEN 'low' ELSE 'high' END AS risk_level",
 ]
@@ -308,15 +308,15 @@ def eval_run_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.run_summary(_obs(spark, d), ["arm", "round"])
 
 
-@register(f"""WITH {OBS}, fl AS (SELECT question_id FROM obs GROUP BY 1 HAVING count(*) FILTER (verdict AND round = 0) * count(*) FILTER (NOT verdict AND round = 0) > 0),
+@register(f"""WITH {OBS}, fl AS (SELECT question_id FROM obs GROUP BY 1 HAVING count(*) FILTER (verdict) * count(*) FILTER (NOT verdict) > 0),
 u AS (SELECT question_id, case_type, risk_level, 'metric' AS metric, metric AS value FROM obs UNION ALL SELECT question_id, case_type, risk_level, 'recall', recall FROM obs),
 l AS (SELECT 'case_type' AS dimension, case_type AS "group", * FROM u UNION ALL SELECT 'risk_level', risk_level, * FROM u)
 SELECT dimension, "group", metric, round(avg(value), 3) AS mean, round(avg(value) FILTER (question_id NOT IN (FROM fl)), 3) AS mean_excluding_flaky, count(value) AS sample_size,
   count(DISTINCT CASE WHEN value IS NOT NULL AND question_id NOT IN (FROM fl) THEN question_id END) AS question_count FROM l GROUP BY ALL""")
 def eval_slice_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Two dimensions by metric as grouping sets, with and without the questions that are flaky in round 0."""
+    """Two dimensions by metric as grouping sets, with and without flaky questions."""
     obs = _obs(spark, d)
-    return evaluation.slice_metrics(obs, ["case_type", "risk_level"], ["metric", "recall"], evaluation.flaky(obs.where("round = 0"), "verdict").where("flaky"))
+    return evaluation.slice_metrics(obs, ["case_type", "risk_level"], ["metric", "recall"], evaluation.flaky(obs, "verdict").where("flaky"))
 
 
 @register(f"""WITH {OBS}, g AS (SELECT question_id, count(*) FILTER (verdict) AS t, count(*) FILTER (NOT verdict) AS f FROM obs GROUP BY 1)
@@ -632,7 +632,7 @@ def sample_balanced(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(_t(spark, d, "documents").select("lang", "doc_id"), ["lang"], [F.col("doc_id")], 5, "pos")
 
 
-_ISSUES = "SELECT l_orderkey AS question_id, l_returnflag AS status, l_linenumber % 2 AS claim_id FROM {0} WHERE l_quantity > 30"
+_ISSUES = "SELECT l_orderkey - l_orderkey % 2 AS question_id, l_returnflag AS status, l_linenumber % 2 AS claim_id FROM {0}"
 
 
 @register(f"""WITH i AS (SELECT DISTINCT * FROM ({_ISSUES.format("lineitem")})), n AS (SELECT question_id, count(*) AS n FROM i GROUP BY 1)

@@ -69,10 +69,14 @@ def replay_thin_contracts(spark: SparkSession, d: str) -> DataFrame:
     return replays.thin_contracts(p).select("case_id")
 
 
-@register("SELECT (row_number() OVER (ORDER BY s, c)) - 1 AS variant, ['F', 'R', 'P'][s] AS strategy, [2, 3, 0][c] AS source_cap FROM (SELECT unnest([1, 2, 3]) AS s) AS a, (SELECT unnest([1, 2, 3]) AS c) AS b")
+_SETTINGS = "SELECT p_brand AS strategy, p_size % 4 AS source_cap, p_type AS mode FROM {0}"
+
+
+@register(f"""WITH r AS ({_SETTINGS.format("part")}), n AS (SELECT strategy, source_cap, mode, count(*) AS n FROM r GROUP BY ALL)
+SELECT strategy, source_cap, mode, coalesce(n, 0) AS runs FROM (SELECT * FROM (SELECT DISTINCT strategy FROM r), (SELECT DISTINCT source_cap FROM r), (SELECT DISTINCT mode FROM r)) LEFT JOIN n USING (strategy, source_cap, mode)""")
 def replay_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The settings of an ablation."""
-    return replays.grid(spark, strategy=["F", "R", "P"], source_cap=[2, 3, 0])
+    """The cells of an ablation over settings of recorded runs, with those that no run covers."""
+    return replays.grid(spark.sql(_SETTINGS.format("{part}"), part=_t(spark, d, "part")), ["strategy", "source_cap", "mode"])
 
 
 _TRIED = "SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'provider_error' ELSE 'completed' END AS status, event_id % 3 AS bad, value AS metric FROM {0}"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import containment, postings
 from ..sources import shared, tablelog
-from ..streaming import budget
+from ..streaming import budget, reservations
 from .catalog import _PARTS, _PATHS, _SNAP, _documents, _post, _snapshots, _t, register
 
 # expected names of every part against the paths of every part
@@ -66,3 +67,30 @@ def corpus_streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     query.awaitTermination()
     first, last = table.read(0).withColumnRenamed("sha256", "before"), table.read().withColumnRenamed("sha256", "after")
     return first.join(last, "path", "full_outer").select("path", "before", "after")
+
+
+_ASKED = """SELECT user_id AS account, ts AS moment, event_id AS seq, CASE WHEN event_id % 3 = 2 THEN 'settle' ELSE 'reserve' END AS kind, CAST(floor(value * 8) AS BIGINT) AS tokens FROM {0}"""
+_LIMITS = reservations.Limits(daily=900, per_query=700, hold_seconds=6 * 3600)
+
+
+@register(f"""WITH RECURSIVE e AS ({_ASKED.format("events")}),
+q AS (SELECT *, CASE WHEN kind = 'reserve' THEN seq ELSE coalesce(max(CASE WHEN kind = 'reserve' THEN seq END) OVER (PARTITION BY account ORDER BY moment, seq), -1) END AS request, epoch_us(moment) AS us, row_number() OVER (PARTITION BY account ORDER BY moment, seq) AS i FROM e),
+s AS (SELECT account, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, '' AS kind, '' AS outcome, CAST(-1 AS BIGINT) AS day, CAST(0 AS BIGINT) AS used, CAST([] AS STRUCT(k BIGINT, t BIGINT, u BIGINT)[]) AS held FROM q GROUP BY account
+  UNION ALL SELECT account, i, seq, kind, outcome, day, CASE WHEN outcome = 'settled' THEN used + tokens ELSE used END,
+    CASE outcome WHEN 'granted' THEN list_append(list_filter(held, lambda x: x.k <> request), {{'k': request, 't': tokens, 'u': us + {_LIMITS.hold_seconds * 1_000_000}}}) WHEN 'settled' THEN list_filter(held, lambda x: x.k <> request) ELSE held END
+  FROM (SELECT *, CASE WHEN kind = 'settle' THEN CASE WHEN len(list_filter(held, lambda x: x.k = request)) > 0 THEN 'settled' ELSE 'unknown' END
+      WHEN tokens < 0 OR tokens > {_LIMITS.per_query} THEN 'per_query' WHEN used + coalesce(list_sum(list_transform(held, lambda x: x.t)), 0) + tokens > {_LIMITS.daily} THEN 'daily' ELSE 'granted' END AS outcome
+    FROM (SELECT q.account, q.i, q.seq, q.kind, q.tokens, q.request, q.us, q.us // {reservations.DAY} AS day, CASE WHEN q.us // {reservations.DAY} = s.day THEN s.used ELSE 0 END AS used, list_filter(s.held, lambda x: x.u > q.us) AS held
+      FROM s JOIN q ON q.account = s.account AND q.i = s.i + 1)))
+SELECT account, seq, kind, outcome, used, CAST(coalesce(list_sum(list_transform(held, lambda x: x.t)), 0) AS BIGINT) AS reserved FROM s WHERE i > 0""")
+def budget_reservations(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of every account reserved, settled, expired or refused by a stateful stream."""
+    e = spark.sql(_ASKED.format("{e}"), e=_t(spark, d, "events"))
+    last = F.max(F.when(F.col("kind") == "reserve", F.col("seq"))).over(W.partitionBy("account").orderBy("moment", "seq"))
+    named = e.withColumn("request", F.when(F.col("kind") == "reserve", F.col("seq")).otherwise(F.coalesce(last, F.lit(-1))))
+    since = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', moment)")
+    source = shared.written(named.withColumn("at", since).drop("moment"), "requests")
+    table = tablelog.Table(spark, shared.fresh_path(spark, "outcomes"), "seq", 8)
+    stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    reservations.record(stream, _LIMITS, table, "budget", shared.fresh_path(spark, "checkpoint")).awaitTermination()
+    return table.read()

@@ -1,10 +1,9 @@
-"""Streams: incremental ingest of changed files and daily budgets of token events."""
+"""Streams: incremental ingest of changed files and daily sums of token events; budgets with reservations are in ``reservations``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,35 +38,3 @@ def ingest_table(changes: DataFrame, table: Table, name: str, checkpoint: str, d
         table.upsert(batch, deleted, (name, batch_id))
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-#: A circuit opens after this many failures in a row and may be tried again after this many seconds (fixed values).
-FAILURES, RECOVERY_SECONDS = 3, 60.0
-
-
-def circuit(calls: DataFrame, by: str = "service") -> DataFrame:
-    """(by, seq, at, outcome, state) of calls in order: completed, failed or refused, and the circuit's state afterwards.
-
-    ``calls`` (by, seq, at in seconds, ok, permanent): a failure that no retry can mend does not count. While the circuit is open calls are
-    refused; after the recovery time calls are let through, and the first outcome closes the circuit or opens it again. A
-    service's calls are a sequence, so one task reads them; services are apart.
-    """
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        failures, opened, last, rows = 0, False, float("-inf"), []
-        for r in frame.sort_values("seq").itertuples():
-            if opened and r.at - last < RECOVERY_SECONDS:
-                rows.append((r.seq, r.at, "refused", "open"))
-                continue
-            state = "half_open" if opened else "closed"
-            if r.ok:
-                failures, opened, state = 0, False, "closed"
-            elif not r.permanent:
-                failures, last = failures + 1, r.at
-                opened = failures >= FAILURES
-                state = "open" if opened else state
-            rows.append((r.seq, r.at, "completed" if r.ok else "failed", state))
-        return pd.DataFrame(rows, columns=["seq", "at", "outcome", "state"]).assign(**{by: key[0]})
-
-    kind = dict(calls.dtypes)[by]
-    return calls.select(by, "seq", "at", "ok", "permanent").groupBy(by).applyInPandas(run, f"seq long, at double, outcome string, state string, {by} {kind}").select(by, "seq", "at", "outcome", "state")

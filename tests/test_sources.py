@@ -186,15 +186,6 @@ def test_tools(spark):
     assert spark.sql("SELECT twice(4) AS y").collect()[0].y == 8
 
 
-def test_circuit(spark):
-    calls = [(1, 0.0, False), (2, 1.0, False), (3, 2.0, True), (4, 3.0, False), (5, 4.0, False), (6, 5.0, False), (7, 6.0, True), (8, 70.0, False), (9, 71.0, True), (10, 140.0, True), (11, 141.0, False)]
-    d = spark.createDataFrame([("s", *c, False) for c in calls] + [("t", k, float(k), False, True) for k in range(5)], "service string, seq long, at double, ok boolean, permanent boolean")
-    got = {(r.service, r.seq): (r.outcome, r.state) for r in budget.circuit(d).collect()}
-    want = ["failed closed", "failed closed", "completed closed", "failed closed", "failed closed", "failed open", "refused open", "failed open", "refused open", "completed closed", "failed closed"]
-    assert [" ".join(got["s", k]) for k in range(1, 12)] == want
-    assert all(got["t", k] == ("failed", "closed") for k in range(5))
-
-
 def test_rules(spark):
     docs = spark.createDataFrame(
         [(1, "tds\\PP_R TDS", None, None), (2, "GB/T 16252—2023", "", "# Scope: cups"), (3, "x", "304", "\n## Part \nScope: hot drinks only."), (4, None, None, None)], "id int, path string, title string, content string"

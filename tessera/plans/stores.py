@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import containment, postings
-from ..sources import shared, tablelog
+from ..sources import pages, shared, tablelog
 from ..streaming import budget, reservations
 from .catalog import _PARTS, _PATHS, _SNAP, _documents, _post, _snapshots, _t, register
 
@@ -58,9 +58,9 @@ def corpus_streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     old, _ = _snapshots(spark, d)
     table = tablelog.Table(spark, shared.fresh_path(spark, "manifest"), "path", 8)
     table.replace(old)
-    pages = _t(spark, d, "pages")
+    stored = _t(spark, d, "pages")
     # a pattern, since the table may be one file or a folder of them
-    stream = spark.readStream.schema(pages.schema).parquet(f"{d}/pages[.]parquet")
+    stream = spark.readStream.schema(stored.schema).parquet(f"{d}/pages[.]parquet")
     body = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html"))
     changes = stream.select(F.col("url").alias("path"), F.when(F.col("page_id") % 11 != 0, F.sha2(body, 256)).alias("sha256"))
     query = budget.ingest_table(changes, table, "pages", shared.fresh_path(spark, "checkpoint"), F.col("sha256").isNull())
@@ -94,3 +94,17 @@ def budget_reservations(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
     reservations.record(stream, _LIMITS, table, "budget", shared.fresh_path(spark, "checkpoint")).awaitTermination()
     return table.read()
+
+
+@register("""WITH p AS (SELECT page_id % 8 AS f, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) - 1 AS page, CASE WHEN page_id % 13 = 0 THEN ' ' WHEN page_id % 17 = 0 THEN repeat('#%', 20) ELSE html END AS raw FROM pages)
+SELECT concat('f', f) AS file, CAST(page AS INT) AS page, sha256(trim(raw)) AS text, CASE WHEN trim(raw) = '' THEN 'empty' WHEN raw = repeat('#%', 20) THEN 'garbled' END AS problem FROM p""")
+def source_document_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of long files read by ranges, with what is wrong with them (A3-A5, A10)."""
+    p = _t(spark, d, "pages").select((F.col("page_id") % 8).alias("f"), "page_id", F.when(F.col("page_id") % 13 == 0, " ").when(F.col("page_id") % 17 == 0, F.expr("repeat('#%', 20)")).otherwise(F.col("html")).alias("raw"))
+    # eight files, each put together from its pages in order
+    joined = p.groupBy("f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "raw"))), lambda x: x["raw"]), "\f").alias("value"))
+    folder = shared.fresh_path(spark, "files")
+    joined.withColumn("file", F.concat(F.lit("f"), "f")).select("file", "value").repartition("file").write.partitionBy("file").option("lineSep", "\f").text(folder)
+    pages.register(spark)
+    got = pages.numbered(spark.read.format("document_pages").option("path", folder).option("rangeBytes", 20_000).load())
+    return got.select(F.regexp_extract("path", "file=([^/]+)", 1).alias("file"), "page", F.sha2("text", 256).alias("text"), "problem")

@@ -19,17 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .textscan import U, Slice, slices
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bounds on the labelled rows of each kind that the model is fitted on.
+    #: Bounds on the distinct labelled rows of each kind that the model is fitted on, and on the bytes of their texts.
     max_toxic: int = 8_000
     max_clean: int = 16_000
+    max_bytes: int = 128 << 20
     hash_bits: int = 22
-    max_features: int = 4_096
     min_z: float = 4.0
     min_toxic_rows: int = 4
     #: Pairs of these most frequent terms are looked at too, so that terms count that tell something only together.
@@ -80,10 +81,23 @@ def terms(s: Slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, cfg: Settings) -> DataFrame:
-    """(text, toxic) of the bounded training sample: never rows held out, chosen by hash within each kind."""
+    """(text, toxic) of the bounded training sample: never rows held out.
+
+    Rows are drawn, not ids: each distinct id and text with its labels once, in the order of a hash within each kind, as many as both bounds allow.
+    """
     known = labels.where("toxic IN (0, 1)").where("coalesce(crc32(cast(doc_id as string)), 0) % 3 <> 1").select("doc_id", "toxic").distinct()
-    pick = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, cfg.max_toxic), (0, cfg.max_clean))]
-    return docs.select("doc_id", "text").join(F.broadcast(pick[0].union(pick[1])), "doc_id").select("text", "toxic")
+    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.sha2("text", 256)
+    slim = body.select("doc_id", digest.alias("h"), F.octet_length("text").cast("long").alias("size")).distinct().join(known, "doc_id")
+    before = W.orderBy("z", "doc_id", "h").rowsBetween(W.unboundedPreceding, 0)
+    kinds = []
+    for kind, most in ((1, cfg.max_toxic), (0, cfg.max_clean)):
+        drawn = slim.where(F.col("toxic") == kind).withColumn("z", F.xxhash64("h", "doc_id")).orderBy("z", "doc_id", "h").limit(most)
+        # the limit bounds the rows of this window
+        kinds.append(drawn.withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= cfg.max_bytes).select("doc_id", "h", "toxic"))
+    # at most max_toxic + max_clean rows; a row that is repeated comes back once
+    picked = body.withColumn("h", digest).join(F.broadcast(kinds[0].union(kinds[1])), ["doc_id", "h"])
+    return picked.groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
 
 
 def train(rows: DataFrame, cfg: Settings = Settings()) -> Model:
@@ -95,7 +109,7 @@ def train(rows: DataFrame, cfg: Settings = Settings()) -> Model:
                 ts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(t, pa.int32()))
                 yield pa.RecordBatch.from_arrays([ts, batch.column(1).slice(i, j - i).cast(pa.int32())], ["t", "y"])
 
-    # at most max_toxic + max_clean rows
+    # at most max_toxic + max_clean rows, and fewer bytes than max_bytes for each kind
     got = rows.mapInArrow(run, "t array<int>, y int").toArrow()
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("t").combine_chunks()
@@ -112,7 +126,6 @@ def train(rows: DataFrame, cfg: Settings = Settings()) -> Model:
     hit = np.bincount(flat, weights=y[at], minlength=1 << cfg.hash_bits)
     z = (hit - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
     slots = np.flatnonzero(((z > cfg.min_z) & (hit >= cfg.min_toxic_rows)) | ((z < -cfg.min_z) & (n >= 30)))
-    slots = slots[np.argsort(-np.abs(z[slots]), kind="stable")[: cfg.max_features]]
     slots = np.union1d(slots, _pairs(flat, at, y, n, share, cfg))
     where = np.searchsorted(slots, flat)
     keep = (where < len(slots)) & (slots[np.minimum(where, max(len(slots) - 1, 0))] == flat) if len(slots) else np.zeros(len(flat), bool)
@@ -138,9 +151,7 @@ def _pairs(flat: np.ndarray, at: np.ndarray, y: np.ndarray, n: np.ndarray, share
     one = np.diagonal(z)
     strong = (z > cfg.pair_z) & (hit >= 2 * cfg.min_toxic_rows) & (z > np.maximum(one[:, None], one[None, :]) + cfg.min_z)
     np.fill_diagonal(strong, False)
-    i, j = np.nonzero(strong)
-    best = np.argsort(-z[i, j], kind="stable")[: cfg.max_features]
-    return common[np.unique(np.concatenate([i[best], j[best]]))]
+    return common[np.unique(np.concatenate(np.nonzero(strong)))]
 
 
 def _fit(slots: np.ndarray, rows: np.ndarray, feats: np.ndarray, y: np.ndarray, cfg: Settings) -> Model:

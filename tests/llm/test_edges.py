@@ -128,6 +128,19 @@ def test_toxicity_uses_pairs_of_words_that_say_nothing_alone(spark):
     assert s[1] > 0.5 > max(s[2], s[3], s[4])
 
 
+def test_toxicity_sample_is_of_rows(spark):
+    rows = [(7, f"text {i}") for i in range(40)] + [(8, "same")] * 30 + [(9, None), (None, "no id"), (10, "x" * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in (7, 8, 9, 10)] + [(None, 1, 1), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    usable = [i for i in (7, 8, 9, 10) if zlib.crc32(str(i).encode()) % 3 != 1]
+    every = sorted({(i, t or "") for i, t in rows if i in usable})
+    got = toxicity.labelled_rows(docs, labels, toxicity.Settings()).collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t in every) and {r.toxic for r in got} <= {1}
+    assert toxicity.labelled_rows(docs, labels, toxicity.Settings(max_toxic=5)).count() == min(5, len(every))
+    few = toxicity.labelled_rows(docs, labels, toxicity.Settings(max_bytes=20)).collect()
+    assert sum(len(r.text) for r in few) <= 20
+
+
 def test_toxicity_held_out_labels(spark):
     """No label of a held-out row is read, and the model finds most of them."""
     d = "/root/testdata/sf0.1"

@@ -16,20 +16,53 @@ HEAVY = ("retrieval_candidate_audit", "bm25_query_hits", "entity_plan")
 
 
 def _problems(rows: DataFrame, key: str, checks: list[tuple[Column, str]]) -> DataFrame:
-    found = F.filter(F.array(*[F.when(c, F.lit(p)) for c, p in checks]), lambda x: x.isNotNull())
-    return rows.select(key, F.explode(found).alias("problem"))
+    return rows.select(key, F.explode(_found(checks)).alias("problem"))
 
 
-def slice_problems(slices: DataFrame) -> DataFrame:
-    """(question_id, problem): missing fields, unknown values, empty tags and repeated ids of slice definitions; empty if all is well."""
-    twice = F.count(F.lit(1)).over(W.partitionBy("question_id")) > 1
-    rows = slices.withColumn("twice", twice)
+def _found(checks: list[tuple[Column, str]]) -> Column:
+    return F.filter(F.array(*[F.when(c, F.lit(p)) for c, p in checks]), lambda x: x.isNotNull())
+
+
+def require(rows: DataFrame, key: str, checks: list[tuple[Column, str]], what: str) -> DataFrame:
+    """The rows, which fail in whatever pass uses them as soon as one has a problem; no scan of its own.
+
+    The test is a filter, so it stays when columns are pruned.
+    """
+    found = _found(checks)
+    told = F.concat(F.lit(f"{what} "), F.coalesce(F.col(key).cast("string"), F.lit("without id")), F.lit(": "), F.array_join(found, ", "))
+    return rows.where(F.when(F.size(found) > 0, F.raise_error(told)).otherwise(F.lit(True)))
+
+
+def require_size(rows: DataFrame, expected: int | None, what: str) -> DataFrame:
+    """The rows of one document, which fail when used if there are none, or not as many as expected; counted in the same pass."""
+    n = F.size("rows")
+    wrong = (n == 0) if expected is None else (n != expected)
+    told = F.concat(F.lit(f"{what} has "), n.cast("string"), F.lit(f" rows, not {'any' if expected is None else expected}"))
+    whole = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    return whole.where(F.when(wrong, F.raise_error(told)).otherwise(F.lit(True))).select(F.inline("rows"))
+
+
+def _slice_checks() -> list[tuple[Column, str]]:
     bad = lambda c, known: F.col(c).isNotNull() & ~F.col(c).isin(*known)
-    return _problems(rows, "question_id", [
+    return [
         (F.col("question_id").isNull(), "missing_id"), (F.col("case_type").isNull(), "missing_case_type"), (F.col("risk_level").isNull(), "missing_risk_level"),
         (bad("case_type", CASE_TYPES), "unknown_case_type"), (bad("risk_level", RISK_LEVELS), "unknown_risk_level"),
         (F.coalesce(F.size("slice_tags"), F.lit(0)) <= 0, "no_tags"), (F.col("flaky").isNull(), "flaky_not_boolean"), (F.col("twice"), "repeated_id"),
-    ]).distinct()
+    ]
+
+
+def _twice(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("twice", F.count(F.lit(1)).over(W.partitionBy(key)) > 1)
+
+
+def slice_problems(slices: DataFrame) -> DataFrame:
+    """(question_id, problem): missing fields, unknown values, empty tags and repeated ids of slice definitions; empty if all is well."""
+    return _problems(_twice(slices, "question_id"), "question_id", _slice_checks()).distinct()
+
+
+def valid_slices(slices: DataFrame) -> DataFrame:
+    """Slice definitions, which fail when used if any has a problem."""
+    return require(_twice(slices, "question_id"), "question_id", _slice_checks(), "slice").drop("twice")
 
 
 def needle(term: Column) -> Column:

@@ -9,11 +9,13 @@ from collections.abc import Callable, Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from ..operators import contracts
+
 TEXT_FILES = "(?i)\\.(pdf|txt|md)$"
 
 
@@ -117,12 +119,19 @@ def garbled(text: str) -> bool:
 
 
 def read_questions(spark: SparkSession, path: str, schema: str, expected: int | None = None) -> DataFrame:
-    """A question set of one JSON document; an empty one, or one of another size than ``expected``, fails."""
+    """A question set of one JSON document; an empty one, or one of another size than ``expected``, fails when it is used."""
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    n = rows.count()
-    if n == 0 or expected is not None and n != expected:
-        raise ValueError(f"{path} has {n} questions, not {expected or 'any'}")
-    return rows
+    return contracts.require_size(rows, expected, path)
+
+
+#: Fields of a slice definition.
+SLICE = "question_id string, case_type string, risk_level string, slice_tags array<string>, flaky boolean"
+
+
+def read_slices(spark: SparkSession, path: str) -> DataFrame:
+    """Slice definitions of one JSON document; a bad one fails when they are used, in the same pass."""
+    rows = spark.read.schema(SLICE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return contracts.valid_slices(contracts.require_size(rows, None, path))
 
 
 def read_run(spark: SparkSession, path: str, schema: str, case_set: str, arm: str, round_: int) -> DataFrame:
@@ -242,30 +251,31 @@ def write_new(df: DataFrame, path: str) -> None:
 
 
 def rebuild(df: DataFrame, path: str, check: Callable[[DataFrame], bool] | None = None) -> int:
-    """Replace a table: write aside, count again from the files and ask ``check``, then swap; the old one returns if the swap fails.
+    """Replace a table: write aside, count while writing and ask ``check``, then swap; the old one returns if the swap fails.
 
     ``check`` gets the staged table reopened, to query it as its readers will. An empty table replaces nothing.
     """
 
-    def valid(staged: DataFrame) -> int:
-        n = staged.count()
+    def valid(staged: DataFrame, n: int) -> None:
         if n == 0:
             raise ValueError("an empty table does not replace another")
         if check and not check(staged):
             raise ValueError("the staged table does not answer")
-        return n
 
     return _swap(df, path, valid)
 
 
-def _swap(df: DataFrame, path: str, valid: Callable[[DataFrame], int] = lambda staged: 0) -> int:
+def _swap(df: DataFrame, path: str, valid: Callable[[DataFrame, int], None] = lambda staged, n: None) -> int:
+    """Write aside, counting rows as they are written, and put the new table in the place of the old one."""
     spark = df.sparkSession
     name = uuid.uuid4().hex
     staged, kept = f"{path}.staged-{name}", f"{path}.before-{name}"
-    df.write.parquet(staged)
     (old, system), (new, _), (back, _) = (_path(spark, p) for p in (path, staged, kept))
     try:
-        n = valid(spark.read.schema(df.schema).parquet(staged))
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(staged)
+        n = seen.get["n"]
+        valid(spark.read.schema(df.schema).parquet(staged), n)
         had = system.exists(old)
         if had and not system.rename(old, back):
             raise OSError(f"{path} can't be set aside")

@@ -9,7 +9,7 @@ the terms of the new texts alone.
 Search keeps the k best exactly. Bounds of what a term adds in a block follow from the block's greatest frequency and least length. A
 question's rarest terms give first candidates, whose full scores give a threshold. Terms that together stay below the
 threshold open no candidates. Candidates whose score so far and blocks' bounds stay below it are dropped, and only
-the rest are completed. Scans before the last read no arrays of what was pruned; texts are not read at all.
+the rest are completed. Where all postings of the questions are few, they are added up at once; the results are the same. Texts are not read at all.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ FORMAT = 1
 NAMED = ("tritan", "ppsu", "pc", "pp", "304", "316")
 #: Terms of a question that give the first candidates.
 SEED_TERMS = 3
+#: Postings of all questions together up to which adding all of them up costs less than the passes that prune.
+DIRECT = 30_000_000
 #: Two scores closer than this count as one when something is pruned; ranks compare nine decimals.
 SLACK = 1e-8
 
@@ -62,9 +64,14 @@ def terms(docs: DataFrame, layout: Layout, id_col: str = "doc_id") -> DataFrame:
         return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
     listed = [weighted(own, FIELD_WEIGHTS["content"]), *[weighted(lexical_terms(F.coalesce(f, F.lit(""))), FIELD_WEIGHTS.get(f, 0.0)) for f in other]]
-    parts = docs.select(F.col(id_col).alias("id"), F.concat(*listed).alias("t"), meta.alias("m"), body.alias("b"), F.transform(entities.canonical_ids(whole), lambda x: F.concat(F.lit(CANONICAL), x)).alias("c"))
-    named = F.filter(F.array(*map(F.lit, NAMED)), lambda x: F.contains(F.col("m"), x) | F.contains(F.col("b"), x))
-    marks = weighted(F.concat(F.array(F.lit("")), "c", F.transform(named, lambda x: F.concat(F.lit(EXACT), x))), 0.0)
+    # every pattern of an id holds one of these
+    may = F.contains("__whole", F.lit("gb")) | F.contains("__whole", F.lit("3486")) | F.contains("__whole", F.lit("1001"))
+    ids = F.when(may, F.transform(entities.canonical_ids(F.col("__whole")), lambda x: F.concat(F.lit(CANONICAL), x))).otherwise(F.array().cast("array<string>"))
+    read = docs.select("*", F.lower(whole).alias("__whole"))
+    parts = read.select(F.col(id_col).alias("id"), F.concat(*listed).alias("t"), meta.alias("m"), body.alias("b"), ids.alias("c"))
+    # one test a name, not a function over names: in that, the columns of squeezed text would be computed anew for each
+    named = F.array_compact(F.array(*[F.when(F.contains("m", F.lit(x)) | F.contains("b", F.lit(x)), EXACT + x) for x in NAMED]))
+    marks = weighted(F.concat(F.array(F.lit("")), "c", named), 0.0)
     each = parts.select("id", F.size("t").alias("len"), F.explode(F.concat("t", marks)).alias("x"))
     if not other:
         return each.select("id", "len", "x.term", F.col("x.w").alias("tf"))
@@ -97,7 +104,10 @@ class Index:
 
     def build(self, docs: DataFrame, id_col: str = "doc_id") -> Version:
         """Index all of ``docs`` (one row an id, not null) anew."""
-        rows = written(terms(docs, self.layout, id_col), "terms")
+        n = self.spark.sparkContext.defaultParallelism
+        # a small table may be stored in fewer splits than there are cores
+        dealt = docs if docs.rdd.getNumPartitions() >= n else docs.repartition(n)
+        rows = written(terms(dealt, self.layout, id_col), "terms")
         return self.table.replace(blocks(rows, self.layout).sortWithinPartitions("shard", "term", "block"), bucket=F.col("shard"))
 
     def upsert(self, changes: DataFrame, deleted: Column | None = None, id_col: str = "doc_id", batch: tuple[str, int] | None = None) -> Version:
@@ -125,7 +135,7 @@ class Index:
         rows = self.table.read(version)
         rows = rows.where("term IS NOT NULL")
         heads = ["shard", "block", "term", "n", "max_tf", "min_len", "sum_len"]
-        vocabulary = written(asked.select("term").union(self.spark.range(1).select(F.lit(""))).distinct(), "vocabulary")
+        vocabulary = asked.select("term").union(self.spark.range(1).select(F.lit(""))).distinct()
         few = join_small(rows, vocabulary, ["term"])
         # all that is read of the index: rows of the asked terms
         held = written(few.select(*heads, "ids", "tfs", "lens").unionByName(self._open(asked, docs, id_col, few)), "held")
@@ -176,6 +186,10 @@ def _best(held: DataFrame, heads: list[str], asked: DataFrame, k: int, id_col: s
         return _each(pairs, id_col).groupBy("question_id", "shard", "block", id_col).agg(F.sum("part").alias("score"))
 
     key = ["question_id", "shard", "block", id_col]
+    if (known.agg(F.sum("df")).collect()[0][0] or 0) <= DIRECT:
+        every = join_small(held, known, ["term"])
+        total = _each(every, id_col).groupBy("question_id", id_col).agg(F.sum("part").alias("score")).where("score > 0")
+        return top_k(total, ["question_id"], [F.desc(F.round("score", 9)), F.col(id_col)], k)
     # 1. the best documents by the rarest terms, and their full scores
     seeds = top_k(scores(join_small(held, known.where(F.col("nth") <= SEED_TERMS), ["term"])), ["question_id"], [F.desc("score"), F.col(id_col)], k).select(*key)
     near = written(join_small(seeds, known, ["question_id"]), "seeds")

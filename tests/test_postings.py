@@ -62,8 +62,13 @@ def index(spark, tmp_path_factory, corpus):
     return i
 
 
+@pytest.fixture(params=[0, 1 << 60], ids=["pruned", "direct"])
+def path(request, monkeypatch):
+    monkeypatch.setattr(postings, "DIRECT", request.param)
+
+
 @pytest.mark.parametrize("k", [1, 10, 1000])
-def test_search(spark, index, corpus, k):
+def test_search(spark, index, corpus, path, k):
     asked = spark.createDataFrame(corpus[1], "question_id long, question string")
     assert found(index.search(asked, k)) == brute(*corpus, k)
 
@@ -72,6 +77,7 @@ def test_pruning_drops_most(spark, index, corpus, monkeypatch):
     """Long questions open fewer candidates than they have matches."""
     asked = spark.createDataFrame([(103, corpus[1][-1][1])], "question_id long, question string")
     seen = {}
+    monkeypatch.setattr(postings, "DIRECT", 0)
     plain = postings.written
 
     def watch(df, name):

@@ -111,7 +111,9 @@ def pooled(sources: DataFrame, snapshot: DataFrame) -> DataFrame:
 
     ``sources`` (case_id, nth, question_id), ``snapshot`` (question_id, rank, chunk_id, content).
     """
-    rows = sources.join(snapshot, "question_id")
+    # a chunk stands in a question's snapshot at its first rank alone, so repeats don't meet the cases
+    found = snapshot.groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank"), F.min_by("content", "rank").alias("content"))
+    rows = sources.join(found, "question_id").repartition("case_id")
     first = rows.groupBy("case_id", "chunk_id").agg(F.min(F.struct("nth", "rank")).alias("at"), F.min_by("content", F.struct("nth", "rank")).alias("content"))
     place = F.row_number().over(W.partitionBy("case_id").orderBy("at", "chunk_id"))
     return first.withColumn("position", place).select("case_id", "chunk_id", "content", "position", (place <= TRUNCATED_AT).alias("within"))

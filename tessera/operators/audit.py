@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Replacements in their order, patterns and word lists that decide the results.
 REPLACED = (
     ("不小于", "ge"), ("不低于", "ge"), ("至少", "ge"), ("大于等于", "ge"), ("不少于", "ge"), ("不超过", "le"), ("不大于", "le"), ("至多", "le"), ("小于等于", "le"),
@@ -56,7 +58,7 @@ def without_noise(text: Column, parens: bool = True, labels: bool = True) -> Col
     out = F.regexp_replace(_text(text), LABEL, "")
     if parens:
         out = F.regexp_replace(out, PARENTHETICAL, "")
-    return F.when(out.rlike(MATH), out).otherwise(F.regexp_replace(out, BARE_LABEL, "")) if labels else out
+    return let(out, lambda o: F.when(o.rlike(MATH), o).otherwise(F.regexp_replace(o, BARE_LABEL, ""))) if labels else out
 
 
 def is_fallback(answer: Column) -> Column:
@@ -64,31 +66,36 @@ def is_fallback(answer: Column) -> Column:
 
 
 def _span_in(expected: Column, answer: Column) -> Column:
-    """Whether one normal form of a span is brought out by an answer's normal form."""
-    e, a = expected, answer
+    """Whether one normal form of a span is brought out by an answer's normal form; ``answer``: struct of ``_parts``."""
+    return (expected != "") & (F.contains(answer["a"], expected) | let(_parts(expected), lambda e: _fallback(e, answer)))
+
+
+def _parts(form: Column) -> Column:
+    """struct(a, n, t): a normal form with its numbers and its tokens."""
+    return F.struct(form.alias("a"), F.regexp_extract_all(form, F.lit(DIGITS), 1).alias("n"), F.regexp_extract_all(form, F.lit(TOKEN), 1).alias("t"))
+
+
+def _fallback(expected: Column, answer: Column) -> Column:
+    e, en, et, a, an, at = expected["a"], expected["n"], expected["t"], answer["a"], answer["n"], answer["t"]
     every = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(a, w))
     concept = ~e.rlike("\\d") & e.rlike("|".join(SYNONYMS))
     for term, words in SYNONYMS.items():
         concept = concept & (~F.contains(e, F.lit(term)) | every(words))
-    en, an = F.regexp_extract_all(e, F.lit(DIGITS), 1), F.regexp_extract_all(a, F.lit(DIGITS), 1)
     known = (F.size(en) > 0) & (F.size(F.array_except(en, an)) == 0)
-    first = F.transform(en, lambda n: F.array_position(an, n))
-    ordered = known & (F.size(en) > 1) & (first == F.array_sort(first))
+    ordered = known & (F.size(en) > 1) & let(F.transform(en, lambda n: F.array_position(an, n)), lambda first: first == F.array_sort(first))
     words = F.regexp_replace(F.regexp_replace(e, UNIT_NUMBER, ""), FILLER, "")
-    single = known & (F.size(en) == 1) & ((words == "") | F.contains(a, F.right(words, F.lit(4))))
+    single = known & (F.size(en) == 1) & let(words, lambda w: (w == "") | F.contains(a, F.right(w, F.lit(4))))
     # the numbers in order, each after the one before
-    step = lambda at, n: F.when(at < 0, at).otherwise(F.when(F.array_position(F.slice(an, at + 1, F.greatest(F.lit(1), F.size(an))), n) > 0, at + F.array_position(F.slice(an, at + 1, F.greatest(F.lit(1), F.size(an))), n).cast("int")).otherwise(-1))
+    next_ = lambda at, n: let(F.array_position(F.slice(an, at + 1, F.greatest(F.lit(1), F.size(an))), n).cast("int"), lambda k: F.when(k > 0, at + k).otherwise(-1))
+    step = lambda at, n: F.when(at < 0, at).otherwise(next_(at, n))
     sequence = (F.size(en) >= 2) & (F.aggregate(en, F.lit(0), step) >= 0)
-    et, at = F.regexp_extract_all(e, F.lit(TOKEN), 1), F.regexp_extract_all(a, F.lit(TOKEN), 1)
     window = (F.size(at) >= F.size(et)) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(at) - F.size(et) + 1)), lambda i: F.slice(at, i, F.size(et)) == et)
-    joined = F.array_join(et, "")
-    number = F.regexp_extract(joined, LAST_NUMBER, 1)
-    tail = F.concat(F.right(F.regexp_replace(joined, LAST_NUMBER, ""), F.lit(4)), number)
-    by_number = (number != "") & (F.length(tail) >= 5) & F.contains(a, tail)
+    end = lambda joined: let(F.regexp_extract(joined, LAST_NUMBER, 1), lambda number: (number != "") & let(F.concat(F.right(F.regexp_replace(joined, LAST_NUMBER, ""), F.lit(4)), number), lambda tail: (F.length(tail) >= 5) & F.contains(a, tail)))
+    by_number = let(F.array_join(et, ""), end)
     last = F.array_join(F.slice(et, F.greatest(F.lit(1), F.size(et) - 2), F.lit(3)), "")
-    by_tail = (F.length(last) >= 4) & F.contains(F.array_join(at, ""), last)
+    by_tail = let(last, lambda x: (F.length(x) >= 4) & F.contains(F.array_join(at, ""), x))
     rest = (F.size(et) > 0) & (window | by_number | by_tail)
-    return (e != "") & (F.contains(a, e) | concept | ordered | single | sequence | rest)
+    return concept | ordered | single | sequence | rest
 
 
 def span_matches(span: Column, answer: Column, alternatives: Column | None = None) -> Column:
@@ -96,10 +103,19 @@ def span_matches(span: Column, answer: Column, alternatives: Column | None = Non
 
     The answer keeps its parentheses, which hold facts there and units in a span.
     """
-    found = normal(without_noise(answer, parens=False))
+    return let(answer_parts(answer), lambda found: _span_found(span, found, alternatives))
+
+
+def answer_parts(answer: Column) -> Column:
+    """The numbers and tokens of an answer's normal form, that many spans are held to."""
+    return let(normal(without_noise(answer, parens=False)), _parts)
+
+
+def _span_found(span: Column, found: Column, alternatives: Column | None = None) -> Column:
     spans = F.array(span) if alternatives is None else F.concat(F.array(span), F.coalesce(alternatives, F.array().cast("array<string>")))
     spans = F.filter(spans, lambda x: F.length(F.trim(_text(x))) > 0)
-    return F.exists(spans, lambda x: _span_in(normal(without_noise(x)), found) | _span_in(normal(without_noise(x, parens=False)), found))
+    forms = lambda x: F.array_distinct(F.array(normal(without_noise(x)), normal(without_noise(x, parens=False))))
+    return F.exists(spans, lambda x: F.exists(forms(x), lambda e: _span_in(e, found)))
 
 
 def group_matches(group: Column, answer: Column) -> Column:
@@ -107,7 +123,7 @@ def group_matches(group: Column, answer: Column) -> Column:
 
     ``answer``: its normal form with labels kept. A group with a negation or object list is composite; the list it lacks is the built-in one.
     """
-    hit = lambda terms: F.exists(terms, lambda t: (normal(without_noise(t, labels=False)) != "") & F.contains(answer, normal(without_noise(t, labels=False))))
+    hit = lambda terms: F.exists(terms, lambda t: let(normal(without_noise(t, labels=False)), lambda x: (x != "") & F.contains(answer, x)))
     or_else = lambda given, words: F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given).otherwise(F.array(*map(F.lit, words)))
     composite = group["negation"].isNotNull() | group["object"].isNotNull()
     both = hit(or_else(group["negation"], NEGATIONS)) & hit(or_else(group["object"], OBJECTS))
@@ -136,7 +152,7 @@ def unsupported_numbers(answer: Column, context: Column) -> Column:
     """Numbers of an answer, with units, that the context lacks and that no refusal surrounds."""
     known = F.regexp_extract_all(_text(context), F.lit(DIGITS), 1)
     places = _places(F.regexp_extract_all(answer, F.lit(ANSWER_NUMBER), 1), answer)
-    bad = F.filter(places, lambda p: ~F.array_contains(known, F.regexp_extract(p["value"], DIGITS, 1)) & ~refuses(answer, p["at"], p["at"] + F.length(p["value"])))
+    bad = let(known, lambda k: F.filter(places, lambda p: ~F.array_contains(k, F.regexp_extract(p["value"], DIGITS, 1)) & ~refuses(answer, p["at"], p["at"] + F.length(p["value"]))))
     return F.transform(bad, lambda p: p["value"])
 
 
@@ -147,9 +163,10 @@ def blocks(answer: Column) -> Column:
     listed = lambda x: x.rlike(f"^(?:\\s*{LIST_MARK}[^\\n]*(?:\\n|$)|\\s*\\n)+$")
     head = lambda x: trim(F.substring_index(x, "\n", 1))
     lead = lambda x: head(x).endswith("：") & ~head(x).rlike(f"^{LIST_MARK}")
-    follows = lambda x, i: (i > 0) & F.coalesce(F.get(paras, i - 1), F.lit("")).endswith("：") & listed(x)
+    follows = lambda ps, x, i: (i > 0) & F.coalesce(F.get(ps, i - 1), F.lit("")).endswith("：") & listed(x)
     # lines that stay together are joined by a mark that no text holds
-    held = F.transform(paras, lambda x, i: F.concat(F.when(i == 0, "").when(follows(x, i), "\u0001").otherwise("\n\n"), F.when(follows(x, i) | lead(x), F.replace(x, F.lit("\n"), F.lit("\u0001"))).otherwise(x)))
+    one = lambda x, i, f: F.concat(F.when(i == 0, "").when(f, "\u0001").otherwise("\n\n"), F.when(f | lead(x), F.replace(x, F.lit("\n"), F.lit("\u0001"))).otherwise(x))
+    held = let(paras, lambda ps: F.transform(ps, lambda x, i: let(follows(ps, x, i), lambda f: one(x, i, f))))
     parts = F.split(F.array_join(held, ""), f"\\n\\n|\\n(?=\\s*{LIST_MARK})")
     return F.filter(F.transform(parts, lambda x: trim(F.replace(x, F.lit("\u0001"), F.lit("\n")))), lambda x: x != "")
 
@@ -157,19 +174,19 @@ def blocks(answer: Column) -> Column:
 def is_numeric_claim(block: Column) -> Column:
     """Whether a block measures something: list marks and names of standards, tables and figures don't count, nor do refusals."""
     text = F.regexp_replace(F.regexp_replace(block, f"(?m)^[ \\t]*{LIST_MARK}[ \\t]*", ""), DESIGNATION, " ")
-    places = _places(F.regexp_extract_all(text, F.lit(DIGITS), 1), text)
+    places = let(text, lambda t: _places(F.regexp_extract_all(t, F.lit(DIGITS), 1), t))
     return F.exists(places, lambda p: ~refuses(block, p["at"], p["at"] + F.length(p["value"])))
 
 
 def numeric_coverage(answer: Column) -> Column:
     """struct(claims, attributed, coverage): blocks that measure something, and those of them that cite or say that they derive."""
-    claims = F.filter(blocks(answer), is_numeric_claim)
-    good = F.filter(claims, lambda b: b.rlike("\\[L\\d+\\]") | b.rlike(NOT_FACT))
-    return F.struct(F.size(claims).alias("claims"), F.size(good).alias("attributed"), F.when(F.size(claims) > 0, F.round(F.size(good) / F.size(claims), 3)).alias("coverage"))
+    good = lambda claims: F.filter(claims, lambda b: b.rlike("\\[L\\d+\\]") | b.rlike(NOT_FACT))
+    share = lambda n, m: F.struct(n.alias("claims"), m.alias("attributed"), F.when(n > 0, F.round(m / n, 3)).alias("coverage"))
+    return let(F.filter(blocks(answer), is_numeric_claim), lambda claims: let(F.size(good(claims)), lambda m: share(F.size(claims), m)))
 
 
 def _share(flags: Column) -> Column:
-    return F.when(F.size(flags) > 0, F.round(F.size(F.filter(flags, lambda x: x)) / F.size(flags), 3))
+    return let(flags, lambda fs: F.when(F.size(fs) > 0, F.round(F.size(F.filter(fs, lambda x: x)) / F.size(fs), 3)))
 
 
 def soft_audit(rows: DataFrame) -> DataFrame:
@@ -183,12 +200,12 @@ def soft_audit(rows: DataFrame) -> DataFrame:
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     r = rows.select("id", _text(F.col("answer")).alias("answer"), F.coalesce("items", empty("struct<citation_id:string,source:string,content:string>")).alias("items"), F.filter(F.coalesce("spans", empty("string")), lambda x: x.isNotNull()).alias("spans"), F.filter(F.coalesce("sources", empty("string")), lambda x: x != "").alias("sources"), *[F.coalesce(c, empty(GROUP)).alias(c) for c in ("terms", "refusals", "ambiguities")], F.coalesce("hops", empty(HOP)).alias("hops"))
     r = r.withColumn("used", F.array_sort(F.array_distinct(F.regexp_extract_all("answer", F.lit(CITATION), 1)))).withColumn("allowed", F.transform("items", lambda x: x["citation_id"]))
-    r = r.withColumn("found", normal(without_noise(F.col("answer"), parens=False, labels=False)))
+    r = r.withColumn("found", normal(without_noise(F.col("answer"), parens=False, labels=False))).withColumn("said", answer_parts(F.col("answer")))
     r = r.withColumn("invalid", F.array_except("used", "allowed")).withColumn("cited", F.array_sort(F.array_distinct(F.transform(F.filter("items", lambda x: F.array_contains("used", x["citation_id"])), lambda x: x["source"]))))
     r = r.withColumn("hits", F.filter("sources", lambda s: F.exists("cited", lambda c: matches("bidirectional", s, c))))
     met = lambda c: F.transform(c, lambda g: group_matches(g, F.col("found")))
-    r = r.withColumn("span_hits", F.transform("spans", lambda s: span_matches(s, F.col("answer")))).withColumn("term_hits", met("terms")).withColumn("refusal_hits", met("refusals")).withColumn("ambiguity_hits", met("ambiguities"))
-    span_of = lambda h: F.when((F.length(F.trim(_text(h["span"]))) > 0) | (F.size(F.coalesce(h["alternatives"], empty("string"))) > 0), span_matches(h["span"], F.col("answer"), h["alternatives"]))
+    r = r.withColumn("span_hits", F.transform("spans", lambda s: _span_found(s, F.col("said")))).withColumn("term_hits", met("terms")).withColumn("refusal_hits", met("refusals")).withColumn("ambiguity_hits", met("ambiguities"))
+    span_of = lambda h: F.when((F.length(F.trim(_text(h["span"]))) > 0) | (F.size(F.coalesce(h["alternatives"], empty("string"))) > 0), _span_found(h["span"], F.col("said"), h["alternatives"]))
     hop = lambda h: (F.size(h["groups"]) > 0) & F.forall(h["groups"], lambda g: group_matches(g, F.col("found"))) & F.coalesce(span_of(h), F.lit(True))
     r = r.withColumn("hop_hits", F.transform("hops", hop)).withColumn("numbers", unsupported_numbers(F.col("answer"), F.array_join(F.transform("items", lambda x: x["content"]), " "))).withColumn("coverage", numeric_coverage(F.col("answer")))
     present = (F.length(F.trim("answer")) > 0) & ~is_fallback(F.col("answer"))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import contracts
+from tessera.functions.text import let
+from tessera.operators import audit, contracts
 
 
 def nodes(plan):
@@ -32,3 +33,19 @@ def test_pooled_meets_each_chunk_of_a_question_once(spark):
     assert len(rows) == 40 * 6 and made == 40 * 6
     first = sorted((r.position, r.chunk_id) for r in rows if r.case_id == 0)
     assert first == [(1, "c1"), (2, "c4"), (3, "c7"), (4, "c2"), (5, "c5"), (6, "c8")]
+
+
+def size_of(column):
+    """Nodes of a column's expression, as text; what stands at several uses counts at each."""
+    return str(column._jc).count("regexp_")
+
+
+def test_audit_computes_normal_forms_once(spark):
+    assert size_of(audit.span_matches(F.col("span"), F.col("answer"))) < 50
+    assert size_of(audit.numeric_coverage(F.col("answer"))) < 20
+
+
+def test_let_binds_nested_values(spark):
+    row = spark.sql("SELECT 'ab' AS x, array('a', 'c') AS ys")
+    got = row.select(let(F.upper("x"), lambda u: let(F.length(u), lambda n: F.concat(u, n.cast("string"), u))).alias("a"), let(F.struct("x", F.lit("c").alias("z")), lambda s: F.filter("ys", lambda y: ~F.contains(s["x"], y) & F.contains(s["z"], y))).alias("b")).collect()[0]
+    assert (got.a, got.b) == ("AB2AB", ["c"])

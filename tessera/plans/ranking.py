@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import let
 from ..operators import entities, guards
+from ..sources import shared
 from .catalog import _sql_canonical, _t, register
 
 # composed rows; the text is both Spark SQL and DuckDB SQL
@@ -24,7 +26,8 @@ _ASKED_IDS = ("gb_26158_2010", "gb_4806_7_2023", "gb_10000_2023", "gb_16252_2023
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     q = spark.sql(_QUESTIONS.format("{part}"), part=_t(spark, d, "part"))
-    return q.withColumn("lanes", entities.lanes(F.col("question")))
+    # written, since Spark would infer from an exploded plan a filter that plans every row of the table anew
+    return shared.written(q.withColumn("lanes", entities.lanes(F.col("question"))), "questions")
 
 
 def _fields() -> dict:
@@ -36,8 +39,10 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     place = F.concat_ws(" ", "source", "title")
     c = c.withColumn("place", place).withColumn("role", entities.source_role(F.lit(""), F.col("category"), place, F.col("content"))).withColumn("low", entities.low_authority(F.col("source"), F.col("title")))
     ids = entities.canonical_ids(F.concat_ws(" ", "source", "title", "content"))
-    stand = lambda i: F.struct(i.alias("canonical_id"), entities.authority(i, F.col("role"), entities.named_in(i, _fields()), F.col("low")).alias("priority"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 9 + 1).alias("lane_rank"))
-    return c.withColumn("ids", ids).withColumn("guards", F.transform("ids", stand))
+    lane = F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 9 + 1).alias("lane_rank")
+    priority = lambda i, by: let(entities.named_in(i, by, _fields()), lambda places: entities.authority(i, F.col("role"), places, F.col("low")))
+    stand = lambda by: F.transform("ids", lambda i: F.struct(i.alias("canonical_id"), priority(i, by).alias("priority"), lane))
+    return c.withColumn("ids", ids).withColumn("guards", let(entities.ids_by_field(_fields()), stand))
 
 
 def _sql_words(x: str, words: tuple[str, ...]) -> str:
@@ -142,8 +147,10 @@ w AS (SELECT question_id, doc_id, list_filter([{", ".join(f"CASE WHEN list_conta
 SELECT question_id, doc_id, len(v) AS matched, CASE WHEN len(v) = 0 THEN 0 ELSE round(least(1, list_max(v) + 0.15 * (len(v) - 1)), 6) END AS score FROM w""")
 def rank_entity_scores(spark: SparkSession, d: str) -> DataFrame:
     """How well every candidate matches its question's entities."""
-    rows = _candidates(spark, d).join(_questions(spark, d), "question_id")
-    score, matched = entities.match_score(entities.query_entities(F.col("question")), _fields())
+    # entities are sought once a question, before candidates multiply them
+    asked = _questions(spark, d).select("question_id", entities.query_entities(F.col("question")).alias("asked"))
+    rows = _candidates(spark, d).join(asked, "question_id")
+    score, matched = entities.match_score(F.col("asked"), _fields())
     return rows.select("question_id", "doc_id", F.size(matched).alias("matched"), F.round(score, 6).alias("score"))
 
 

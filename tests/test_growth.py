@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions.text import let
-from tessera.operators import audit, contracts
+from tessera.operators import audit, contracts, entities
 
 
 def nodes(plan):
@@ -49,3 +49,16 @@ def test_let_binds_nested_values(spark):
     row = spark.sql("SELECT 'ab' AS x, array('a', 'c') AS ys")
     got = row.select(let(F.upper("x"), lambda u: let(F.length(u), lambda n: F.concat(u, n.cast("string"), u))).alias("a"), let(F.struct("x", F.lit("c").alias("z")), lambda s: F.filter("ys", lambda y: ~F.contains(s["x"], y) & F.contains(s["z"], y))).alias("b")).collect()[0]
     assert (got.a, got.b) == ("AB2AB", ["c"])
+
+
+def test_questions_are_planned_once_each(spark):
+    """The lanes are stored for distinct questions, so no filter on them reaches the table below."""
+    from tessera.plans import catalog
+
+    plan = catalog.queries()["rank_lanes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "part.parquet" not in plan and "p_partkey" not in plan
+
+
+def test_match_score_searches_each_place_once(spark):
+    score, matched = entities.match_score(F.col("asked"), {f: F.lit("") for f in ("source", "title", "parent_document", "section_path", "content")})
+    assert str(score._jc).lower().count("rlike") <= 5 * len(entities.ENTITIES)

@@ -62,3 +62,11 @@ def test_questions_are_planned_once_each(spark):
 def test_match_score_searches_each_place_once(spark):
     score, matched = entities.match_score(F.col("asked"), {f: F.lit("") for f in ("source", "title", "parent_document", "section_path", "content")})
     assert str(score._jc).lower().count("rlike") <= 5 * len(entities.ENTITIES)
+
+
+def test_source_conflicts_meet_in_groups_that_grow(spark):
+    """Groups are the 71 of the contract, not runs of 20 keys, so a group's rows grow with the table."""
+    from tessera.plans import catalog
+
+    rows = catalog.queries()["record_source_conflicts"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all((r.doc_b - r.doc_a) % 71 == 0 and r.group_id == r.doc_a % 71 for r in rows)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import written
 from .conflicts import sharing_pairs
 
 # Patterns that decide the results.
@@ -168,7 +169,8 @@ def calculation_issues(answer: Column) -> Column:
 
 def audit(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """The claims of ``extract`` with warnings (in the order of the rules) and evidence_status."""
-    claims = extract(answers)
+    # written: citations, their assessment and the rules each read the claims
+    claims = written(extract(answers), "claims")
     seen = assess(claims, evidence).groupBy("answer_id", "claim_no").agg(*[F.bool_or(F.col("status") == s).alias(s) for s in ("missing", "mismatch", "indirect")], F.bool_or("found").alias("docs"), F.bool_or(F.col("found") & (F.col("source_type") == "web")).alias("web"), F.bool_or(F.coalesce(F.col("material_grade"), F.lit("unknown")) != "unknown").alias("graded"), F.array_join(F.collect_list(F.concat_ws(" ", "scope", "material_grade", F.substring("content", 1, 4000))), " ").alias("source"), F.count("*").alias("assessed"))
     rows = claims.join(seen, ["answer_id", "claim_no"], "left").join(answers.select("answer_id", calculation_issues(F.col("answer")).alias("wrong")), "answer_id")
     text, on = F.col("text"), lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -227,6 +229,8 @@ def duties_met(audited: DataFrame) -> DataFrame:
 
 def delivery(answers: DataFrame, audited: DataFrame, evidence: DataFrame) -> DataFrame:
     """(answer_id, issues, statuses, deliverable): distinct blocking issues by status and claim, and the verdict."""
+    # written, since five branches read the audited claims
+    audited = written(audited, "audited")
     used = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(CITATION), 1))).alias("citation_id"))
     wrong = used.join(evidence.select("answer_id", "citation_id").distinct(), ["answer_id", "citation_id"], "left_anti").select("answer_id", F.lit("citation_invalid").alias("status"), F.lit(0).alias("claim_no"))
     rows = audited.join(duties_met(audited), "answer_id")

@@ -58,6 +58,13 @@ def test_problems(spark, folder):
     assert load(spark, d / "none").count() == 0
 
 
+def test_letter_share(spark, tmp_path):
+    """Markup with many digits is no garbled page where its limit says so; symbols without a letter are at any."""
+    (tmp_path / "a.txt").write_text("\f".join(["<p>2353820953013749 4550997810720808</p>", "#%" * 20]))
+    assert [r.problem for r in load(spark, tmp_path).collect()] == ["garbled", "garbled"]
+    assert [r.problem for r in load(spark, tmp_path, letterShare=1e-9).orderBy("start").collect()] == [None, "garbled"]
+
+
 def test_ocr(spark, folder):
     d, _ = folder
     got = {r.start: (r.text, r.problem, r.by_ocr) for r in load(spark, d, ocr="tests.test_pages:scan").where("path LIKE '%odd.md'").collect()}

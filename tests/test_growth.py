@@ -70,3 +70,32 @@ def test_source_conflicts_meet_in_groups_that_grow(spark):
 
     rows = catalog.queries()["record_source_conflicts"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all((r.doc_b - r.doc_a) % 71 == 0 and r.group_id == r.doc_a % 71 for r in rows)
+
+
+def test_dense_holds_bounded_scores(spark, monkeypatch):
+    """A task computes a bounded number of scores at once, and blocks of any size give the brute-force lists, ties included."""
+    import numpy as np
+
+    from tessera.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 4))
+    v[40:60] = v[0]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    seen = []
+    whole = retrieval._merge
+    monkeypatch.setattr(retrieval, "_merge", lambda best, own, stored, ids, matrix, k: seen.append(len(own) * len(ids)) or whole(best, own, stored, ids, matrix, k))
+    monkeypatch.setattr(retrieval, "SCORES", 64)
+    run = {}
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1)
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: run.update(f=f, rows=self) or self.sparkSession.createDataFrame([], schema))
+    asked = frame.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "question_id")
+    retrieval.dense(frame, asked, 5)
+    got = {}
+    for batch in run["f"](iter(run["rows"].toArrow().to_batches(max_chunksize=90))):
+        for q, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got.setdefault(q, []).append((-round(s, 9), i))
+    assert max(seen) <= 64
+    for q in range(0, 300, 7):
+        want = sorted((-round((float(v[i] @ v[q]) + 1) / 2, 9), i) for i in range(300) if i != q)[:5]
+        assert sorted(got[q]) == want

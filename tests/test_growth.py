@@ -99,3 +99,32 @@ def test_dense_holds_bounded_scores(spark, monkeypatch):
     for q in range(0, 300, 7):
         want = sorted((-round((float(v[i] @ v[q]) + 1) / 2, 9), i) for i in range(300) if i != q)[:5]
         assert sorted(got[q]) == want
+
+
+ODD = ["a b Abc. --x/y ._9 aa AA K1", None, "", "标准 ab中文检测一二三四五六 z 标", "İx Ky straße", "a\nb\tcd\x0bef\x0cgh ij kl", "see GB/T 26158 - 2010, gb_t16252-2023 GB 4806.7 gb48067-2023 10000-2023-GBT pp 3486_01 tx-1001", "g b / t 3326-2016 gb\n/ t 3326 2016 gb t 4806 2023", "p p c 30\t4 triTAN", "--", "./a ./ab"]
+
+
+def test_index_deals_documents_once_and_whole(spark):
+    """No posting is a row of a shuffle: documents are dealt by shard, and nothing else is."""
+    from tessera.operators import postings
+
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate(ODD)], "doc_id long, content string, source string")
+    plan = postings.blocks(postings.terms(docs, postings.Layout()), postings.Layout())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_terms_of_batches_are_the_lexical_terms(spark):
+    from tessera.functions.text import lexical_terms
+    from tessera.operators import postings
+
+    docs = spark.createDataFrame([(i, t, ODD[-i]) for i, t in enumerate(ODD)], "doc_id long, content string, source string").coalesce(1)
+    whole = F.lower(F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("content", F.lit(""))))
+    want = docs.select("doc_id", lexical_terms(F.coalesce("content", F.lit(""))).alias("a"), lexical_terms(F.coalesce("source", F.lit(""))).alias("b"), entities.canonical_ids(whole).alias("c"))
+    squeezed = {i: ["".join(x for x in (t or "").lower() if x not in " \t\n\x0b\x0c\r") for t in (ODD[i], ODD[-i])] for i in range(len(ODD))}
+    got = {r.id: r for r in postings.terms(docs, postings.Layout()).collect()}
+    for r in want.collect():
+        tf = {t: (t in r.a) * 1.0 + (t in r.b) * 3.0 for t in {*r.a, *r.b}}
+        tf |= {"": 0.0} | {postings.CANONICAL + c: 0.0 for c in r.c} | {postings.EXACT + n: 0.0 for n in postings.NAMED if any(n in t for t in squeezed[r.doc_id])}
+        assert got[r.doc_id].len == len(r.a) + len(r.b)
+        assert dict(zip(got[r.doc_id].terms.split("\n"), got[r.doc_id].tfs, strict=True)) == tf
+    assert sum(len(r.c) for r in want.collect()) >= 6

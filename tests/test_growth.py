@@ -72,6 +72,29 @@ def test_source_conflicts_meet_in_groups_that_grow(spark):
     assert rows and all((r.doc_b - r.doc_a) % 71 == 0 and r.group_id == r.doc_a % 71 for r in rows)
 
 
+def test_rows_of_equal_words_meet_as_blocks(spark, monkeypatch):
+    """Joins make pairs of blocks, not of rows; tasks follow the pairs, not the bytes; rows and order of words as by brute force."""
+    import collections
+
+    from tessera.operators import conflicts
+
+    words = [["and", "is", "red"], ["red", "is", "and", "is"], ["and", "big", "is"], ["zz"], [], None, ["is", None]]
+    rows = [(g, k, words[k % 7], k % 3) for g in (1, 2) for k in range(150)] + [(1, 7, ["zz"], 5), (None, 1, ["zz"], 0), (None, 2, ["zz"], 1), (1, None, ["zz"], 0)]
+    d = spark.createDataFrame(rows, "g long, k long, w array<string>, n long")
+    want = collections.Counter()
+    for g, k, w, n in rows:
+        for g2, k2, w2, n2 in rows:
+            both = {*(w or [])} & {*(w2 or [])} - {None}
+            if g and g == g2 and None not in (k, k2) and k < k2 and n != n2 and both:
+                want[g, k, k2, tuple(sorted(both))] += 1
+    got, made = most_rows(conflicts.sharing_pairs(d, "g", "k", "w", F.col("x.n") != F.col("y.n")), "Join")
+    assert collections.Counter((r.g, r.a, r.b, tuple(r.shared)) for r in got) == want
+    assert made < 200 < len(got)
+    monkeypatch.setattr(conflicts, "MEET", 1000)
+    shown = conflicts.sharing_pairs(d, "g", "k", "w", F.col("x.n") != F.col("y.n"), shown=F.size)
+    assert shown.rdd.getNumPartitions() > 20 and shown.agg(F.sum("shared")).first()[0] == sum(len(w) * n for (*_, w), n in want.items())
+
+
 def test_dense_holds_bounded_scores(spark, monkeypatch):
     """A task computes a bounded number of scores at once, and blocks of any size give the brute-force lists, ties included."""
     import numpy as np
